@@ -27,7 +27,7 @@ from . import textscan as ts
 #: Base rules: least words, and the greatest per cent of words in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: Greatest distance of the character classes and of the common words, and the least characters and words that are judged.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, GUARD_CHARS, GUARD_WORDS = 0.16, 0.75, 200, 60
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, GUARD_CHARS, GUARD_WORDS = 0.2, 0.75, 200, 60
 #: Common words of a language, the share of a batch's words above which a word is counted, least share of documents of a language.
 COMMON, WORD_SHARE, MIN_SHARE = 48, 0.0005, 0.001
 #: A document with more than a symbol in so many words, or fewer than MIN_WORDS words, is no part of a reference.
