@@ -150,7 +150,9 @@ def cut(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np
     text = np.repeat(np.arange(len(count)), count)
     start = offsets[text] + window * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
     at = start + np.arange(window)[:, None]
-    out = np.where(at < offsets[text + 1], data[np.minimum(at, max(0, len(data) - 1))] if len(data) else 0, PAD).astype(np.int16)
+    out = np.full(at.shape, PAD, np.int16)
+    inside = at < offsets[text + 1]
+    out[inside] = data[at[inside]]
     return out, text
 
 

@@ -95,6 +95,19 @@ def confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def partial_of(function, *first):
+    """A function of the last argument alone; the SQL functions look at the number of arguments."""
+    return lambda x: function(*first, x)
+
+
+def scored(kind: str, number: int, body: Column, m: Column) -> Column:
+    """The span of a match with its score."""
+    before = F.substring(body, F.greatest(F.lit(1), m["s"] - CONTEXT_CHARS + 1), F.least(m["s"], F.lit(CONTEXT_CHARS)))
+    near = F.lower(before).rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])")
+    score = F.lit(SCORES[kind]) + F.when(near, RAISE).otherwise(0.0)
+    return F.struct(m["s"].alias("start"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), m["e"].alias("end"), score.alias("score"))
+
+
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with spans: array of (start, kind_no, kind, end, score), in order of start and kind."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -105,14 +118,8 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         guard = guard if kind in ("email", "secret") else guard & has_digit
         guard = guard & body.rlike("(?:token|password|passwd|secret|key)\\x20{0,2}[=:]") if kind == "secret" else guard
 
-        def scored(m: Column, kind: str = kind, number: int = number) -> Column:
-            before = F.substring(body, F.greatest(F.lit(1), m["s"] - CONTEXT_CHARS + 1), F.least(m["s"], F.lit(CONTEXT_CHARS)))
-            near = F.lower(before).rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])")
-            score = F.lit(SCORES[kind]) + F.when(near, RAISE).otherwise(0.0)
-            return F.struct(m["s"].alias("start"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), m["e"].alias("end"), score.alias("score"))
-
-        valid = F.filter(matches(body, PATTERNS[kind]), lambda m, kind=kind: confirmed(kind, m["v"]))
-        spans = F.transform(valid, scored)
+        valid = F.filter(matches(body, PATTERNS[kind]), partial_of(confirmed, kind))
+        spans = F.transform(valid, partial_of(scored, kind, number, body))
         if kind in MORE:
             spans = F.filter(spans, lambda x: x["score"] >= LEAST_SCORE)
         columns[f"_{kind}"] = F.when(guard, spans).otherwise(F.array().cast("array<struct<start:int,kind_no:int,kind:string,end:int,score:double>>"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, langid, packing, pii, quality, token_counts, url_filter
+from . import chat, decontaminate, langid, ngram_join, packing, pii, quality, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "closest_lang", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
@@ -60,5 +64,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_language_id, op5_quality_rules, op6_pii, op7_chat_format, op8_token_counts, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_language_id, op4_ngram_join, op5_quality_rules, op6_pii, op7_chat_format, op8_token_counts, op9_url_filter)}
 ORACLES: dict[str, str] = {}
