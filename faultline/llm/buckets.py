@@ -88,7 +88,7 @@ class Buckets:
     def __init__(self, place: Workspace, name: str, packed: DataFrame, kinds: Sequence[tuple[str, type]], rank: Sequence[str], test: Filter, sided: bool = False):
         """kinds: columns of the rows, key first, then id; rank: columns that order a bucket's members, the hub first; test: pair filter.
 
-        sided: column ``side`` is 1 for rows that are looked for and 0 for rows that look; two rows of side 0 are no pair.
+        sided: column ``look`` is 1 for rows that only look for others; two of them are no pair.
         """
         self.place, self.name, self.kinds, self.rank, self.test, self.sided = place, name, list(kinds), list(rank), test, sided
         self.tasks = partitions(place.spark)
@@ -112,7 +112,7 @@ class Buckets:
                 table, first = sorted_buckets({k: v[new] for k, v in table.items()}, [*rank_, "id"])
                 table, first = without_singles(table, first)
                 if sided_ and len(table["id"]):
-                    found = np.repeat(np.maximum.reduceat(table["side"], first[:-1]) > 0, np.diff(first))
+                    found = np.repeat(np.minimum.reduceat(table["look"], first[:-1]) == 0, np.diff(first))
                     table = {k: v[found] for k, v in table.items()}
                 if len(table["id"]):
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([b"".join(table[k].tobytes() for k, _ in kinds_)], pa.large_binary()).cast(pa.binary())], names=["part", "rows"])
@@ -133,7 +133,7 @@ class Buckets:
                     other = np.arange(len(hub))
                     keep = other != hub
                     if sided:
-                        keep &= (table["side"][hub] | table["side"]) > 0
+                        keep &= (table["look"][hub] & table["look"]) == 0
                     hub, other = hub[keep], other[keep]
                     good = test({k: v[hub] for k, v in table.items()}, {k: v[other] for k, v in table.items()})
                     a, b = once(table["id"][hub[good]], table["id"][other[good]])
@@ -179,7 +179,7 @@ class Buckets:
                         left_rows, right_rows = ({k: v[x] for k, v in t.items()} for t, x in ((table, i), (right, j)))
                         good = test(left_rows, right_rows)
                         if sided:
-                            good &= (left_rows["side"] | right_rows["side"]) > 0
+                            good &= (left_rows["look"] & right_rows["look"]) == 0
                         x, y = once(left_rows["id"][good], right_rows["id"][good])
                         if len(x):
                             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])

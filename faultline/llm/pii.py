@@ -82,7 +82,9 @@ def mod97(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(moved)), F.lit(0), step) == 1
 
 
-def confirmed(kind: str, value: Column) -> Column:
+def confirmed(kind: str, m: Column) -> Column:
+    """Whether a match passes its kind's check."""
+    value = m["v"]
     if kind == "ip":
         return F.forall(F.split(value, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "").rlike("^(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
     if kind == "card":

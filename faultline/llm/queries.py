@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, langid, ngram_join, packing, pii, quality, token_counts, url_filter
+from . import chat, decontaminate, langid, line_dedup, ngram_join, packing, pii, quality, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,5 +64,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_language_id, op4_ngram_join, op5_quality_rules, op6_pii, op7_chat_format, op8_token_counts, op9_url_filter)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document, lines removed, and digest and length of what is left."""
+    cleaned = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_language_id, op4_ngram_join, op5_quality_rules, op6_pii, op7_chat_format, op8_token_counts, op9_url_filter, op10_line_dedup)}
 ORACLES: dict[str, str] = {}

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, functions as F
 EXAMPLES = {
     "block": (
         "casino-win.example", "cheap-pills.example", "spam-farm.example", "free-casino-bonus.example", "online-casino-poker.example", "win-money-fast.example", "buy-cheap-pills-online.example",
-        "adult-porn-videos.example", "hot-sex-cams.example", "pharmacy-discount-pills.example", "viagra-cialis-cheap.example", "lottery-prize-winner.example", "payday-loans-fast-cash.example",
+        "adult-porn-videos.example", "hot-sex-cams.example", "pharmacy-discount-pills.example", "viagra-cialis-cheap.example", "lottery-prize-winner.example", "payday-loans-fast-cash.example", "ads-track.example", "ad-tracker-banner-ads.example", "free-bets-odds.example", "sports-bets-win.example", "adult-x.example", "cheap-meds-online.example", "free-prizes-win.example",
         "link-farm-seo-spam.example", "click-bait-farm.example", "free-download-crack-warez.example", "fake-replica-watches.example", "bet-slots-jackpot.example", "miracle-weight-loss-pills.example", "xxx-adult-chat.example",
     ),
     "allow": (
-        "blog.example", "www.example", "m.example", "news.example", "docs.example", "wiki.example", "library.example", "university-press.example", "school.example", "science-journal.example",
+        "news.example", "docs.example", "free-library-books.example", "cycle-track-club.example", "wiki.example", "library.example", "university-press.example", "school.example", "science-journal.example",
         "city-council.example", "open-source-project.example", "museum-history.example", "weather-report.example", "travel-guide.example", "food-recipes.example", "health-service.example", "bank-account-help.example",
         "farm-equipment-supply.example", "free-software-foundation.example", "world-cup-winner-report.example", "online-course.example", "book-review.example", "music-archive.example", "index.html", "page/article", "about/contact",
     ),
@@ -40,7 +40,7 @@ EXAMPLES = {
 VOCABULARY, EXAMPLE_WEIGHT, SMOOTHING, PRIOR_BLOCK = 50_000, 50, 1.0, 0.2
 LONGEST_WORD, LONGEST_RUN = 24, 512
 #: Words that say nothing about the class (fixed values).
-NEUTRAL = frozenset(("example", "com", "net", "org", "html", "htm", "php", "index", "http", "https"))
+NEUTRAL = frozenset(("www", "m", "blog", "x", "example", "com", "net", "org", "html", "htm", "php", "index", "http", "https"))
 
 JUDGED = "host string, path string, rule string, verdict string, score double, words array<string>"
 
