@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textscan as ts
 from .components import components
@@ -27,28 +27,37 @@ from .workspace import Workspace, partitions
 PARTS_EACH, PAIRS = 4, 1 << 20
 #: Rows of a bucket that one job compares with each other, and pairs of a verification cell.
 BLOCK, CELL = 4096, 20_000
+#: Bits of the table that keeps most texts without a pair from being sent.
+FILTER_BITS = 1 << 23
 
 Columns = dict[str, np.ndarray]
 #: (left rows, right rows) -> whether a pair can be a link; both as columns.
 Filter = Callable[[Columns, Columns], np.ndarray]
+#: (shared buckets, sizes of both) -> condition
+Enough = Callable[[Column, Column, Column], Column]
+
+
+def planes(column: np.ndarray) -> bytes:
+    return column.view(np.uint8).reshape(len(column), column.itemsize).T.tobytes()
 
 
 def pack(rows: Columns, parts: int) -> Iterator[tuple[int, bytes]]:
-    """Rows of a batch by part of the key space, as bytes: first all keys, then each other column."""
+    """Rows of a batch by part of the key space, as bytes: column by column, and in a column byte by byte, so that high bytes compress to nothing."""
     part = ((rows["key"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
     ordered = [rows[k][order] for k in rows]
     for p in np.flatnonzero(np.diff(bounds)):
-        yield int(p), b"".join(c[bounds[p] : bounds[p + 1]].tobytes() for c in ordered)
+        yield int(p), b"".join(planes(c[bounds[p] : bounds[p + 1]]) for c in ordered)
 
 
 def unpack(blob: bytes, kinds: Sequence[tuple[str, type]]) -> Columns:
     width = sum(np.dtype(t).itemsize for _, t in kinds)
     n, at, out = len(blob) // width, 0, {}
     for name, t in kinds:
-        out[name] = np.frombuffer(blob, t, n, at)
-        at += n * np.dtype(t).itemsize
+        size = np.dtype(t).itemsize
+        out[name] = np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T).view(t).reshape(n)
+        at += n * size
     return out
 
 
@@ -73,24 +82,37 @@ def without_singles(table: Columns, first: np.ndarray) -> tuple[Columns, np.ndar
     return {k: v[keep] for k, v in table.items()}, np.concatenate([[0], np.cumsum(size[size > 1])]).astype(np.int64)
 
 
-def once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs, the lesser id first."""
-    if not len(a):
-        return a, b
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return pairs[:, 0], pairs[:, 1]
+PAIR = "a long, b long, na int, nb int, n long"
+
+
+def counted(left: Columns, right: Columns) -> pa.RecordBatch:
+    """Distinct pairs of different ids, the lesser first, with their sizes and how often they occur."""
+    swap = left["id"] > right["id"]
+    rows = np.stack([np.where(swap, right["id"], left["id"]), np.where(swap, left["id"], right["id"]), np.where(swap, right["size"], left["size"]), np.where(swap, left["size"], right["size"])], 1)
+    rows = rows[rows[:, 0] != rows[:, 1]]
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    rows = rows[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(rows)))
+    rows = rows[at]
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32)), pa.array(n.astype(np.int64))], names=["a", "b", "na", "nb", "n"])
 
 
 class Buckets:
     """Packed rows of one join, stored once and read by both passes."""
 
-    def __init__(self, place: Workspace, name: str, packed: DataFrame, kinds: Sequence[tuple[str, type]], rank: Sequence[str], test: Filter, sided: bool = False):
-        """kinds: columns of the rows, key first, then id; rank: columns that order a bucket's members, the hub first; test: pair filter.
+    def __init__(self, place: Workspace, name: str, packed: DataFrame, kinds: Sequence[tuple[str, type]], rank: Sequence[str], test: Filter, sided: bool = False, enough: Enough | None = None):
+        """kinds: columns of the rows, key first, then id and size; rank: columns that order a bucket's members, the hub first; test: pair filter.
+
+        enough: condition on the number of buckets that a pair shares.  The star pass counts
+        only buckets whose hub is one of the pair, and may therefore pass over a link; the
+        cross pass counts all buckets of each pair that is still apart, so none is lost.
 
         sided: column ``look`` is 1 for rows that only look for others; two of them are no pair.
         """
-        self.place, self.name, self.kinds, self.rank, self.test, self.sided = place, name, list(kinds), list(rank), test, sided
+        self.place, self.name, self.kinds, self.rank, self.test, self.sided, self.enough = place, name, list(kinds), list(rank), test, sided, enough
         self.tasks = partitions(place.spark)
         kinds_, rank_, sided_ = self.kinds, self.rank, sided
 
@@ -115,7 +137,7 @@ class Buckets:
                     found = np.repeat(np.minimum.reduceat(table["look"], first[:-1]) == 0, np.diff(first))
                     table = {k: v[found] for k, v in table.items()}
                 if len(table["id"]):
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([b"".join(table[k].tobytes() for k, _ in kinds_)], pa.large_binary()).cast(pa.binary())], names=["part", "rows"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([b"".join(planes(table[k]) for k, _ in kinds_)], pa.large_binary()).cast(pa.binary())], names=["part", "rows"])
 
         dealt = packed.repartition(self.tasks, "part")
         self.rows = place.table(name, dealt.mapInArrow(gather, "part int, rows binary"))
@@ -135,11 +157,18 @@ class Buckets:
                     if sided:
                         keep &= (table["look"][hub] & table["look"]) == 0
                     hub, other = hub[keep], other[keep]
-                    good = test({k: v[hub] for k, v in table.items()}, {k: v[other] for k, v in table.items()})
-                    a, b = once(table["id"][hub[good]], table["id"][other[good]])
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    left, right = ({k: v[x] for k, v in table.items()} for x in (hub, other))
+                    good = test(left, right)
+                    yield counted({k: v[good] for k, v in left.items()}, {k: v[good] for k, v in right.items()})
+
+        return self._enough(self.rows.mapInArrow(pairs, PAIR))
 
-        return self.rows.mapInArrow(pairs, "a long, b long").distinct()
+    def _enough(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs that share enough buckets."""
+        if self.enough is None:
+            return pairs.select("a", "b").distinct()
+        total = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("n").alias("n"))
+        return total.where(self.enough(F.col("n"), F.col("na"), F.col("nb"))).select("a", "b")
 
     def cross(self, members: DataFrame) -> DataFrame:
         """(a, b) of different components that share a bucket, where the filter lets them; members: (node, component) of the star pass's links."""
@@ -180,12 +209,11 @@ class Buckets:
                         good = test(left_rows, right_rows)
                         if sided:
                             good &= (left_rows["look"] & right_rows["look"]) == 0
-                        x, y = once(left_rows["id"][good], right_rows["id"][good])
-                        if len(x):
-                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+                        if good.any():
+                            yield counted({k: v[good] for k, v in left_rows.items()}, {k: v[good] for k, v in right_rows.items()})
 
         dealt = self.rows.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(jobs, "left binary, right binary")
-        return dealt.repartition(self.tasks).mapInArrow(pairs, "a long, b long").distinct()
+        return self._enough(dealt.repartition(self.tasks).mapInArrow(pairs, PAIR))
 
 
 def sorted_buckets_of(table: Columns) -> tuple[Columns, np.ndarray]:
@@ -204,7 +232,7 @@ def work(table: Columns) -> list[tuple[bytes, bytes]]:
     size = np.diff(first)
     mixed = table["component"][first[:-1]] != table["component"][first[1:] - 1]
     large = mixed & (size > BLOCK)
-    as_bytes = lambda rows: b"".join(v[rows].tobytes() for v in table.values())
+    as_bytes = lambda rows: b"".join(planes(v[rows]) for v in table.values())
     out = []
     small = np.flatnonzero(mixed & ~large)
     start = 0
@@ -249,6 +277,16 @@ def open_pairs(table: Columns, other: Columns) -> Iterator[tuple[np.ndarray, np.
         k = end
 
 
+def perhaps(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Without most texts that are in no pair, by a bit table of FILTER_BITS bits.  It is broadcast, and its size is fixed; full tables only let more texts pass."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    ids = pairs.select(bit("a").alias("bit")).unionByName(pairs.select(bit("b").alias("bit")))
+    word, one = F.shiftright("bit", 6), F.lit(1).cast("long")
+    table = ids.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", one, (F.col("bit") % 64).cast("int"))).alias("_bits"))
+    marked = texts.withColumn("bit", bit("id")).withColumn("_word", word).join(F.broadcast(table), "_word")
+    return marked.where(F.call_function("shiftright", F.col("_bits"), (F.col("bit") % 64).cast("int")).bitwiseAND(one) == 1).select(*texts.columns)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, test: Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray], place: Workspace, name: str) -> DataFrame:
     """The pairs (a, b) that pass the test on their texts; texts: (id, text).
 
@@ -268,7 +306,7 @@ def verify(pairs: DataFrame, texts: DataFrame, test: Callable[[pa.Array, np.ndar
     cell = F.xxhash64("la", "lb", F.pmod(F.xxhash64("a"), "k"), F.pmod(F.xxhash64("b"), "k"))
     cells = place.table(f"{name}-cells", cells.select("a", "b", F.pmod(cell, F.lit(parts)).cast("int").alias("part")))
     wanted = cells.select(F.col("a").alias("id"), "part").unionByName(cells.select(F.col("b").alias("id"), "part")).distinct()
-    sent = wanted.join(texts, "id").select("part", "id", "text")
+    sent = wanted.join(perhaps(texts, cells), "id").select("part", "id", "text")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = right.column("id").to_numpy()

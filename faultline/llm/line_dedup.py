@@ -219,6 +219,7 @@ def repeated(docs: DataFrame, place: Workspace, edits: int = EDITS, least: int =
     index = bk.Buckets(place, "index", keys_of(bodies.select("t"), edits, least, bk.PARTS_EACH * partitions(spark)), KINDS, ["look"], near_size(edits), sided=True)
     linked = bk.linked(index, lines_of(bodies.select("t"), least), alike(edits), place)
     place.drop("index")
+    place.release()
     found = places_of(bodies.select("t", "i"), least).join(linked.select(F.col("node").alias("id"), "component"), "id", "left")
     found = place.table("places", found.select("doc_id", "line", F.coalesce("component", "id").alias("class")))
     first = found.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("k")).where("k > 1")
@@ -232,6 +233,8 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, doc_id: str =
     docs = docs.drop("n_lines", "n_removed")
     lost = repeated(docs, place, edits, least, doc_id, text).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("_lost"))
     lost = place.table("lost", lost.withColumnRenamed("doc_id", "_doc"))
+    place.drop("places")
+    place.release()
     joined = docs.join(lost, F.col(doc_id).cast("long") == F.col("_doc"), "left").drop("_doc")
     where = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])

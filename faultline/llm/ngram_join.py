@@ -32,7 +32,7 @@ from .workspace import Workspace, partitions
 #: Words of a shingle and similarity in per cent, unless a caller says otherwise.
 WIDTH, PERCENT = 5, 80
 #: Least share of a task's documents for a frequent shingle, least number in a task, and greatest number of frequent shingles.
-HEAVY_SHARE, HEAVY_LEAST, HEAVY_MOST = 0.002, 4, 1 << 19
+HEAVY_SHARE, HEAVY_LEAST, HEAVY_MOST = 0.0002, 2, 1 << 19
 
 
 def sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -74,13 +74,13 @@ def frequent(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
 
 
 def signatures(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, two 64-bit sums that stand for the set, and the packed prefix."""
+    """doc_id, n, two 64-bit sums that stand for the set, one hash of the prefix, and the packed prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
         for batch in batches:
-            out: dict[str, list] = {"n": [], "s1": [], "s2": [], "prefix": []}
+            out: dict[str, list] = {"n": [], "s1": [], "s2": [], "p": [], "prefix": []}
             for _, key, bounds in sets(batch.column(1), width):
                 size = np.diff(bounds)
                 owner = np.repeat(np.arange(len(size)), size)
@@ -93,11 +93,12 @@ def signatures(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, doc
                 for name, total in zip(("s1", "s2"), sums):
                     out[name].append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
                 take = prefix_length(size, percent)
+                out["p"].append(ts.range_hashes(ts.prefix_hashes(ordered | np.uint64(1)), bounds[:-1], bounds[:-1] + take).view(np.int64))
                 out["prefix"] += [ordered[a : a + k].tobytes() for a, k in zip(bounds, take)]
             join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(join(out["n"]), pa.int64()), pa.array(join(out["s1"]), pa.int64()), pa.array(join(out["s2"]), pa.int64()), pa.array(out["prefix"], pa.binary())], names=["doc_id", "n", "s1", "s2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(join(out["n"]), pa.int64()), pa.array(join(out["s1"]), pa.int64()), pa.array(join(out["s2"]), pa.int64()), pa.array(join(out["p"]), pa.int64()), pa.array(out["prefix"], pa.binary())], names=["doc_id", "n", "s1", "s2", "p", "prefix"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, prefix binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, p long, prefix binary")
 
 
 def index_rows(groups: DataFrame, parts: int) -> DataFrame:
@@ -124,25 +125,57 @@ def own_rows(several: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             gid, member = (batch.column(c).to_numpy() for c in ("gid", "member"))
             zero = np.zeros(len(gid), np.int32)
-            yield bk.packed_batch({"key": ts.mix(gid.view(np.uint64)), "id": member, "size": zero, "place": zero}, parts)
+            yield bk.packed_batch({"key": ts.mix(gid.view(np.uint64)), "id": member, "size": zero, "place": zero, "lost": zero}, parts)
 
     return several.select("gid", "member").mapInArrow(spread, "part int, rows binary")
 
 
-KINDS = (("key", np.uint64), ("id", np.int64), ("size", np.int32), ("place", np.int32))
+PLACED = (("key", np.uint64), ("id", np.int64), ("size", np.int32), ("place", np.int32))
+KINDS = (*PLACED, ("lost", np.int32))
+
+
+def shared_rows(packed: DataFrame, parts: int, tasks: int) -> DataFrame:
+    """Rows of shingles that two groups or more hold, each with the number of its group's shingles before it that no other group holds."""
+
+    def collected(batches: Iterator[pa.RecordBatch], kinds: tuple) -> bk.Columns:
+        pieces = [bk.unpack(b, kinds) for batch in batches for b in batch.column(1).to_pylist()]
+        return {k: np.concatenate([p[k] for p in pieces]) if pieces else np.zeros(0, t) for k, t in kinds}
+
+    def without_lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, first = bk.without_singles(*bk.sorted_buckets(collected(batches, PLACED), ["id"]))
+        yield bk.packed_batch({"key": ts.mix(table["id"].view(np.uint64)), "id": table["id"], "size": table["size"], "place": table["place"], "shingle": table["key"]}, parts)
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, first = bk.sorted_buckets(collected(batches, (*PLACED, ("shingle", np.uint64))), ["id", "place"])
+        rank = np.arange(len(table["id"])) - np.repeat(first[:-1], np.diff(first))
+        yield bk.packed_batch({"key": table["shingle"], "id": table["id"], "size": table["size"], "place": table["place"], "lost": (table["place"] - rank).astype(np.int32)}, parts)
+
+    kind = "part int, rows binary"
+    return packed.repartition(tasks, "part").mapInArrow(without_lone, kind).repartition(tasks, "part").mapInArrow(ranked, kind)
 
 
 def size_and_place(percent: int) -> bk.Filter:
-    """Whether the sizes, and the places of the first shared shingle, leave room for the similarity."""
+    """Whether the sizes and the place of a shared shingle leave room for the similarity: before it the sets share at most the shingles that others hold, behind it at most the shorter rest."""
 
     def test(left: bk.Columns, right: bk.Columns) -> np.ndarray:
         x, y = left["size"].astype(np.int64), right["size"].astype(np.int64)
-        shared = np.minimum(x - left["place"], y - right["place"])
+        shared = np.minimum(left["place"] - left["lost"], right["place"] - right["lost"]) + np.minimum(x - left["place"], y - right["place"])
         return 100 * shared >= percent * (x + y - shared)
 
     return test
 
 
+def shares_enough(percent: int) -> bk.Enough:
+    """Whether two sets that share so many prefix shingles can be alike: all else they share lies behind the prefix of one of them."""
+
+    def test(shared, x, y):
+        prefix = lambda n: n - F.ceil(percent * n / 100) + 1
+        need = F.ceil((x + y) * percent / (100 + percent) - 1e-6)
+        return shared + F.greatest(x - prefix(x), y - prefix(y)) >= need
+
+    return test
+
+
 def alike(width: int, percent: int):
     """Exact test of pairs on the texts' sets."""
 
@@ -169,21 +202,25 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: st
     place = Workspace(spark, "ngram-join")
     parts = bk.PARTS_EACH * partitions(spark)
     signed = place.table("signed", signatures(docs, frequent(docs, width, text), width, percent, doc_id, text))
-    able = signed.where("n > 0 and doc_id is not null")
-    members = able.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("member"), F.first("prefix").alias("prefix"))
-    members = place.table("members", members)
-    groups = members.groupBy("n", "prefix").agg(F.min("member").alias("gid"))
-    groups = place.table("groups", groups)
-    index = bk.Buckets(place, "index", index_rows(groups, parts), KINDS, ["place"], size_and_place(percent))
-    several = members.groupBy("n", "prefix").agg(F.min("member").alias("gid"), F.count("*").alias("k")).where("k > 1").drop("k")
-    several = place.table("several", members.join(several, ["n", "prefix"]).select("gid", "member"))
+    ids = place.table("ids", signed.select("doc_id", "n", "s1", "s2", "p"))
+    able = ids.where("n > 0 and doc_id is not null")
+    members = place.table("members", able.groupBy("n", "s1", "s2", "p").agg(F.min("doc_id").alias("member")))
+    several = members.groupBy("n", "p").agg(F.min("member").alias("gid"), F.count("*").alias("k")).where("k > 1").drop("k")
+    several = place.table("several", members.join(several, ["n", "p"]).select("gid", "member"))
+    groups = signed.where("n > 0 and doc_id is not null").groupBy("n", "p").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"))
+    index = bk.Buckets(place, "index", shared_rows(index_rows(groups, parts), parts, partitions(spark)), KINDS, ["place"], size_and_place(percent), enough=shares_enough(percent))
+    place.drop("signed")
     own = bk.Buckets(place, "own", own_rows(several, parts), KINDS, ["place"], lambda x, y: np.ones(len(x["id"]), bool))
+    place.release()
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     linked = bk.linked(Expanded(index, own, several), texts, alike(width, percent), place)
-    classes = members.select("n", "s1", "s2", "member").join(linked.select(F.col("node").alias("member"), "component"), "member", "left")
+    classes = members.join(linked.select(F.col("node").alias("member"), "component"), "member", "left")
     classes = place.table("classes", classes.select("n", "s1", "s2", F.coalesce("component", "member").alias("component_id")))
+    for name in ("index", "own", "several", "members"):
+        place.drop(name)
+    place.release()
     found = able.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = ids.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone)
 
 
