@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -21,28 +21,41 @@ def service_edges(spans: DataFrame, duration: str = "duration_us") -> DataFrame:
 
 def call_paths(spans: DataFrame, more: Sequence[str] = ("duration_us",)) -> DataFrame:
     """Each span with its services from the root down, runs of one service collapsed.  A chain ends at a missing parent; a cycle ends where it closes."""
-    kinds = ", ".join(f"`{c}` {spans.schema[c].dataType.simpleString()}" for c in ("trace_id", "span_id", "service", *more))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent = dict(zip(pdf["span_id"], pdf["parent_span_id"]))
-        service = dict(zip(pdf["span_id"], pdf["service"]))
-        known: dict = {}
-
-        def path(span) -> list[str]:
-            chain, seen = [], set()
-            while span in service and span not in known and span not in seen:
-                chain.append(span)
-                seen.add(span)
-                span = parent[span]
-            base = known.get(span, []) if span not in seen else []
-            for s in reversed(chain):
-                base = base if base and base[-1] == service[s] else [*base, service[s]]
-                known[s] = base
-            return base
-
-        return pdf[["trace_id", "span_id", "service", *more]].assign(path=[known[s] if s in known else path(s) for s in pdf["span_id"]])
-
-    return spans.select("trace_id", "span_id", "parent_span_id", "service", *more).groupBy("trace_id").applyInPandas(walk, f"{kinds}, path array<string>")
+    names = ["trace_id", "span_id", "service", *more]
+    kinds = ", ".join(f"`{c}` {spans.schema[c].dataType.simpleString()}" for c in names)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for pdf in batches:  # sorted by trace, so all but a batch's last trace are whole
+            rows = pdf if rest is None else pd.concat([rest, pdf])
+            last = rows["trace_id"] == rows["trace_id"].iloc[-1]
+            rest = rows[last]
+            if not last.all():
+                yield with_paths(rows[~last], names)
+        if rest is not None:
+            yield with_paths(rest, names)
+
+    rows = spans.select("trace_id", "span_id", "parent_span_id", "service", *more).repartition("trace_id").sortWithinPartitions("trace_id")
+    return rows.mapInPandas(walk, f"{kinds}, path array<string>")
+
+
+def with_paths(pdf: pd.DataFrame, names: Sequence[str]) -> pd.DataFrame:
+    """Paths of the spans of whole traces."""
+    ids = list(zip(pdf["trace_id"], pdf["span_id"]))
+    parent = {i: (i[0], p) for i, p in zip(ids, pdf["parent_span_id"])}
+    service = dict(zip(ids, pdf["service"]))
+    known: dict = {}
+    for i in ids:
+        chain, seen = [], set()
+        while i in service and i not in known and i not in seen:
+            chain.append(i)
+            seen.add(i)
+            i = parent[i]
+        base = known.get(i, []) if i not in seen else []
+        for s in reversed(chain):
+            base = base if base and base[-1] == service[s] else [*base, service[s]]
+            known[s] = base
+    return pdf[list(names)].assign(path=[known[i] for i in ids])
 
 
 def ancestors(spans: DataFrame, depth: int = DEPTH) -> DataFrame:
