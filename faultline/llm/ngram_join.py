@@ -32,7 +32,7 @@ from .workspace import Workspace, partitions
 #: Words of a shingle and similarity in per cent, unless a caller says otherwise.
 WIDTH, PERCENT = 5, 80
 #: Least share of a task's documents for a frequent shingle, least number in a task, and greatest number of frequent shingles.
-HEAVY_SHARE, HEAVY_LEAST, HEAVY_MOST = 0.0002, 2, 1 << 19
+HEAVY_SHARE, HEAVY_LEAST, HEAVY_MOST = 0.0002, 2, 1 << 17
 
 
 def sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -54,8 +54,8 @@ def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     return np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
 
 
-def frequent(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
-    """Sorted hashes of frequent shingles and their counts, as two rows."""
+def frequent(docs: DataFrame, width: int, place: Workspace, text: str = "text") -> np.ndarray:
+    """Sorted hashes of the most frequent shingles and their counts, as two rows of HEAVY_MOST at most."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,8 +67,17 @@ def frequent(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(count[often])], names=["key", "n"])
 
     counted = docs.select(text).mapInArrow(tally, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "key").limit(HEAVY_MOST).toPandas()
-    key, n = rows["key"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    counted = place.table("frequent", counted.where(F.col("n") > HEAVY_LEAST))
+    how_many, least = 0, 1 << 62  # the counts of counts are few: each count above the square root of the rows is rare
+    sizes = counted.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("k"))
+    for r in sorted(sizes.collect(), key=lambda r: -r.n):
+        how_many += r.k
+        if how_many > HEAVY_MOST:
+            break
+        least = r.n
+    rows = counted.where(F.col("n") >= least).toArrow()
+    place.drop("frequent")
+    key, n = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(key)
     return np.stack([key[order], n[order].astype(np.uint64)])
 
@@ -201,7 +210,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: st
     spark = docs.sparkSession
     place = Workspace(spark, "ngram-join")
     parts = bk.PARTS_EACH * partitions(spark)
-    signed = place.table("signed", signatures(docs, frequent(docs, width, text), width, percent, doc_id, text))
+    signed = place.table("signed", signatures(docs, frequent(docs, width, place, text), width, percent, doc_id, text))
     ids = place.table("ids", signed.select("doc_id", "n", "s1", "s2", "p"))
     able = ids.where("n > 0 and doc_id is not null")
     members = place.table("members", able.groupBy("n", "s1", "s2", "p").agg(F.min("doc_id").alias("member")))
