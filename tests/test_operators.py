@@ -1,0 +1,182 @@
+"""Small cases of the operators that SQL cannot express, and edge cases of the others."""
+
+from __future__ import annotations
+
+import math
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from faultline.functions import text
+from faultline.operators import drain, graph, joins, promql, ranking, series, stats, traces
+from faultline.sources import files, sinks
+from faultline.streaming import streams
+
+
+def test_energy_distance_is_the_pairwise_form(spark):
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(0, 1, 30), rng.normal(1, 2, 20)
+    rows = spark.createDataFrame([("k", float(v), 1) for v in x] + [("k", float(v), 0) for v in y], "k string, value double, fail int")
+    mean = lambda a, b: np.abs(a[:, None] - b[None]).mean()
+    want = math.sqrt(2 * mean(x, y) - mean(x, x) - mean(y, y))
+    got = stats.energy_distance(rows, ["k"], "value", "fail").first()
+    assert got.epsilon == pytest.approx(want) and (got.n_fault, got.n_normal) == (30, 20)
+    tested = stats.permutation_test(rows, ["k"], "value", "fail", permutations=200).first()
+    assert tested.epsilon == pytest.approx(want) and tested.p_value < 0.05
+
+
+def test_linkage_matches_the_general_algorithm():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        scores, cut = rng.random(9), 0.25
+        groups = [[i] for i in range(9)]
+        while len(groups) > 1:
+            pairs = [(max(abs(scores[i] - scores[j]) for i in a for j in b), x, y) for (x, a), (y, b) in combinations(enumerate(groups), 2)]
+            d, x, y = min(pairs)
+            if d > cut:
+                break
+            groups[x] += groups.pop(y)
+        want = {frozenset(g) for g in groups}
+        got = stats.linkage_1d(scores, cut)
+        assert {frozenset(np.flatnonzero(got == k)) for k in set(got)} == want
+
+
+def test_gap_clusters_reset_at_each_new_top(spark):
+    rows = spark.createDataFrame([("r", i, s, 0.2) for i, s in enumerate([1.0, 0.9, 0.75, 0.7, 0.5])], "k string, i int, score double, t double")
+    got = {r.i: r.cluster for r in stats.gap_clusters(rows, "k", "i", "score", "t").collect()}
+    assert got == {0: 1, 1: 1, 2: 2, 3: 2, 4: 3}
+
+
+def test_page_rank_matches_the_linear_system():
+    rng = np.random.default_rng(2)
+    m = rng.random((6, 6)) * (rng.random((6, 6)) < 0.5)
+    m[3] = 0
+    start = rng.random(6)
+    p = start / start.sum()
+    step = np.where(m.sum(1, keepdims=True) > 0, m / np.maximum(1e-300, m.sum(1, keepdims=True)), p[None])
+    want = np.linalg.solve(np.eye(6) - 0.85 * step.T, 0.15 * p)
+    assert np.allclose(graph.page_rank(m, start), want, atol=1e-9)
+
+
+def test_pc_finds_a_collider():
+    rng = np.random.default_rng(3)
+    a, c = rng.normal(size=2000), rng.normal(size=2000)
+    b = a + c + 0.3 * rng.normal(size=2000)
+    arrow, open_ = graph.pc_graph(np.stack([a, b, c], 1), 0.01)
+    assert arrow[0, 1] and arrow[2, 1] and not arrow[1].any() and not open_.any()
+
+
+def test_prune_columns():
+    x = np.random.default_rng(4).normal(size=(50, 2))
+    values = np.column_stack([x, x[:, 0], np.ones(50), x.sum(1)])
+    kept, names = graph.prune_columns(values, list("abcde"))
+    assert "c" not in names and "d" not in names and len(names) == 2 and kept.shape == (50, 2)
+
+
+def test_random_walk_stays_on_the_graph():
+    share = graph.walk_shares(np.array([[0, 1.0, 0], [0, 0, 1], [0, 0, 0]]), np.array([0.2, 0.5, 0.9]), 0, steps=2000)
+    assert share.sum() == pytest.approx(1) and share[2] > share[0]
+
+
+def test_birch_counts_levels():
+    assert graph.birch_count(np.array([0.1] * 20 + [0.1001] * 5), 0.045) == 1
+    assert graph.birch_count(np.array([0.1] * 20 + [0.5] * 5), 0.045) == 2
+
+
+def test_drain_templates(spark):
+    lines = [f"user {n} logged in from host{n}" for n in range(6)] + ["disk full on sda", "disk full on sdb", None, "  "]
+    got = {(r.template, r.n) for r in drain.templates(spark.createDataFrame([(x,) for x in lines], "message string")).collect()}
+    assert ("user <*> logged in from <*>", 6) in got and ("disk full on <*>", 2) in got
+
+
+def test_call_paths_end_at_orphans_and_cycles(spark):
+    rows = [("t", 1, None, "a", 5), ("t", 2, 1, "a", 4), ("t", 3, 2, "b", 3), ("t", 4, 99, "c", 2), ("u", 1, 2, "x", 1), ("u", 2, 1, "y", 1)]
+    df = spark.createDataFrame(rows, "trace_id string, span_id long, parent_span_id long, service string, duration_us long")
+    got = {(r.trace_id, r.span_id): r.path for r in traces.call_paths(df).collect()}
+    assert got["t", 2] == ["a"] and got["t", 3] == ["a", "b"] and got["t", 4] == ["c"]
+    assert set(got["u", 1]) == {"x", "y"}
+    assert traces.call_paths(df.limit(0)).count() == 0
+
+
+def test_asof_takes_the_latest_before(spark):
+    left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9)], "k string, t int")
+    right = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), ("a", 6, 60)], "k string, u int, v int")
+    got = {(r.k, r.t): r.v for r in joins.asof_join(left, right, ["k"], "t", "u", ["v"]).collect()}
+    assert got == {("a", 5): 50, ("a", 1): None, ("b", 9): None}
+
+
+def test_closed_windows_share_their_ends(spark):
+    rows = spark.sql("select timestamp_ntz'2024-01-01 10:00:00' ts, 1 id")
+    windows = spark.sql("select 'x' w, timestamp_ntz'2024-01-01 09:00:00' window_start, timestamp_ntz'2024-01-01 10:00:00' window_end union all select 'y', timestamp_ntz'2024-01-01 10:00:00', timestamp_ntz'2024-01-01 11:00:00'")
+    assert sorted(r.w for r in joins.in_windows(rows, windows).collect()) == ["x", "y"]
+
+
+def test_fill_and_grid(spark):
+    rows = spark.createDataFrame([("a", 0, None), ("a", 1, 2.0), ("a", 2, None), ("b", 0, None)], "k string, bucket int, value double")
+    got = {(r.k, r.bucket): r.value for r in series.filled(rows, ["k"]).collect()}
+    assert got == {("a", 0): 2.0, ("a", 1): 2.0, ("a", 2): 2.0, ("b", 0): 0.0}
+
+
+def test_increase_counts_resets(spark):
+    rows = spark.createDataFrame([(i, i, v) for i, v in enumerate([1.0, 4.0, 2.0, 3.0])], "event_id int, s int, value double").withColumn("ts", F.timestamp_seconds("s")).withColumn("k", F.lit("x"))
+    got = [r.increase for r in promql.increase(rows, ["k"], 10).orderBy("event_id").collect()]
+    assert got == [0.0, 3.0, 5.0, 6.0]
+
+
+def test_histogram_quantile_infinite_bucket(spark):
+    rows = spark.createDataFrame([("a", 1.0, 5.0), ("a", float("inf"), 10.0)], "k string, le double, value double")
+    assert promql.histogram_quantile(rows, ["k"], 0.9).first().quantile == 1.0
+
+
+def test_hits_count_a_missing_ranking_as_a_miss(spark):
+    ranks = spark.createDataFrame([("x", "a", 1), ("x", "b", 2)], "run string, service string, rank long")
+    truth = spark.createDataFrame([("x", "b"), ("y", "a")], "run string, target string")
+    got = {r.run: (r.top1, r.top3) for r in ranking.hits(ranks, truth, ["run"], "service", "target").collect()}
+    assert got == {"x": (0, 1), "y": (0, 0)}
+
+
+def test_text_expressions_on_nulls(spark):
+    row = spark.createDataFrame([(None,)], "x string").select(
+        text.service_name(F.col("x")).alias("a"), text.log_level(F.col("x")).alias("b"), text.template_name(F.col("x")).alias("c"), text.seconds(F.col("x")).alias("d"), F.size(text.tags_map(F.col("x"))).alias("e")
+    ).first()
+    assert tuple(row) == (None, "UNKNOWN", "unknown", None, 0)
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"status":"success","data":{"result":[{"metric":{"__name__":"up","pod":"a-0"},"values":[[1700000000,"1.5"],[1700000005,"x"]]}]}}')
+    got = files.flattened(files.prometheus_json(spark, str(tmp_path / "p.json")), "kpi").collect()
+    assert [(r.entity, r.metric, r.value) for r in got] == [("a-0", "up", 1.5), ("a-0", "up", None)]
+    (tmp_path / "j.json").write_text('{"data":[{"traceID":"t","processes":{"p":{"serviceName":"s"}},"spans":[{"spanID":"1","processID":"p","operationName":"o","startTime":5,"duration":6,"references":[],"tags":[{"key":"a","type":"int64","value":3}]},{"spanID":"1","processID":"q"}]}]}')
+    assert files.jaeger_json(spark, str(tmp_path / "j.json"), "f").count() == 1
+    (tmp_path / "l.json").write_text('{"status":"success","data":{"result":[{"stream":{"node_name":"n","pod":"p"},"values":[["1","x"],["1","x"]]}]}}')
+    assert [tuple(r) for r in files.loki_json(spark, str(tmp_path / "l.json")).collect()] == [(1, "n", "p", "", "x")]
+    (tmp_path / "t.json").write_text('{"services":[{"name":"a","depends_on":["b"]},{"name":"b","depends_on":[]}]}')
+    assert {tuple(r) for r in files.topology_json(spark, str(tmp_path / "t.json")).collect()} == {("a", "b"), ("b", None)}
+    (tmp_path / "m.csv").write_text("timestamp,pod,metric,value,labels\n2024-01-01 00:00:00,a,m,1,\n2024-01-01 00:00:00,a,m,1,\nbad,a,m,2,\n2024-01-01 00:00:05,a,m,NaN,\n")
+    assert files.metrics_csv(spark, str(tmp_path / "m.csv")).count() == 1
+
+
+def test_yaml_leaves():
+    flat = files.flat_yaml("kind: NetworkChaos\nmetadata:\n  name: x\n  namespace: n\nspec:\n  selector:\n    namespaces:\n      - a\n      - b\n  delay:\n    latency: '200ms' # slow\n  action: delay\n")
+    assert flat == {"kind": "NetworkChaos", "metadata.name": "x", "metadata.namespace": "n", "spec.selector.namespaces": "a,b", "spec.delay.latency": "200ms", "spec.action": "delay"}
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("d", "e", [1, 2])], "day string, exp_id string, xs array<int>")
+    sinks.write_cases(df, str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c")).first().xs == "[1,2]"
+    made = []
+    for _ in range(2):
+        sinks.reused(spark, f"file://{tmp_path}/r", lambda: made.append(1) or df, a=1)
+    assert len(made) == 1
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rows = spark.range(100).select(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"), (F.col("id") % 3).cast("string").alias("k"), F.col("id").cast("double").alias("value"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    streams.into_memory(streams.bucket_stats(stream, ["k"], size="10 seconds"), "buckets", "complete").start().awaitTermination(120)
+    want = {(r.w.start, r.k): r.n for r in rows.groupBy(F.window("ts", "10 seconds").alias("w"), "k").agg(F.count("*").alias("n")).collect()}
+    assert {(r.window_start, r.k): r.n for r in spark.table("buckets").collect()} == want
