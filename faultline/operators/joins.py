@@ -65,12 +65,11 @@ def nearest_baseline(cases: DataFrame, baselines: DataFrame, case_key: str, case
 
 
 def exact_then_interval(events: DataFrame, spans: DataFrame, exact: Sequence[str], loose: Sequence[str], at: str, start: str, end: str, bucket: int) -> DataFrame:
-    """Events of a span by exact keys; spans without such an event take events of the loose keys inside their interval."""
-    by_key = events.join(spans, list(exact))
-    rest = spans.join(events.select(*exact).distinct(), list(exact), "left_anti")
-    extra = [c for c in exact if c not in loose]
-    by_time = interval_join(events.drop(*extra), rest, loose, at, start, end, bucket)
-    return by_key.where(F.lit(True)).select(*sorted(by_key.columns)).unionByName(by_time.select(*sorted(by_key.columns)))
+    """(exact keys, at): events of a span by its exact keys; a span without any takes the events of its loose keys inside its interval."""
+    by_key = events.join(spans.select(*exact), list(exact)).select(*exact, at)
+    rest = spans.join(events.select(*exact).dropna().distinct(), list(exact), "left_anti")
+    points = events.drop(*(c for c in exact if c not in loose))
+    return by_key.unionByName(interval_join(points, rest, loose, at, start, end, bucket).select(*exact, at))
 
 
 def full_scores(left: DataFrame, right: DataFrame, keys: Sequence[str], left_score: str, right_score: str) -> DataFrame:

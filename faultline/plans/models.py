@@ -130,10 +130,8 @@ def joi_06(spark: SparkSession, sf: str) -> DataFrame:
     spans = views.spans(spark, sf)
     logs = spans.where("span_id % 2 = 0").select("trace_id", "span_id", "service", F.col("start_us").alias("at")).unionByName(spans.where("span_id % 2 = 1").select("trace_id", F.lit(None).cast("long").alias("span_id"), "service", (F.col("start_us") + 1000).alias("at")))
     intervals = spans.select("trace_id", "span_id", "service", "start_us", (F.col("start_us") + 2000).alias("end_us"))
-    by_key = logs.drop("service").join(intervals, ["trace_id", "span_id"]).select("trace_id", "span_id")
-    rest = intervals.join(logs.where("span_id is not null").select("trace_id", "span_id").distinct(), ["trace_id", "span_id"], "left_anti")
-    by_time = joins.interval_join(logs.drop("span_id"), rest, ["trace_id", "service"], "at", "start_us", "end_us", 60_000_000).select("trace_id", "span_id")
-    return by_key.unionByName(by_time).groupBy("trace_id", "span_id").agg(F.count("*").alias("n"))
+    found = joins.exact_then_interval(logs, intervals, ["trace_id", "span_id"], ["trace_id", "service"], "at", "start_us", "end_us", 60_000_000)
+    return found.groupBy("trace_id", "span_id").agg(F.count("*").alias("n"))
 
 
 # --- service graphs ----------------------------------------------------------------
