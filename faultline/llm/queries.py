@@ -71,4 +71,42 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_language_id, op4_ngram_join, op5_quality_rules, op6_pii, op7_chat_format, op8_token_counts, op9_url_filter, op10_line_dedup)}
-ORACLES: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+DECONTAMINATE_SQL = rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+bw as (select distinct item_id, least(len(w), 10) n, array_to_string(w[i:i+least(len(w), 10)-1], ' ') g from (select *, unnest(generate_series(1, greatest(1, len(w) - 9))) i from b where len(w) > 0)),
+sizes as (select distinct n from bw),
+dw as (select doc_id, n, i, array_to_string(w[i:i+n-1], ' ') g from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) i from d, sizes where len(w) >= n)),
+hit as (select doc_id, i, dw.n, item_id from dw join bw on dw.g = bw.g and dw.n = bw.n),
+words as (select doc_id, count(distinct p) k from (select doc_id, unnest(generate_series(i, i + n - 1)) p from hit) group by doc_id),
+items as (select doc_id, count(*) k, string_agg(item, ',' order by item) s from (select distinct doc_id, cast(item_id as varchar) item from hit) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(words.k, 0) as bigint) n_hit, cast(coalesce(items.k, 0) as bigint) n_items, sha256(coalesce(items.s, '')) items_sha256, coalesce(words.k, 0) > 0 contaminated
+from d left join words on d.doc_id = words.doc_id left join items on d.doc_id = items.doc_id"""
+
+NGRAM_JOIN_SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') w from documents),
+g as (select distinct doc_id, array_to_string(w[i:i+least(len(w), 4)-1], ' ') s from (select *, unnest(generate_series(1, greatest(1, len(w) - 3))) i from d where len(w) > 0)),
+n as (select doc_id, count(*) n from g group by doc_id),
+p as (select x.doc_id a, y.doc_id b, count(*) k from g x join g y on x.s = y.s and x.doc_id <> y.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+r as (select doc_id, doc_id as c from d union select l.b, r.c from r join l on r.doc_id = l.a)
+select d.doc_id, cast(coalesce(max(n.n), 0) as bigint) n_shingles, min(r.c) component_id from d join r on d.doc_id = r.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id"""
+
+
+def _escaped_sql(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in (x.decode() for x in chat.CONTROLS):
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+CHAT_SQL = f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+s as (select *, length('<|im_start|>') + length({_escaped_sql('role')}) + 1 + length({_escaped_sql('text')}) + length('<|im_end|>') + 1 as n from t)
+select conv_id, cast(count(*) as bigint) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256, cast(sum(n) as bigint) formatted_chars
+from s group by conv_id"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": DECONTAMINATE_SQL, "op4_ngram_join": NGRAM_JOIN_SQL, "op7_chat_format": CHAT_SQL}
