@@ -2,8 +2,8 @@
 
 Each document's histogram of character classes and of common words is compared to
 the references of all languages by Jensen-Shannon distance (base 2, 0 to 1).  The
-closest reference counts.  References are sums over all labelled documents that have MIN_WORDS words and few
-symbols.
+closest reference counts.  References are mean histograms over all labelled documents
+that have MIN_WORDS words and few symbols; each document weighs the same.
 
 Edge cases: a null or empty text has no words and fails the base rules; a document
 shorter than a guard is not judged by that histogram; documents without a language
@@ -30,6 +30,8 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, GUARD_CHARS, GUARD_WORDS = 0.2, 0.75, 200, 60
 #: Common words of a language, the share of a batch's words above which a word is counted, least share of documents of a language.
 COMMON, WORD_SHARE, MIN_SHARE = 48, 0.0005, 0.001
+#: Weight of a document in its language's reference, whatever its length.
+WEIGHT = 1 << 16
 #: A document with more than a symbol in so many words, or fewer than MIN_WORDS words, is no part of a reference.
 MAX_SYMBOLS = 20
 
@@ -117,22 +119,24 @@ def fit(docs: DataFrame, common: int = COMMON, text: str = "text", lang: str = "
             labels = batch.column(1).dictionary_encode()
             codes, names = labels.indices.to_numpy(zero_copy_only=False), labels.dictionary.to_pylist()
             kinds = np.zeros((len(names), N_CLASSES), np.int64)
-            seen: list[list[np.ndarray]] = [[] for _ in names]
+            seen: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in names]
             for row, data, offsets in ts.blocks(batch.column(0)):
                 mine = codes[row : row + len(offsets) - 1].astype(np.int64)
                 hashes, first = plain_words(data, offsets)
                 length = np.diff(first)
                 usual = (length >= MIN_WORDS) & (per_text(SYMBOL[data], offsets) * MAX_SYMBOLS <= length)
-                np.add.at(kinds, mine[usual], class_counts(data, offsets)[usual])
+                own = class_counts(data, offsets)
+                np.add.at(kinds, mine[usual], (own * WEIGHT // np.maximum(1, own.sum(1, keepdims=True)))[usual])
                 owner = np.repeat(np.where(usual, mine, -1), length)
+                weight = np.repeat(WEIGHT / np.maximum(1, length), length)
                 for k in range(len(names)):
-                    seen[k].append(hashes[owner == k])
+                    seen[k].append((hashes[owner == k], weight[owner == k]))
             out: list[tuple] = []
             for k, name in enumerate(names):
-                every = np.concatenate(seen[k]) if seen[k] else np.zeros(0, np.uint64)
-                words, counts = np.unique(every, return_counts=True)
-                often = counts >= max(2, WORD_SHARE * len(every))
-                out += [(name, "docs", 0, int((codes == k).sum())), (name, "words", 0, len(every))]
+                words, place = np.unique(np.concatenate([h for h, _ in seen[k]]) if seen[k] else np.zeros(0, np.uint64), return_inverse=True)
+                counts = np.bincount(place, np.concatenate([w for _, w in seen[k]]) if seen[k] else None, len(words)).astype(np.int64)
+                often = counts >= WORD_SHARE * counts.sum()
+                out += [(name, "docs", 0, int((codes == k).sum())), (name, "words", 0, int(counts.sum()))]
                 out += [(name, "class", i, int(n)) for i, n in enumerate(kinds[k])]
                 out += [(name, "word", int(w), int(n)) for w, n in zip(words[often].view(np.int64), counts[often])]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "what", "key", "n"])
