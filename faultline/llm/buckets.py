@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import textscan as ts
 from .components import components
@@ -26,15 +26,15 @@ from .workspace import Workspace, partitions
 #: Parts of the key space in a task, and pairs that a task holds at once.
 PARTS_EACH, PAIRS = 4, 1 << 20
 #: Rows of a bucket that one job compares with each other, and pairs of a verification cell.
-BLOCK, CELL = 4096, 20_000
+BLOCK, CELL = 4096, 1000
 #: Bits of the table that keeps most texts without a pair from being sent.
 FILTER_BITS = 1 << 23
 
 Columns = dict[str, np.ndarray]
 #: (left rows, right rows) -> whether a pair can be a link; both as columns.
 Filter = Callable[[Columns, Columns], np.ndarray]
-#: (shared buckets, sizes of both) -> condition
-Enough = Callable[[Column, Column, Column], Column]
+#: (shared buckets, sizes of both) -> whether the pair can be a link
+Enough = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def planes(column: np.ndarray) -> bytes:
@@ -82,22 +82,27 @@ def without_singles(table: Columns, first: np.ndarray) -> tuple[Columns, np.ndar
     return {k: v[keep] for k, v in table.items()}, np.concatenate([[0], np.cumsum(size[size > 1])]).astype(np.int64)
 
 
-PAIR = "a long, b long, na int, nb int, n long"
+PAIR = (("key", np.uint64), ("a", np.int64), ("b", np.int64), ("na", np.int32), ("nb", np.int32), ("n", np.int32))
 
 
-def counted(left: Columns, right: Columns) -> pa.RecordBatch:
-    """Distinct pairs of different ids, the lesser first, with their sizes and how often they occur."""
-    swap = left["id"] > right["id"]
-    rows = np.stack([np.where(swap, right["id"], left["id"]), np.where(swap, left["id"], right["id"]), np.where(swap, right["size"], left["size"]), np.where(swap, left["size"], right["size"])], 1)
-    rows = rows[rows[:, 0] != rows[:, 1]]
-    order = np.lexsort((rows[:, 1], rows[:, 0]))
-    rows = rows[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+def summed(pairs: Columns) -> Columns:
+    """Distinct pairs, with the sum of their counts."""
+    order = np.lexsort((pairs["b"], pairs["a"]))
+    pairs = {k: v[order] for k, v in pairs.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])
     at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(rows)))
-    rows = rows[at]
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32)), pa.array(n.astype(np.int64))], names=["a", "b", "na", "nb", "n"])
+    n = np.add.reduceat(pairs["n"], at).astype(np.int32) if len(at) else pairs["n"]
+    return {k: v[at] for k, v in pairs.items()} | {"n": n}
+
+
+def counted(left: Columns, right: Columns) -> Columns:
+    """Distinct pairs of different ids, the lesser first, with their sizes and how often they occur."""
+    swap, keep = left["id"] > right["id"], left["id"] != right["id"]
+    pick = lambda c, first: np.where(swap == first, right[c], left[c])[keep]
+    a, b = pick("id", True), pick("id", False)
+    pairs = {"key": ts.mix(a.view(np.uint64) ^ ts.mix(b.view(np.uint64))), "a": a, "b": b, "na": pick("size", True).astype(np.int32), "nb": pick("size", False).astype(np.int32), "n": np.ones(len(a), np.int32)}
+    return summed(pairs)
 
 
 class Buckets:
@@ -146,6 +151,8 @@ class Buckets:
         """(a, b): each bucket's hub and its other members, where the filter lets them."""
         kinds, test, sided = self.kinds, self.test, self.sided
 
+        parts = PARTS_EACH * self.tasks
+
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for blob in batch.column(1).to_pylist():
@@ -159,16 +166,26 @@ class Buckets:
                     hub, other = hub[keep], other[keep]
                     left, right = ({k: v[x] for k, v in table.items()} for x in (hub, other))
                     good = test(left, right)
-                    yield counted({k: v[good] for k, v in left.items()}, {k: v[good] for k, v in right.items()})
+                    yield packed_batch(counted({k: v[good] for k, v in left.items()}, {k: v[good] for k, v in right.items()}), parts)
+
+        return self._enough(self.rows.mapInArrow(pairs, "part int, rows binary"))
 
-        return self._enough(self.rows.mapInArrow(pairs, PAIR))
+    def _enough(self, packed: DataFrame) -> DataFrame:
+        """Distinct pairs that share enough buckets.  Pairs travel packed, and a task's pairs are summed as they come."""
+        enough = self.enough
+
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got: dict[int, list[bytes]] = {}
+            for batch in batches:
+                for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    got.setdefault(part, []).append(blob)
+            for part in sorted(got):
+                pieces = [unpack(b, PAIR) for b in got.pop(part)]
+                pairs = summed({k: np.concatenate([p[k] for p in pieces]) for k, _ in PAIR})
+                good = slice(None) if enough is None else enough(pairs["n"], pairs["na"], pairs["nb"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs["a"][good]), pa.array(pairs["b"][good])], names=["a", "b"])
 
-    def _enough(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs that share enough buckets."""
-        if self.enough is None:
-            return pairs.select("a", "b").distinct()
-        total = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("n").alias("n"))
-        return total.where(self.enough(F.col("n"), F.col("na"), F.col("nb"))).select("a", "b")
+        return packed.repartition(self.tasks, "part").mapInArrow(total, "a long, b long")
 
     def cross(self, members: DataFrame) -> DataFrame:
         """(a, b) of different components that share a bucket, where the filter lets them; members: (node, component) of the star pass's links."""
@@ -196,7 +213,7 @@ class Buckets:
                 out += work(table)
             return pa.table({"left": pa.array([x for x, _ in out], pa.binary()), "right": pa.array([x for _, x in out], pa.binary())})
 
-        wider = [*kinds, ("component", np.int64)]
+        wider, parts = [*kinds, ("component", np.int64)], PARTS_EACH * self.tasks
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -210,10 +227,10 @@ class Buckets:
                         if sided:
                             good &= (left_rows["look"] & right_rows["look"]) == 0
                         if good.any():
-                            yield counted({k: v[good] for k, v in left_rows.items()}, {k: v[good] for k, v in right_rows.items()})
+                            yield packed_batch(counted({k: v[good] for k, v in left_rows.items()}, {k: v[good] for k, v in right_rows.items()}), parts)
 
         dealt = self.rows.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(jobs, "left binary, right binary")
-        return self._enough(dealt.repartition(self.tasks).mapInArrow(pairs, PAIR))
+        return self._enough(dealt.repartition(self.tasks).mapInArrow(pairs, "part int, rows binary"))
 
 
 def sorted_buckets_of(table: Columns) -> tuple[Columns, np.ndarray]:
@@ -290,21 +307,17 @@ def perhaps(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, texts: DataFrame, test: Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray], place: Workspace, name: str) -> DataFrame:
     """The pairs (a, b) that pass the test on their texts; texts: (id, text).
 
-    Pairs meet their texts in cells: pairs with the same least neighbours share one, so a
-    text goes to few cells; a cell of many pairs is split into a grid by the ids' hashes.
+    Pairs meet their texts in cells, by their lesser id; an id of many pairs has several
+    cells.  A text is sent once to each part of the cells that needs it.
     test: (texts, left, right) -> whether each pair of places in the texts is a link.
     """
     spark = place.spark
     parts = PARTS_EACH * partitions(spark)
     pairs = place.table(f"{name}-pairs", pairs)
-    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("m")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("m")))
-    lead = ends.groupBy("id").agg(F.least(F.first("id"), F.min("m")).alias("lead"))
-    led = pairs.join(lead.select(F.col("id").alias("a"), F.col("lead").alias("la")), "a").join(lead.select(F.col("id").alias("b"), F.col("lead").alias("lb")), "b")
-    led = place.table(f"{name}-led", led)
-    grid = led.groupBy("la", "lb").agg(F.ceil(F.sqrt(F.count("*") / CELL)).alias("k")).where("k > 1")
-    cells = led.join(grid, ["la", "lb"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    cell = F.xxhash64("la", "lb", F.pmod(F.xxhash64("a"), "k"), F.pmod(F.xxhash64("b"), "k"))
-    cells = place.table(f"{name}-cells", cells.select("a", "b", F.pmod(cell, F.lit(parts)).cast("int").alias("part")))
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("k")).where("k > 1")
+    salted = pairs.join(many, "a", "left")
+    cell = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(1))))
+    cells = place.table(f"{name}-cells", salted.select("a", "b", F.pmod(cell, F.lit(parts)).cast("int").alias("part")))
     wanted = cells.select(F.col("a").alias("id"), "part").unionByName(cells.select(F.col("b").alias("id"), "part")).distinct()
     sent = wanted.join(perhaps(texts, cells), "id").select("part", "id", "text")
 
@@ -320,7 +333,7 @@ def verify(pairs: DataFrame, texts: DataFrame, test: Callable[[pa.Array, np.ndar
 
     found = cells.select(F.col("part").alias("cell"), "a", "b").groupBy("cell").cogroup(sent.groupBy("part")).applyInArrow(check, "a long, b long")
     found = place.table(f"{name}-links", found)
-    for x in ("pairs", "led", "cells"):
+    for x in ("pairs", "cells"):
         place.drop(f"{name}-{x}")
     return found
 

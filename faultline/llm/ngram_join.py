@@ -177,10 +177,10 @@ def size_and_place(percent: int) -> bk.Filter:
 def shares_enough(percent: int) -> bk.Enough:
     """Whether two sets that share so many prefix shingles can be alike: all else they share lies behind the prefix of one of them."""
 
-    def test(shared, x, y):
-        prefix = lambda n: n - F.ceil(percent * n / 100) + 1
-        need = F.ceil((x + y) * percent / (100 + percent) - 1e-6)
-        return shared + F.greatest(x - prefix(x), y - prefix(y)) >= need
+    def test(shared: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x, y = x.astype(np.int64), y.astype(np.int64)
+        both = shared + np.maximum(x - prefix_length(x, percent), y - prefix_length(y, percent))
+        return 100 * both >= percent * (x + y - both)
 
     return test
 
