@@ -33,8 +33,9 @@ from .workspace import Workspace, partitions
 EDITS, LEAST = 2, 24
 
 _CODES = ts.mix(np.arange(1 << 16, dtype=np.uint64)) | np.uint64(1)
+_CLASSES = (_CODES >> np.uint64(61)).astype(np.int64)
 
-KINDS = (("key", np.uint64), ("id", np.int64), ("size", np.int32), ("look", np.uint8))
+KINDS = (("key", np.uint64), ("id", np.int64), ("size", np.int32), ("look", np.uint8), ("mark", np.uint32))
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +60,17 @@ def segment(length: np.ndarray, number: int, count: int) -> tuple[np.ndarray, np
     return base * number + extra, base + (number >= count - longer)
 
 
-def line_keys(prefix: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, edits: int, least: int) -> bk.Columns:
-    """Rows (key, id, size, look) of the lines' own segments and of the substrings they look for."""
+def marks(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Eight counts of code points by class, each modulo 16, in 32 bits."""
+    line = np.repeat(np.arange(len(starts)), lengths)
+    kind = _CLASSES[codes[ts.ragged(starts, lengths)] & 0xFFFF]
+    counts = np.bincount(line * 8 + kind, minlength=8 * len(starts)).reshape(-1, 8) & 15
+    return (counts.astype(np.uint32) << np.arange(0, 32, 4, dtype=np.uint32)).sum(1, dtype=np.uint32)
+
+
+def line_keys(prefix: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, edits: int, least: int, mark: np.ndarray | None = None) -> bk.Columns:
+    """Rows (key, id, size, look, mark) of the lines' own segments and of the substrings they look for."""
+    mark = np.zeros(len(ids), np.uint32) if mark is None else mark
     count = edits + 1
     out: dict[str, list[np.ndarray]] = {k: [] for k, _ in KINDS}
 
@@ -70,6 +80,7 @@ def line_keys(prefix: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids:
         out["id"].append(ids[rows])
         out["size"].append(lengths[rows].astype(np.int32))
         out["look"].append(np.full(len(rows), look, np.uint8))
+        out["mark"].append(mark[rows])
 
     every = np.arange(len(starts))
     for number in range(count):
@@ -107,12 +118,12 @@ def keys_of(docs: DataFrame, edits: int, least: int, parts: int) -> DataFrame:
             seen = np.zeros(0, np.int64)
             got: dict[str, list[np.ndarray]] = {k: [] for k, _ in KINDS}
             for _, data, offsets in ts.blocks(batch.column(0)):
-                _, prefix, starts, lengths, ids, _, _ = long_lines(data, offsets, least)
+                codes, prefix, starts, lengths, ids, _, _ = long_lines(data, offsets, least)
                 ids, at = np.unique(ids, return_index=True)
                 new = ~np.isin(ids, seen, assume_unique=True)
                 ids, at = ids[new], at[new]
                 seen = np.concatenate([seen, ids])
-                for k, v in line_keys(prefix, starts[at], lengths[at], ids, edits, least).items():
+                for k, v in line_keys(prefix, starts[at], lengths[at], ids, edits, least, marks(codes, starts[at], lengths[at])).items():
                     got[k].append(v)
             if got["key"]:
                 yield bk.packed_batch({k: np.concatenate(v) for k, v in got.items()}, parts)
@@ -209,7 +220,16 @@ def alike(edits: int):
 
 
 def near_size(edits: int) -> bk.Filter:
-    return lambda left, right: np.abs(left["size"] - right["size"]) <= edits
+    """Whether lengths and counts by class leave room: an edit changes the length by one at most and the counts by two."""
+
+    def test(left: bk.Columns, right: bk.Columns) -> np.ndarray:
+        apart = np.zeros(len(left["mark"]), np.uint32)
+        for k in range(0, 32, 4):
+            x = ((left["mark"] >> np.uint32(k)) - (right["mark"] >> np.uint32(k))) & np.uint32(15)
+            apart += np.minimum(x, np.uint32(16) - x)
+        return (np.abs(left["size"] - right["size"]) <= edits) & (apart <= 2 * edits)
+
+    return test
 
 
 def repeated(docs: DataFrame, place: Workspace, edits: int = EDITS, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,7 +255,17 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, doc_id: str =
     lost = place.table("lost", lost.withColumnRenamed("doc_id", "_doc"))
     place.drop("places")
     place.release()
-    joined = docs.join(lost, F.col(doc_id).cast("long") == F.col("_doc"), "left").drop("_doc")
+    # only documents that may lose lines travel to their lists: a bit table of fixed size, which is broadcast, lets the others stay
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bk.FILTER_BITS))
+    one = F.lit(1).cast("long")
+    table = lost.select(bit("_doc").alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", one, (F.col("_bit") % 64).cast("int"))).alias("_bits"))
+    table = place.table("table", table)
+    key = F.col(doc_id).cast("long")
+    seen = docs.withColumn("_word", F.shiftright(bit(key), 6)).join(F.broadcast(table), "_word", "left")
+    may = F.coalesce(F.call_function("shiftright", F.col("_bits"), (bit(key) % 64).cast("int")).bitwiseAND(one) == 1, F.lit(False))
+    feeds = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
+    untouched = seen.where(~may).select(*docs.columns, (F.coalesce(feeds, F.lit(0)) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    joined = seen.where(may).select(*docs.columns).join(lost, key == F.col("_doc"), "left").drop("_doc")
     where = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
@@ -271,4 +301,4 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, doc_id: str =
             columns[where] = texts
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(total)), pa.array(np.concatenate(removed))], names=[*schema.names])
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema).unionByName(untouched)
