@@ -10,6 +10,8 @@ are verified by a banded bit-parallel edit distance, all pairs of a task at once
 Of each class of linked lines the first occurrence, by (document, line), stays; the
 others are removed from their texts.
 
+Tables that grow with the corpus are joined by sorting at every size, never broadcast.
+
 Edge cases: lines of fewer than ``LEAST`` code points are never removed; a null text
 stays null and an empty one empty; rows of a null id pass unchanged; rows that share an
 id are one document; a document may lose all lines and is then empty; an empty table
@@ -240,10 +242,10 @@ def repeated(docs: DataFrame, place: Workspace, edits: int = EDITS, least: int =
     linked = bk.linked(index, lines_of(bodies.select("t"), least), alike(edits), place)
     place.drop("index")
     place.release()
-    found = places_of(bodies.select("t", "i"), least).join(linked.select(F.col("node").alias("id"), "component"), "id", "left")
+    found = places_of(bodies.select("t", "i"), least).join(linked.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
     found = place.table("places", found.select("doc_id", "line", F.coalesce("component", "id").alias("class")))
     first = found.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("k")).where("k > 1")
-    return found.join(first, "class").where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line").distinct()
+    return found.join(first.hint("merge"), "class").where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line").distinct()
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,7 +267,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, doc_id: str =
     may = F.coalesce(F.call_function("shiftright", F.col("_bits"), (bit(key) % 64).cast("int")).bitwiseAND(one) == 1, F.lit(False))
     feeds = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
     untouched = seen.where(~may).select(*docs.columns, (F.coalesce(feeds, F.lit(0)) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    joined = seen.where(may).select(*docs.columns).join(lost, key == F.col("_doc"), "left").drop("_doc")
+    joined = seen.where(may).select(*docs.columns).join(lost.hint("merge"), key == F.col("_doc"), "left").drop("_doc")
     where = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
