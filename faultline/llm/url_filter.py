@@ -3,8 +3,11 @@
 A rule is ``host/path-prefix``; it fits the host and its subdomains, and the longest
 rule that fits decides.  Other urls are scored: a unigram Viterbi search splits the
 runs of letters in host and path into words, and a multinomial naive Bayes model adds
-up the words' log odds.  Word frequencies come from all urls of the table and from the
-labelled examples, the classes from the labelled examples (a bounded parameter).
+up the words' log odds.  Word frequencies come half from the labelled examples and half
+from the runs of letters that at least ``LEAST_HOSTS`` hosts of the table use, so that a
+name of one site is split rather than taken for a word.  A run that reads as labelled
+words, and others at least as frequent as itself, is split however many hosts use it.
+The classes come from the labelled examples (a bounded parameter).
 
 Edge cases: a null url, or one without ``://``, has empty host and path, fits no rule
 and gets the verdict of the prior; repeated rows give repeated results; an empty table
@@ -36,9 +39,9 @@ EXAMPLES = {
         "farm-equipment-supply.example", "free-software-foundation.example", "world-cup-winner-report.example", "online-course.example", "book-review.example", "music-archive.example", "index.html", "page/article", "about/contact",
     ),
 }
-#: Words of the frequency table, pseudo-count of an example's words in it, smoothing of the model, prior of blocking, longest word and run.
-VOCABULARY, EXAMPLE_WEIGHT, SMOOTHING, PRIOR_BLOCK = 50_000, 50, 1.0, 0.2
-LONGEST_WORD, LONGEST_RUN = 24, 512
+#: Hosts that use a word of the frequency table, the examples' share of it, smoothing of the model, prior of blocking, longest word and run, shortest part of a compound.
+LEAST_HOSTS, EXAMPLE_SHARE, SMOOTHING, PRIOR_BLOCK = 3, 0.5, 1.0, 0.2
+LONGEST_WORD, LONGEST_RUN, LEAST_PART = 24, 512, 3
 #: Words that say nothing about the class (fixed values).
 NEUTRAL = frozenset(("www", "m", "blog", "x", "example", "com", "net", "org", "html", "htm", "php", "index", "http", "https"))
 
@@ -114,26 +117,53 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def compounds(counts: dict[str, int], labelled: set[str]) -> set[str]:
+    """Words that read as several: one of them labelled, the others labelled or at least as frequent as the whole."""
+    inside = re.compile("|".join(sorted(re.escape(w) for w in labelled if len(w) >= LEAST_PART)) or "(?!)")
+    out = set()
+    for word, n in counts.items():
+        if word in labelled or not inside.search(word):
+            continue
+        read: list[int] = [1] + [0] * len(word)  # bit 0: read as words up to here, bit 1: with a labelled one
+        for i in range(LEAST_PART, len(word) + 1):
+            for j in range(i - LEAST_PART + 1):
+                part = word[j:i]
+                if read[j] and part != word:
+                    if part in labelled:
+                        read[i] |= 2
+                    elif counts.get(part, 0) >= n:
+                        read[i] |= read[j]
+        if read[-1] & 2:
+            out.add(word)
+    return out
+
+
 def fit(counts: dict[str, int], examples: dict[str, Sequence[str]] = EXAMPLES, prior_block: float = PRIOR_BLOCK) -> Model:
-    """counts: occurrences of whole runs of letters in the corpus."""
+    """counts: occurrences of words in the corpus."""
     words = {c: Counter(w for text in examples[c] for w in runs(text) if w not in NEUTRAL) for c in ("block", "allow")}
-    table = Counter(counts)
-    for c in words.values():
-        for w, n in c.items():
-            table[w] += n * EXAMPLE_WEIGHT
-    total = sum(table.values())
-    costs = {w: math.log(total / n) + 1 for w, n in table.items() if len(w) <= LONGEST_WORD}
-    vocabulary = words["block"].keys() | words["allow"].keys()
-    size = {c: sum(words[c].values()) + SMOOTHING * len(vocabulary) for c in words}
-    odds = {w: math.log((words["block"][w] + SMOOTHING) / size["block"]) - math.log((words["allow"][w] + SMOOTHING) / size["allow"]) for w in vocabulary}
-    return Model(costs, math.log(total + 1) / 2 + 1, odds, math.log(prior_block / (1 - prior_block)))
-
-
-def run_counts(pages: DataFrame, url: str = "url", vocabulary: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent runs of letters over all urls: a frequency table whose size is a parameter of the model."""
-    text = F.lower(F.concat(host_of(F.col(url)), F.lit(" "), path_of(F.col(url))))
-    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    return {r.w: r.n for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(vocabulary).collect()}
+    labelled = words["block"] + words["allow"]
+    split = compounds(counts, set(labelled))
+    table = {w: n for w, n in counts.items() if w not in split}
+    total, size = sum(table.values()), sum(labelled.values())
+    share = (EXAMPLE_SHARE if total else 1.0) if size else 0.0
+    chance = {w: (1 - share) * n / total for w, n in table.items()}
+    for w, n in labelled.items():
+        chance[w] = chance.get(w, 0.0) + share * n / size
+    costs = {w: 1 - math.log(p) for w, p in chance.items() if len(w) <= LONGEST_WORD}
+    vocabulary = labelled.keys()
+    sizes = {c: sum(words[c].values()) + SMOOTHING * len(vocabulary) for c in words}
+    odds = {w: math.log((words["block"][w] + SMOOTHING) / sizes["block"]) - math.log((words["allow"][w] + SMOOTHING) / sizes["allow"]) for w in vocabulary}
+    return Model(costs, math.log(total + size + 1) / 2 + 1, odds, math.log(prior_block / (1 - prior_block)))
+
+
+def run_counts(pages: DataFrame, url: str = "url", least_hosts: int = LEAST_HOSTS) -> dict[str, int]:
+    """Occurrences of the runs of letters that several hosts use, over all urls."""
+    host = host_of(F.col(url))
+    text = F.lower(F.concat(host, F.lit(" "), path_of(F.col(url))))
+    words = pages.select(host.alias("h"), F.explode(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))).alias("w")).where(F.length("w") <= LONGEST_WORD)
+    used = words.groupBy("w", "h").agg(F.count("*").alias("n")).groupBy("w").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"))
+    got = used.where(F.col("hosts") >= least_hosts).select("w", "n").toArrow()
+    return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "page_id", url: str = "url", model: Model | None = None) -> DataFrame:

@@ -297,6 +297,20 @@ def test_urls(spark):
     assert url_filter.judge(pages, rules).count() == 10 and url_filter.judge(pages.limit(0), rules).count() == 0
 
 
+def test_joined_names_are_split_in_a_large_table(spark):
+    name = F.translate(F.conv(F.col("id") + 10**6, 10, 26), "0123456789", "qrstuvwxyz")
+    many = spark.range(25_000).select("id", F.lower(F.concat(F.lit("https://www."), name, F.lit(".example.net/en/"), name)).alias("url"))
+    hosts = [f"{h}.example.net" for h in ("onlinecasino", "cheappills", "freecasinobonus", "essex")] + [f"s{i}.example.org/{w}" for i in range(40) for w in ("essex", "best")]
+    hosts += [f"s{i}.example.org/{w}" for i in range(9) for w in ("onlinecasino", "bestcheappills")]
+    pages = many.unionByName(spark.createDataFrame([(10**6 + i, f"https://{h}") for i, h in enumerate(hosts)], "id long, url string"))
+    assert pages.select(F.sum(F.size(F.regexp_extract_all(F.lower("url"), F.lit("[a-z]+"), F.lit(0)))).alias("n")).first().n > 100_000
+    got = {r.host + r.path: r for r in url_filter.judge(pages, (), key="id").where(F.col("id") >= 10**6).collect()}
+    for name, parts in (("onlinecasino", ["online", "casino"]), ("cheappills", ["cheap", "pills"]), ("freecasinobonus", ["free", "casino", "bonus"])):
+        assert got[f"{name}.example.net"].words[: len(parts)] == parts and got[f"{name}.example.net"].verdict == "block"
+    assert got["s1.example.org/onlinecasino"].verdict == "block" and got["s1.example.org/bestcheappills"].words[-3:] == ["best", "cheap", "pills"]
+    assert got["essex.example.net"].words[0] == "essex" and got["essex.example.net"].verdict == "allow"
+
+
 # --- 10 lines ----------------------------------------------------------------------
 
 def distance(a, b):
