@@ -3,7 +3,9 @@
 Each document's histogram of character classes and of common words is compared to
 the references of all languages by Jensen-Shannon distance (base 2, 0 to 1).  The
 closest reference counts.  References are mean histograms over all labelled documents
-that have MIN_WORDS words and few symbols; each document weighs the same.
+that have MIN_WORDS words and few symbols; each document weighs the same.  A text
+without any common word is as far from a reference as a histogram of other words only;
+the greatest distance of words is a share of that distance.
 
 Edge cases: a null or empty text has no words and fails the base rules; a document
 shorter than a guard is not judged by that histogram; documents without a language
@@ -26,8 +28,10 @@ from . import textscan as ts
 
 #: Base rules: least words, and the greatest per cent of words in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: Greatest distance of the character classes and of the common words, and the least characters and words that are judged.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, GUARD_CHARS, GUARD_WORDS = 0.2, 0.75, 200, 60
+#: Greatest distance of the character classes, the common words' greatest share of the distance of a text without any, and the least characters and words that are judged.
+MAX_CHAR_DISTANCE, MAX_WORD_SHARE, GUARD_CHARS, GUARD_WORDS = 0.2, 0.95, 200, 60
+#: Common words that a text of its length should hold before it is judged by them: with fewer, chance puts clean texts that far.
+GUARD_COMMON = 20
 #: Common words of a language, the share of a batch's words above which a word is counted, least share of documents of a language.
 COMMON, WORD_SHARE, MIN_SHARE = 48, 0.0005, 0.001
 #: Weight of a document in its language's reference, whatever its length.
@@ -110,6 +114,12 @@ class References:
     vocabulary: np.ndarray  # sorted hashes of all languages' common words
     words: np.ndarray  # languages x (vocabulary + 1), shares; the last is all other words
 
+    def without_common(self) -> np.ndarray:
+        """Distance of a text without common words to each language."""
+        other = np.zeros((1, len(self.vocabulary) + 1))
+        other[0, -1] = 1
+        return distances(other, self.words)[0]
+
 
 def fit(docs: DataFrame, common: int = COMMON, text: str = "text", lang: str = "lang") -> References:
     """Sums over all documents with a language; what reaches the driver is bounded by the languages, classes and common words."""
@@ -194,11 +204,12 @@ def divergences(data: np.ndarray, offsets: np.ndarray, refs: References) -> dict
     by_class, by_word = distances(kinds, refs.classes), distances(counts, refs.words)
     if not refs.languages:
         return {"language": np.full(n, -1), "char_distance": np.zeros(n), "word_distance": np.zeros(n), "diverges": np.zeros(n, bool)}
-    judged_c, judged_w = kinds.sum(1) >= GUARD_CHARS, np.diff(first) >= GUARD_WORDS
     best = np.argmin(by_class + by_word, 1)
+    length = np.diff(first)
+    judged_c, judged_w = kinds.sum(1) >= GUARD_CHARS, (length >= GUARD_WORDS) & (length * (1 - refs.words[best, -1]) >= GUARD_COMMON)
     rows = np.arange(n)
     c, w = by_class[rows, best], by_word[rows, best]
-    return {"language": best, "char_distance": c, "word_distance": w, "diverges": (judged_c & (c > MAX_CHAR_DISTANCE)) | (judged_w & (w > MAX_WORD_DISTANCE))}
+    return {"language": best, "char_distance": c, "word_distance": w, "diverges": (judged_c & (c > MAX_CHAR_DISTANCE)) | (judged_w & (w > MAX_WORD_SHARE * refs.without_common()[best]))}
 
 
 def judge(docs: DataFrame, refs: References | None = None, text: str = "text") -> DataFrame:

@@ -205,6 +205,23 @@ def test_quality_counts_and_verdicts(spark):
     assert {r.doc_id for r in quality.judge(nobody).where("kept").collect()} >= {1000, 100}
 
 
+def letters(rng: random.Random, n: int, alphabet: str = "abcdefghijklmnopqrstuvwxyz") -> str:
+    return " ".join("".join(rng.choice(alphabet) for _ in range(6)) for _ in range(n))
+
+
+def prose(rng: random.Random, common: str, n: int, alphabet: str = "abcdefghijklmnopqrstuvwxyz") -> str:
+    """Two common words of five, the rest invented."""
+    return " ".join(rng.choice(common.split()) if rng.random() < 0.4 else letters(rng, 1, alphabet) for _ in range(n))
+
+
+def test_quality_rejects_plain_letters_without_common_words(spark):
+    rng = random.Random(16)
+    clean = [(i, prose(rng, "the of and to in is it for on with as at", rng.randrange(60, 300))) for i in range(200)]
+    noise = [(1000 + i, letters(rng, 90)) for i in range(5)]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(table(spark, clean + noise)).collect()}
+    assert all(got[i] == (False, False) for i, _ in noise) and all(got[i] == (False, True) for i, _ in clean)
+
+
 # --- 6 personal data ---------------------------------------------------------------
 
 def luhn(digits):
