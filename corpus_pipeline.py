@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; a document that lost lines and has no word left goes."""
-    cleaned = line_dedup.dedup(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(HAS_WORD))
+    cleaned = line_dedup.dedup(docs, short=line_dedup.SHORT).where((F.col("n_removed") == 0) | F.col("text").rlike(HAS_WORD))
     cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return cleaned.select(docs.columns)
 

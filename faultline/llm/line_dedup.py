@@ -7,12 +7,17 @@ indexed by (length of the line, number, content); a line probes, for each length
 EDITS shorter, only the substrings whose places the multi-match rule allows.  Candidates
 are verified by a banded bit-parallel edit distance, all pairs of a task at once.
 
+Lines of fewer than ``least`` code points, in which two edits may change the sense, are
+linked with exact copies only, down to ``short`` code points; the queries set it to
+``SHORT``, by default they take no part.
+
 Of each class of linked lines the first occurrence, by (document, line), stays; the
 others are removed from their texts.
 
 Tables that grow with the corpus are joined by sorting at every size, never broadcast.
 
-Edge cases: lines of fewer than ``LEAST`` code points are never removed; a null text
+Edge cases: empty lines, and blank ones of fewer than ``least`` code points, are never
+removed, so paragraphs stay apart; a null text
 stays null and an empty one empty; rows of a null id pass unchanged; rows that share an
 id are one document; a document may lose all lines and is then empty; an empty table
 gives an empty result; other columns pass unchanged, n_lines and n_removed are replaced.
@@ -31,11 +36,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import buckets as bk, textscan as ts
 from .workspace import Workspace, partitions
 
-#: Edits that separate linked lines, and code points of the shortest line that takes part.
-EDITS, LEAST = 2, 24
+#: Edits that separate linked lines, code points of the shortest line that edits may link, and of the shortest one whose exact copies the queries remove.
+EDITS, LEAST, SHORT = 2, 24, 1
 
 _CODES = ts.mix(np.arange(1 << 16, dtype=np.uint64)) | np.uint64(1)
 _CLASSES = (_CODES >> np.uint64(61)).astype(np.int64)
+_BLANK = np.array([chr(c).isspace() for c in range(1 << 16)])
 
 KINDS = (("key", np.uint64), ("id", np.int64), ("size", np.int32), ("look", np.uint8), ("mark", np.uint32))
 
@@ -155,14 +161,22 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(texts, "id long, text string")
 
 
-def places_of(docs: DataFrame, least: int) -> DataFrame:
+def all_lines(data: np.ndarray, offsets: np.ndarray, least: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, text, line number) of the lines that take part, short ones with them."""
+    codes, prefix, starts, lengths, ids, text, number = long_lines(data, offsets, short)
+    filled = np.concatenate([[0], np.cumsum((codes > 0xFFFF) | ~_BLANK[codes & 0xFFFF])])
+    keep = (lengths >= least) | (filled[starts + lengths] > filled[starts])
+    return ids[keep], text[keep], number[keep]
+
+
+def places_of(docs: DataFrame, least: int, short: int) -> DataFrame:
     """(doc_id, line, id) of all lines that take part."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs_ = batch.column(1)
             for row, data, offsets in ts.blocks(batch.column(0)):
-                _, _, _, _, ids, text, number = long_lines(data, offsets, least)
+                ids, text, number = all_lines(data, offsets, least, short)
                 yield pa.RecordBatch.from_arrays([docs_.take(pa.array(text + row)), pa.array(number.astype(np.int64)), pa.array(ids)], names=["doc_id", "line", "id"])
 
     return docs.mapInArrow(places, "doc_id long, line long, id long")
@@ -234,7 +248,7 @@ def near_size(edits: int) -> bk.Filter:
     return test
 
 
-def repeated(docs: DataFrame, place: Workspace, edits: int = EDITS, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated(docs: DataFrame, place: Workspace, edits: int = EDITS, least: int = LEAST, doc_id: str = "doc_id", text: str = "text", short: int | None = None) -> DataFrame:
     """(doc_id, line) of every occurrence that isn't its class's first."""
     spark = docs.sparkSession
     bodies = docs.select(F.col(text).alias("t"), F.col(doc_id).cast("long").alias("i")).where("i is not null and t is not null")
@@ -242,18 +256,18 @@ def repeated(docs: DataFrame, place: Workspace, edits: int = EDITS, least: int =
     linked = bk.linked(index, lines_of(bodies.select("t"), least), alike(edits), place)
     place.drop("index")
     place.release()
-    found = places_of(bodies.select("t", "i"), least).join(linked.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
+    found = places_of(bodies.select("t", "i"), least, least if short is None else min(short, least)).join(linked.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
     found = place.table("places", found.select("doc_id", "line", F.coalesce("component", "id").alias("class")))
     first = found.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("k")).where("k > 1")
     return found.join(first.hint("merge"), "class").where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line").distinct()
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, doc_id: str = "doc_id", text: str = "text", short: int | None = None) -> DataFrame:
     """docs with the text of the lines that stay, n_lines before and n_removed."""
     spark = docs.sparkSession
     place = Workspace(spark, "line-dedup")
     docs = docs.drop("n_lines", "n_removed")
-    lost = repeated(docs, place, edits, least, doc_id, text).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("_lost"))
+    lost = repeated(docs, place, edits, least, doc_id, text, short).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("_lost"))
     lost = place.table("lost", lost.withColumnRenamed("doc_id", "_doc"))
     place.drop("places")
     place.release()

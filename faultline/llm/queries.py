@@ -66,7 +66,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document, lines removed, and digest and length of what is left."""
-    cleaned = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    cleaned = line_dedup.dedup(table(spark, sf_dir, "documents"), short=line_dedup.SHORT)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 

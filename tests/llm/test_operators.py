@@ -10,7 +10,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, components, decontaminate, langid, line_dedup, ngram_join, packing, pii, quality, token_counts, url_filter
+import corpus_pipeline
+from faultline.llm import chat, components, decontaminate, langid, line_dedup, ngram_join, packing, pii, quality, queries, token_counts, url_filter
 from faultline.llm.workspace import Workspace
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -377,3 +378,13 @@ def test_line_dedup_by_brute_force(spark):
     got = {r.doc_id: r.text for r in rows}
     assert got.pop(None) == pool[0] and got == want
     assert line_dedup.dedup(docs.limit(0)).count() == 0
+
+
+def test_short_lines_lose_exact_copies(spark, tmp_path):
+    first, second = "All rights reserved.\n\nAll rights reserved!\n  \n春眠不觉晓处处闻啼鸟", "x\n\nAll rights reserved.\n  \n春眠不觉晓处处闻啼鸟\n𝄞\n𝄞"
+    table(spark, [(1, first), (2, second), (3, "x")]).write.parquet(f"{tmp_path}/documents.parquet")
+    left = {1: (first, 5, 0), 2: ("x\n\n  \n𝄞", 7, 3), 3: ("", 1, 1)}
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text_sha256) for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (n, k, hashlib.sha256(t.encode()).hexdigest()) for i, (t, n, k) in left.items()}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, str(tmp_path)).collect()} == {1: first, 2: left[2][0]}
