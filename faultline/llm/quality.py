@@ -9,9 +9,9 @@ the greatest distance of words is a share of that distance.
 
 Edge cases: a null or empty text has no words and fails the base rules; a document
 shorter than a guard is not judged by that histogram; documents without a language
-take no part in the references, and a language needs ``MIN_SHARE`` of the labelled
-documents, which bounds the number of references; without any reference only the base
-rules decide; repeated rows give repeated results; other columns pass unchanged and
+take no part in the references and are judged by the closest; a language has a reference
+from ``LEAST_DOCS`` usual documents on, whatever the size of the table, and documents of
+a language without one are judged by the base rules alone; repeated rows give repeated results; other columns pass unchanged and
 verdict columns of the same name are replaced.
 """
 
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textscan as ts
@@ -32,8 +33,10 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 MAX_CHAR_DISTANCE, MAX_WORD_SHARE, GUARD_CHARS, GUARD_WORDS = 0.2, 0.95, 200, 60
 #: Common words that a text of its length should hold before it is judged by them: with fewer, chance puts clean texts that far.
 GUARD_COMMON = 20
-#: Common words of a language, the share of a batch's words above which a word is counted, least share of documents of a language.
-COMMON, WORD_SHARE, MIN_SHARE = 48, 0.0005, 0.001
+#: Common words of a language, the share of a batch's words above which a word is counted, least documents of a reference.
+COMMON, WORD_SHARE, LEAST_DOCS = 48, 0.0005, 10
+#: Cells of the histograms of words that are compared at once.
+CELLS = 1 << 20
 #: Weight of a document in its language's reference, whatever its length.
 WEIGHT = 1 << 16
 #: A document with more than a symbol in so many words, or fewer than MIN_WORDS words, is no part of a reference.
@@ -128,7 +131,7 @@ def fit(docs: DataFrame, common: int = COMMON, text: str = "text", lang: str = "
         for batch in batches:
             labels = batch.column(1).dictionary_encode()
             codes, names = labels.indices.to_numpy(zero_copy_only=False), labels.dictionary.to_pylist()
-            kinds = np.zeros((len(names), N_CLASSES), np.int64)
+            kinds, used = np.zeros((len(names), N_CLASSES), np.int64), np.zeros(len(names), np.int64)
             seen: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in names]
             for row, data, offsets in ts.blocks(batch.column(0)):
                 mine = codes[row : row + len(offsets) - 1].astype(np.int64)
@@ -136,6 +139,7 @@ def fit(docs: DataFrame, common: int = COMMON, text: str = "text", lang: str = "
                 length = np.diff(first)
                 usual = (length >= MIN_WORDS) & (per_text(SYMBOL[data], offsets) * MAX_SYMBOLS <= length)
                 own = class_counts(data, offsets)
+                used += np.bincount(mine[usual], minlength=len(names))
                 np.add.at(kinds, mine[usual], (own * WEIGHT // np.maximum(1, own.sum(1, keepdims=True)))[usual])
                 owner = np.repeat(np.where(usual, mine, -1), length)
                 weight = np.repeat(WEIGHT / np.maximum(1, length), length)
@@ -146,7 +150,7 @@ def fit(docs: DataFrame, common: int = COMMON, text: str = "text", lang: str = "
                 words, place = np.unique(np.concatenate([h for h, _ in seen[k]]) if seen[k] else np.zeros(0, np.uint64), return_inverse=True)
                 counts = np.bincount(place, np.concatenate([w for _, w in seen[k]]) if seen[k] else None, len(words)).astype(np.int64)
                 often = counts >= WORD_SHARE * counts.sum()
-                out += [(name, "docs", 0, int((codes == k).sum())), (name, "words", 0, int(counts.sum()))]
+                out += [(name, "docs", 0, int(used[k])), (name, "words", 0, int(counts.sum()))]
                 out += [(name, "class", i, int(n)) for i, n in enumerate(kinds[k])]
                 out += [(name, "word", int(w), int(n)) for w, n in zip(words[often].view(np.int64), counts[often])]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "what", "key", "n"])
@@ -154,8 +158,7 @@ def fit(docs: DataFrame, common: int = COMMON, text: str = "text", lang: str = "
     sums = docs.where(F.col(lang).isNotNull()).select(F.col(text), F.col(lang).cast("string")).mapInArrow(tally, "lang string, what string, key long, n long").groupBy("lang", "what", "key").agg(F.sum("n").alias("n"))
     sums = sums.persist()
     try:
-        total = sums.where("what = 'docs'").agg(F.sum("n")).first()[0] or 0
-        heads = {r.lang: {} for r in sums.where((F.col("what") == "docs") & (F.col("n") >= MIN_SHARE * total)).collect()}
+        heads = {r.lang: {} for r in sums.where((F.col("what") == "docs") & (F.col("n") >= LEAST_DOCS)).collect()}
         langs = sorted(heads)
         kept = sums.where(F.col("lang").isin(langs) & (F.col("what") != "docs")) if langs else sums.limit(0)
         shares = kept.where("what = 'words'").select("lang", F.col("n").alias("all_words"))
@@ -199,9 +202,12 @@ def divergences(data: np.ndarray, offsets: np.ndarray, refs: References) -> dict
     if width > 1:
         near = np.minimum(at, width - 2)
         at = np.where(refs.vocabulary[near] == hashes, near, width - 1)
-    text = np.repeat(np.arange(n), np.diff(first))
-    counts = np.bincount(text * width + at, minlength=n * width).reshape(n, width)
-    by_class, by_word = distances(kinds, refs.classes), distances(counts, refs.words)
+    by_class, by_word, step = distances(kinds, refs.classes), np.zeros((n, len(refs.languages))), max(1, CELLS // width)
+    for k in range(0, n, step):
+        m = min(n, k + step) - k
+        text = np.repeat(np.arange(m), np.diff(first[k : k + m + 1]))
+        counts = np.bincount(text * width + at[first[k] : first[k + m]], minlength=m * width).reshape(m, width)
+        by_word[k : k + m] = distances(counts, refs.words)
     if not refs.languages:
         return {"language": np.full(n, -1), "char_distance": np.zeros(n), "word_distance": np.zeros(n), "diverges": np.zeros(n, bool)}
     best = np.argmin(by_class + by_word, 1)
@@ -212,13 +218,13 @@ def divergences(data: np.ndarray, offsets: np.ndarray, refs: References) -> dict
     return {"language": best, "char_distance": c, "word_distance": w, "diverges": (judged_c & (c > MAX_CHAR_DISTANCE)) | (judged_w & (w > MAX_WORD_SHARE * refs.without_common()[best]))}
 
 
-def judge(docs: DataFrame, refs: References | None = None, text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, refs: References | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
     """All columns of docs, then the base counts, base_failed, closest_lang, the two distances and kept."""
-    refs = fit(docs, text=text) if refs is None else refs
+    refs = fit(docs, text=text, lang=lang) if refs is None else refs
     shared = docs.sparkSession.sparkContext.broadcast(refs)
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "closest_lang", "char_distance", "word_distance", "kept"]
     docs = docs.drop(*added)
-    where = docs.columns.index(text)
+    where, tongue = docs.columns.index(text), docs.columns.index(lang) if lang in docs.columns else None
     kinds = [*[T.LongType()] * 5, T.BooleanType(), T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(name, kind) for name, kind in zip(added, kinds))])
 
@@ -226,11 +232,15 @@ def judge(docs: DataFrame, refs: References | None = None, text: str = "text") -
         refs = shared.value
         for batch in batches:
             parts: dict[str, list[np.ndarray]] = {}
-            for _, data, offsets in ts.blocks(batch.column(where)):
+            known = np.ones(batch.num_rows, bool)
+            if tongue is not None:
+                spoken = batch.column(tongue).cast(pa.string())
+                known = pc.or_(pc.is_null(spoken), pc.is_in(spoken, pa.array(refs.languages, pa.string()))).to_numpy(zero_copy_only=False)
+            for row, data, offsets in ts.blocks(batch.column(where)):
                 c = base_counts(data, offsets)
                 d = divergences(data, offsets, refs)
                 failed = base_failed(c)
-                for k, v in (c | d | {"base_failed": failed, "kept": ~failed & ~d["diverges"]}).items():
+                for k, v in (c | d | {"base_failed": failed, "kept": ~failed & ~(d["diverges"] & known[row : row + len(failed)])}).items():
                     parts.setdefault(k, []).append(v)
             if not parts:
                 continue

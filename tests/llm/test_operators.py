@@ -223,6 +223,19 @@ def test_quality_rejects_plain_letters_without_common_words(spark):
     assert all(got[i] == (False, False) for i, _ in noise) and all(got[i] == (False, True) for i, _ in clean)
 
 
+def test_quality_of_rare_languages(spark):
+    rng = random.Random(17)
+    cyrillic, greek = "абвгдежзиклмнопрст", "αβγδεζηθικλμνξοπ"
+    many = [(i, prose(rng, "the of and to in is it for on with as at", 60), "en") for i in range(14_000)]
+    rare = [(20_000 + i, prose(rng, "и в не на что как это по", 80, cyrillic), "ru") for i in range(11)] + [(30_000, prose(rng, "και το να", 80, greek), "el")]
+    noise = [(40_000, letters(rng, 90), "ru"), (40_001, letters(rng, 90, cyrillic), "ru"), (40_002, letters(rng, 90, "#$%ab"), "el")]
+    docs = spark.createDataFrame([(i, t, l, "s", len(t)) for i, t, l in many + rare + noise], SCHEMA)
+    refs = quality.fit(docs)
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(docs.where("doc_id >= 20000"), refs).collect()}
+    assert refs.languages == ["en", "ru"] and all(got[i] == (False, True) for i, *_ in rare)
+    assert [got[i][1] for i, *_ in noise] == [False, False, True]
+
+
 # --- 6 personal data ---------------------------------------------------------------
 
 def luhn(digits):
