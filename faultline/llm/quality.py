@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import textscan as ts
 
@@ -33,12 +33,12 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 MAX_CHAR_DISTANCE, MAX_WORD_SHARE, GUARD_CHARS, GUARD_WORDS = 0.2, 0.95, 200, 60
 #: Common words that a text of its length should hold before it is judged by them: with fewer, chance puts clean texts that far.
 GUARD_COMMON = 20
-#: Common words of a language, the share of a batch's words above which a word is counted, least documents of a reference.
-COMMON, WORD_SHARE, LEAST_DOCS = 48, 0.0005, 10
+#: Common words of a language, a common word's least share of the language's words, its least occurrences in texts of MIN_WORDS words, least documents of a reference.
+COMMON, WORD_SHARE, LEAST_USES, LEAST_DOCS = 48, 0.0005, 5, 10
 #: Cells of the histograms of words that are compared at once.
 CELLS = 1 << 20
 #: Weight of a document in its language's reference, whatever its length.
-WEIGHT = 1 << 16
+WEIGHT = 1 << 32
 #: A document with more than a symbol in so many words, or fewer than MIN_WORDS words, is no part of a reference.
 MAX_SYMBOLS = 20
 
@@ -142,18 +142,21 @@ def fit(docs: DataFrame, common: int = COMMON, text: str = "text", lang: str = "
                 used += np.bincount(mine[usual], minlength=len(names))
                 np.add.at(kinds, mine[usual], (own * WEIGHT // np.maximum(1, own.sum(1, keepdims=True)))[usual])
                 owner = np.repeat(np.where(usual, mine, -1), length)
-                weight = np.repeat(WEIGHT / np.maximum(1, length), length)
+                weight = np.repeat(WEIGHT // np.maximum(1, length), length)
                 for k in range(len(names)):
                     seen[k].append((hashes[owner == k], weight[owner == k]))
-            out: list[tuple] = []
-            for k, name in enumerate(names):
+            if not names:
+                continue
+            who, what, key, n = [], [], [], []
+            for k in range(len(names)):
                 words, place = np.unique(np.concatenate([h for h, _ in seen[k]]) if seen[k] else np.zeros(0, np.uint64), return_inverse=True)
                 counts = np.bincount(place, np.concatenate([w for _, w in seen[k]]) if seen[k] else None, len(words)).astype(np.int64)
-                often = counts >= WORD_SHARE * counts.sum()
-                out += [(name, "docs", 0, int(used[k])), (name, "words", 0, int(counts.sum()))]
-                out += [(name, "class", i, int(n)) for i, n in enumerate(kinds[k])]
-                out += [(name, "word", int(w), int(n)) for w, n in zip(words[often].view(np.int64), counts[often])]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "what", "key", "n"])
+                what.append(np.repeat(np.arange(4), [1, 1, N_CLASSES, len(words)]))
+                who.append(np.full(len(what[-1]), k))
+                key.append(np.concatenate([[0, 0], np.arange(N_CLASSES), words.view(np.int64)]))
+                n.append(np.concatenate([[used[k], counts.sum()], kinds[k], counts]))
+            texts = [pa.array(names, pa.string()).take(pa.array(np.concatenate(who))), pa.array(["docs", "words", "class", "word"]).take(pa.array(np.concatenate(what)))]
+            yield pa.RecordBatch.from_arrays([*texts, pa.array(np.concatenate(key), pa.int64()), pa.array(np.concatenate(n), pa.int64())], names=["lang", "what", "key", "n"])
 
     sums = docs.where(F.col(lang).isNotNull()).select(F.col(text), F.col(lang).cast("string")).mapInArrow(tally, "lang string, what string, key long, n long").groupBy("lang", "what", "key").agg(F.sum("n").alias("n"))
     sums = sums.persist()
@@ -162,13 +165,16 @@ def fit(docs: DataFrame, common: int = COMMON, text: str = "text", lang: str = "
         langs = sorted(heads)
         kept = sums.where(F.col("lang").isin(langs) & (F.col("what") != "docs")) if langs else sums.limit(0)
         shares = kept.where("what = 'words'").select("lang", F.col("n").alias("all_words"))
-        rows = kept.where("what <> 'word'").unionByName(kept.where("what = 'word'").join(F.broadcast(shares), "lang").where(F.col("n") >= WORD_SHARE * F.col("all_words")).select(sums.columns)).collect()
+        words = kept.where("what = 'word'").join(F.broadcast(shares), "lang")
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
+        often = (F.col("n") >= WORD_SHARE * F.col("all_words")) & (F.col("n") >= LEAST_USES * WEIGHT // MIN_WORDS)
+        top = words.where(often).withColumn("rank", rank).where(F.col("rank") <= common).select("key").distinct()
+        rows = kept.where("what <> 'word'").unionByName(words.join(F.broadcast(top), "key").select(sums.columns)).collect()
     finally:
         sums.unpersist()
     for r in rows:
         heads[r.lang].setdefault(r.what, {})[r.key] = r.n
-    chosen = {x: sorted(heads[x].get("word", {}), key=lambda w, x=x: (-heads[x]["word"][w], w))[:common] for x in langs}
-    vocabulary = np.unique(np.array([w for x in langs for w in chosen[x]], np.int64).view(np.uint64))
+    vocabulary = np.unique(np.array([w for x in langs for w in heads[x].get("word", {})], np.int64).view(np.uint64))
     classes, words = np.zeros((len(langs), N_CLASSES)), np.zeros((len(langs), len(vocabulary) + 1))
     for i, x in enumerate(langs):
         for k, n in heads[x].get("class", {}).items():

@@ -236,6 +236,19 @@ def test_quality_of_rare_languages(spark):
     assert [got[i][1] for i, *_ in noise] == [False, False, True]
 
 
+def test_quality_references_count_all_words_in_any_layout(spark):
+    rng = random.Random(18)
+    flat = [f"w{i}" for i in range(1200)]
+    docs = table(spark, [(i, " ".join(rng.choice(flat) for _ in range(60 + i % 40))) for i in range(400)])
+    one, many = quality.fit(docs.coalesce(1)), quality.fit(docs.repartition(40))
+    assert len(one.vocabulary) == quality.COMMON and (one.vocabulary == many.vocabulary).all()
+    assert (one.words == many.words).all() and (one.classes == many.classes).all()
+    share = collections.Counter()
+    for r in docs.collect():
+        share.update({w: c / len(r.text.split()) / 400 for w, c in collections.Counter(r.text.split()).items()})
+    assert sorted(one.words[0, :-1]) == pytest.approx(sorted(x for _, x in share.most_common(quality.COMMON)), rel=1e-6)
+
+
 # --- 6 personal data ---------------------------------------------------------------
 
 def luhn(digits):
