@@ -26,8 +26,8 @@ from . import textscan as ts
 
 #: Bytes of a window, states of a direction, and windows that are computed at once.
 WINDOW, HIDDEN, LANES = 128, 8, 2048
-#: Bounds of the training sample, of the languages, and the training itself.
-SAMPLE_DOCS, SAMPLE_WINDOWS, LANGUAGES = 400, 3, 64
+#: Bounds of each language's training sample, and the training itself.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 3
 EPOCHS, BATCH, RATE, SEED = 8, 128, 0.02, 11
 PAD = 256
 UNKNOWN = "und"
@@ -178,11 +178,9 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Network | None:
     """Network learned from a bounded sample of the labelled documents that are not held out."""
     known = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where(F.col("l").isNotNull() & ~held_out(F.col("i")))
-    sizes = {r.l: r.n for r in known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
-    if not sizes:
-        return None
+    sizes = known.groupBy("l").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64(F.col("i")), F.lit(1 << 20)) / float(1 << 20)
-    share = F.element_at(F.create_map(*(F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, sample_docs / n)))), F.col("l"))
+    share = F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("n"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +196,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                     parts.append(data[start[i] : min(start[i] + WINDOW, offsets[i + 1])].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows, pa.int64())), pa.array(parts, pa.binary())], names=["l", "b"])
 
-    chosen = known.where((place < share) & F.col("t").rlike(r"\p{L}")).select("t", "l", F.xxhash64("i", F.lit(1)))
+    chosen = known.join(F.broadcast(sizes), "l").where((place < share) & F.col("t").rlike(r"\p{L}")).select("t", "l", F.xxhash64("i", F.lit(1)))
     got = sorted((r.l, bytes(r.b)) for r in chosen.mapInArrow(windows, "l string, b binary").collect())
     languages = sorted({l for l, _ in got})
     if not languages:

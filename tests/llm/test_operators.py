@@ -118,6 +118,12 @@ def test_language_on_held_out_documents(spark):
     assert langid.predict(docs.limit(0), net).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(15)
+    docs = spark.createDataFrame([(i, letters(rng, 4), f"l{i % 70:02}", "s", 0) for i in range(700)], SCHEMA)
+    assert langid.fit(docs, sample_docs=2**20).languages == [f"l{i:02}" for i in range(70)]
+
+
 # --- 4 n-gram join -----------------------------------------------------------------
 
 def shingles(text, width):
