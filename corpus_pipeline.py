@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from faultline.llm import decontaminate, line_dedup, ngram_join, packing, quality
 from faultline.llm.workspace import Workspace
 
-#: SQL cannot express best-fit packing or the edit join; the tests compare with a brute-force version.
+#: SQL cannot express best-fit packing or the edit join; the tests compare its stages' operators with brute force, and run() with the stages.
 ORACLE_SQL = None
 
 #: A text with a word.
