@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, doc
                 count = np.where(known[at] == key, often[at], 0) if len(known) else np.zeros(len(key), np.uint64)
                 order = np.lexsort((key, count, owner))
                 ordered = key[order]
-                sums = [np.concatenate([[0], np.cumsum(ts.mix(key + np.uint64(salt)), dtype=np.uint64)]) for salt in (1, 0x1234567)]
+                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(ts.mix(key + np.uint64(salt)), dtype=np.uint64)]) for salt in (1, 0x1234567)]
                 out["n"].append(size)
                 for name, total in zip(("s1", "s2"), sums):
                     out[name].append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
