@@ -1,14 +1,15 @@
 """Candidate pairs from keyed rows, without all pairs of a bucket.
 
-Rows (key, id, side, a few small numbers) travel as packed columns: one row of the
-shuffle holds all rows of a batch for one part of the key space, so a shuffle moves few
-rows and the work inside a task is columnar.
+Raw rows (key, id, size, a few small numbers) travel to their part of the key space as
+packed columns, and rows whose key nobody shares end there.  The others, the index, are
+plain rows, and so are all pairs: joins and counts of them are Spark's own.
 
 First the star pass pairs each bucket's hub (the member of least rank) with the other
 members: as many pairs as rows.  When these are verified and their components are known,
 the cross pass pairs members of different components only.  Members that a verified
 chain connects need no more comparisons, since only components are asked for; every
-other pair that passes the caller's filter is made, so no link is lost.
+other pair that passes the caller's filters is made, so no link is lost.  In a bucket
+the rows outside its largest component meet all rows, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -17,24 +18,30 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import textscan as ts
 from .components import components
 from .workspace import Workspace, partitions
 
-#: Parts of the key space in a task, and pairs that a task holds at once.
-PARTS_EACH, PAIRS = 4, 1 << 20
-#: Rows of a bucket that one job compares with each other, and pairs of a verification cell.
-BLOCK, CELL = 4096, 1000
-#: Bits of the table that keeps most texts without a pair from being sent.
-FILTER_BITS = 1 << 23
+#: Parts of the key space in a task, and raw bytes of a part.
+PARTS_EACH, PART_BYTES = 4, 32 << 20
+#: Rows of a bucket in a block, pairs of one id in a verification cell, pairs of a part of the cells.
+BLOCK, CELL, PART_PAIRS = 4096, 64, 4096
+#: Bits of the table that keeps most texts without a pair from being sent: so many for each pair, between these bounds.
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 28
 
 Columns = dict[str, np.ndarray]
-#: (left rows, right rows) -> whether a pair can be a link; both as columns.
-Filter = Callable[[Columns, Columns], np.ndarray]
+#: (left, right), each a function of a column's name -> whether a pair can be a link
+Filter = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 #: (shared buckets, sizes of both) -> whether the pair can be a link
-Enough = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+Enough = Callable[[Column, Column, Column], Column]
+
+SQL_KINDS = {np.uint64: "long", np.int64: "long", np.uint32: "long", np.int32: "int", np.uint8: "int"}
+
+
+def parts_of(spark: SparkSession, total_bytes: float) -> int:
+    """Parts of the key space for so many bytes of raw rows."""
+    return max(PARTS_EACH * partitions(spark), -(-int(total_bytes) // PART_BYTES))
 
 
 def planes(column: np.ndarray) -> bytes:
@@ -45,10 +52,10 @@ def pack(rows: Columns, parts: int) -> Iterator[tuple[int, bytes]]:
     """Rows of a batch by part of the key space, as bytes: column by column, and in a column byte by byte, so that high bytes compress to nothing."""
     part = ((rows["key"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    used, start = np.unique(part[order], return_index=True)
     ordered = [rows[k][order] for k in rows]
-    for p in np.flatnonzero(np.diff(bounds)):
-        yield int(p), b"".join(planes(c[bounds[p] : bounds[p + 1]]) for c in ordered)
+    for p, a, b in zip(used, start, [*start[1:], len(part)]):
+        yield int(p), b"".join(planes(c[a:b]) for c in ordered)
 
 
 def unpack(blob: bytes, kinds: Sequence[tuple[str, type]]) -> Columns:
@@ -66,6 +73,17 @@ def packed_batch(rows: Columns, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["part", "rows"])
 
 
+def tables_by_part(batches: Iterator[pa.RecordBatch], kinds: Sequence[tuple[str, type]]) -> Iterator[Columns]:
+    """All rows of each part of a task, part by part."""
+    got: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            got.setdefault(part, []).append(blob)
+    for part in sorted(got):
+        pieces = [unpack(b, kinds) for b in got.pop(part)]
+        yield {k: np.concatenate([p[k] for p in pieces]) for k, _ in kinds}
+
+
 def sorted_buckets(table: Columns, order: Sequence[str]) -> tuple[Columns, np.ndarray]:
     """Rows sorted by key and then by the named columns, and the first row of each bucket (one more at the end)."""
     at = np.lexsort([*(table[c] for c in reversed(order)), table["key"]])
@@ -82,244 +100,135 @@ def without_singles(table: Columns, first: np.ndarray) -> tuple[Columns, np.ndar
     return {k: v[keep] for k, v in table.items()}, np.concatenate([[0], np.cumsum(size[size > 1])]).astype(np.int64)
 
 
-PAIR = (("key", np.uint64), ("a", np.int64), ("b", np.int64), ("na", np.int32), ("nb", np.int32), ("n", np.int32))
+def as_batch(table: Columns, kinds: Sequence[tuple[str, type]]) -> pa.RecordBatch:
+    """Plain rows, unsigned numbers as the next signed ones."""
+    wide = {np.uint64: np.int64, np.uint32: np.int64, np.uint8: np.int32}
+    cast = lambda v, t: v.view(np.int64) if t is np.uint64 else v.astype(wide.get(t, t))
+    return pa.RecordBatch.from_arrays([pa.array(cast(table[k], t)) for k, t in kinds], names=[k for k, _ in kinds])
 
 
-def summed(pairs: Columns) -> Columns:
-    """Distinct pairs, with the sum of their counts."""
-    order = np.lexsort((pairs["b"], pairs["a"]))
-    pairs = {k: v[order] for k, v in pairs.items()}
-    new = np.ones(len(order), bool)
-    new[1:] = (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])
-    at = np.flatnonzero(new)
-    n = np.add.reduceat(pairs["n"], at).astype(np.int32) if len(at) else pairs["n"]
-    return {k: v[at] for k, v in pairs.items()} | {"n": n}
-
-
-def counted(left: Columns, right: Columns) -> Columns:
-    """Distinct pairs of different ids, the lesser first, with their sizes and how often they occur."""
-    swap, keep = left["id"] > right["id"], left["id"] != right["id"]
-    pick = lambda c, first: np.where(swap == first, right[c], left[c])[keep]
-    a, b = pick("id", True), pick("id", False)
-    pairs = {"key": ts.mix(a.view(np.uint64) ^ ts.mix(b.view(np.uint64))), "a": a, "b": b, "na": pick("size", True).astype(np.int32), "nb": pick("size", False).astype(np.int32), "n": np.ones(len(a), np.int32)}
-    return summed(pairs)
+def side(name: str) -> Callable[[str], Column]:
+    return lambda c: F.col(f"{name}.{c}")
 
 
 class Buckets:
-    """Packed rows of one join, stored once and read by both passes."""
+    """The index of one join, stored once and read by both passes."""
 
-    def __init__(self, place: Workspace, name: str, packed: DataFrame, kinds: Sequence[tuple[str, type]], rank: Sequence[str], test: Filter, sided: bool = False, enough: Enough | None = None):
-        """kinds: columns of the rows, key first, then id and size; rank: columns that order a bucket's members, the hub first; test: pair filter.
+    def __init__(self, place: Workspace, name: str, packed: DataFrame, kinds: Sequence[tuple[str, type]], rank: Sequence[str], test: Filter, parts: int, sided: bool = False, enough: Enough | None = None):
+        """kinds: columns of the rows, key first, then id and size; rank: columns that order a bucket's members, the hub first; test: pair filter; parts: of the key space in packed.
 
         enough: condition on the number of buckets that a pair shares.  The star pass counts
         only buckets whose hub is one of the pair, and may therefore pass over a link; the
-        cross pass counts all buckets of each pair that is still apart, so none is lost.
+        cross pass compares the whole lists of buckets of both, so none is lost.
 
         sided: column ``look`` is 1 for rows that only look for others; two of them are no pair.
         """
         self.place, self.name, self.kinds, self.rank, self.test, self.sided, self.enough = place, name, list(kinds), list(rank), test, sided, enough
-        self.tasks = partitions(place.spark)
-        kinds_, rank_, sided_ = self.kinds, self.rank, sided
+        kinds_, tasks = self.kinds, max(partitions(place.spark), -(-parts // PARTS_EACH))
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got: dict[int, list[bytes]] = {}
-            for batch in batches:
-                for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    got.setdefault(part, []).append(blob)
-            for part in sorted(got):
-                pieces = [unpack(b, kinds_) for b in got.pop(part)]
-                table = {k: np.concatenate([p[k] for p in pieces]) for k, _ in kinds_}
-                table, first = sorted_buckets(table, ["id", *rank_])
+            for table in tables_by_part(batches, kinds_):
+                table, first = sorted_buckets(table, ["id", *(k for k, _ in kinds_[2:])])
                 new = np.ones(len(table["id"]), bool)  # equal rows of a bucket come from repeated texts
                 if len(new):
                     same = table["key"][1:] == table["key"][:-1]
                     for k, _ in kinds_[1:]:
                         same &= table[k][1:] == table[k][:-1]
                     new[1:] = ~same
-                table, first = sorted_buckets({k: v[new] for k, v in table.items()}, [*rank_, "id"])
-                table, first = without_singles(table, first)
-                if sided_ and len(table["id"]):
+                table, first = without_singles(*sorted_buckets({k: v[new] for k, v in table.items()}, ["id"]))
+                if sided and len(table["id"]):
                     found = np.repeat(np.minimum.reduceat(table["look"], first[:-1]) == 0, np.diff(first))
                     table = {k: v[found] for k, v in table.items()}
-                if len(table["id"]):
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([b"".join(planes(table[k]) for k, _ in kinds_)], pa.large_binary()).cast(pa.binary())], names=["part", "rows"])
+                yield as_batch(table, kinds_)
 
-        dealt = packed.repartition(self.tasks, "part")
-        self.rows = place.table(name, dealt.mapInArrow(gather, "part int, rows binary"))
+        schema = ", ".join(f"{k} {SQL_KINDS[t]}" for k, t in kinds_)
+        self.rows = place.table(name, packed.repartition(tasks, "part").mapInArrow(gather, schema))
+
+    def _may(self, left: Callable[[str], Column], right: Callable[[str], Column]) -> Column:
+        apart = left("id") != right("id")
+        if self.sided:
+            apart &= left("look") + right("look") < 2
+        return apart & self.test(left, right)
 
     def star(self) -> DataFrame:
-        """(a, b): each bucket's hub and its other members, where the filter lets them."""
-        kinds, test, sided = self.kinds, self.test, self.sided
-
-        parts = PARTS_EACH * self.tasks
-
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for blob in batch.column(1).to_pylist():
-                    table, first = sorted_buckets_of(unpack(blob, kinds))
-                    size = np.diff(first)
-                    hub = np.repeat(first[:-1], size)
-                    other = np.arange(len(hub))
-                    keep = other != hub
-                    if sided:
-                        keep &= (table["look"][hub] & table["look"]) == 0
-                    hub, other = hub[keep], other[keep]
-                    left, right = ({k: v[x] for k, v in table.items()} for x in (hub, other))
-                    good = test(left, right)
-                    yield packed_batch(counted({k: v[good] for k, v in left.items()}, {k: v[good] for k, v in right.items()}), parts)
-
-        return self._enough(self.rows.mapInArrow(pairs, "part int, rows binary"))
-
-    def _enough(self, packed: DataFrame) -> DataFrame:
-        """Distinct pairs that share enough buckets.  Pairs travel packed, and a task's pairs are summed as they come."""
-        enough = self.enough
-
-        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got: dict[int, list[bytes]] = {}
-            for batch in batches:
-                for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    got.setdefault(part, []).append(blob)
-            for part in sorted(got):
-                pieces = [unpack(b, PAIR) for b in got.pop(part)]
-                pairs = summed({k: np.concatenate([p[k] for p in pieces]) for k, _ in PAIR})
-                good = slice(None) if enough is None else enough(pairs["n"], pairs["na"], pairs["nb"])
-                yield pa.RecordBatch.from_arrays([pa.array(pairs["a"][good]), pa.array(pairs["b"][good])], names=["a", "b"])
-
-        return packed.repartition(self.tasks, "part").mapInArrow(total, "a long, b long")
+        """(a, b): each bucket's hub and its other members, where the filters let them."""
+        others = [k for k, _ in self.kinds if k not in ("key", "id", *self.rank)]
+        # a table of its own, so that adaptive execution can split the join at a hot key
+        hubs = self.place.table(f"{self.name}-hubs", self.rows.groupBy("key").agg(F.min(F.struct(*self.rank, "id", *others)).alias("hub")))
+        hub, row = side("h.hub"), side("r")
+        pairs = self.rows.alias("r").join(hubs.alias("h"), (F.col("r.key") == F.col("h.key")) & self._may(hub, row))
+        if self.enough is None:
+            return pairs.select(F.least(hub("id"), row("id")).alias("a"), F.greatest(hub("id"), row("id")).alias("b")).distinct()
+        first = hub("id") < row("id")
+        sizes = [F.when(first, x("size")).otherwise(y("size")).alias(n) for n, x, y in (("na", hub, row), ("nb", row, hub))]
+        total = pairs.select(F.least(hub("id"), row("id")).alias("a"), F.greatest(hub("id"), row("id")).alias("b"), *sizes).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
+        return total.where(self.enough(F.col("n"), F.col("na"), F.col("nb"))).select("a", "b")
 
     def cross(self, members: DataFrame) -> DataFrame:
-        """(a, b) of different components that share a bucket, where the filter lets them; members: (node, component) of the star pass's links."""
-        kinds, test, sided = self.kinds, self.test, self.sided
-
-        def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    mine = np.unique(unpack(blob, kinds)["id"])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), part, np.int32)), pa.array(mine)], names=["part", "node"])
-
-        # each part gets the components of its own members
-        asked = self.rows.mapInArrow(ids, "part int, node long")
-        known = asked.join(members, "node").select("part", "node", "component")
-
-        def jobs(left: pa.Table, right: pa.Table) -> pa.Table:
-            node, component = (right.column(c).to_numpy() for c in ("node", "component"))
-            order = np.argsort(node)
-            node, component = node[order], component[order]
-            out: list[tuple[bytes, bytes]] = []
-            for blob in left.column("rows").to_pylist():
-                table = unpack(blob, kinds)
-                at = np.minimum(np.searchsorted(node, table["id"]), max(0, len(node) - 1))
-                table["component"] = np.where(node[at] == table["id"], component[at], table["id"]) if len(node) else table["id"]
-                out += work(table)
-            return pa.table({"left": pa.array([x for x, _ in out], pa.binary()), "right": pa.array([x for _, x in out], pa.binary())})
-
-        wider, parts = [*kinds, ("component", np.int64)], PARTS_EACH * self.tasks
-
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    table = unpack(one, wider)
-                    other = unpack(two, wider)
-                    for i, j in open_pairs(table, other):
-                        right = other if len(other["id"]) else table
-                        left_rows, right_rows = ({k: v[x] for k, v in t.items()} for t, x in ((table, i), (right, j)))
-                        good = test(left_rows, right_rows)
-                        if sided:
-                            good &= (left_rows["look"] & right_rows["look"]) == 0
-                        if good.any():
-                            yield packed_batch(counted({k: v[good] for k, v in left_rows.items()}, {k: v[good] for k, v in right_rows.items()}), parts)
-
-        dealt = self.rows.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(jobs, "left binary, right binary")
-        return self._enough(dealt.repartition(self.tasks).mapInArrow(pairs, "part int, rows binary"))
-
-
-def sorted_buckets_of(table: Columns) -> tuple[Columns, np.ndarray]:
-    """Stored rows are sorted already."""
-    key = table["key"]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return table, np.concatenate([first, [len(key)]]).astype(np.int64)
-
-
-def work(table: Columns) -> list[tuple[bytes, bytes]]:
-    """Buckets with several components as jobs of bounded pairs: (rows, none) or, of one large bucket, (block, block)."""
-    at = np.lexsort((table["component"], table["key"]))
-    table, first = sorted_buckets_of({k: v[at] for k, v in table.items()})
-    if len(first) < 2:
-        return []
-    size = np.diff(first)
-    mixed = table["component"][first[:-1]] != table["component"][first[1:] - 1]
-    large = mixed & (size > BLOCK)
-    as_bytes = lambda rows: b"".join(planes(v[rows]) for v in table.values())
-    out = []
-    small = np.flatnonzero(mixed & ~large)
-    start = 0
-    load = np.cumsum(size[small] * size[small] // 2)
-    while start < len(small):
-        end = max(start + 1, int(np.searchsorted(load, (load[start - 1] if start else 0) + PAIRS, "right")))
-        some = small[start:end]
-        out.append((as_bytes(ts.ragged(first[some], size[some])), b""))
-        start = end
-    for k in np.flatnonzero(large):
-        blocks = [np.arange(i, min(i + BLOCK, first[k + 1])) for i in range(first[k], first[k + 1], BLOCK)]
-        for i, one in enumerate(blocks):
-            for j in range(i, len(blocks)):
-                two = blocks[j]
-                if table["component"][one[0]] != table["component"][two[-1]]:
-                    out.append((as_bytes(one), as_bytes(two) if j > i else b""))
-    return out
-
-
-def open_pairs(table: Columns, other: Columns) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of different components in bounded chunks: of one bucket of the table (sorted by key and component), or of the table and the other."""
-    if len(other["id"]):
-        n = len(other["id"])
-        for k in range(0, len(table["id"]), max(1, PAIRS // n)):
-            i = np.repeat(np.arange(k, min(len(table["id"]), k + max(1, PAIRS // n))), n)
-            j = np.tile(np.arange(n), len(i) // n)
-            keep = table["component"][i] != other["component"][j]
-            yield i[keep], j[keep]
-        return
-    key, component = table["key"], table["component"]
-    n = len(key)
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (component[1:] != component[:-1])]) if n else np.zeros(0, bool)
-    runs = np.concatenate([np.flatnonzero(new), [n]])
-    run_end = runs[np.cumsum(new)] if n else np.zeros(0, np.int64)
-    _, first = sorted_buckets_of(table)
-    counts = np.repeat(first[1:], np.diff(first)) - run_end  # each row meets the rows after its component's run
-    total = np.cumsum(counts)
-    k = 0
-    while k < n:
-        end = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + PAIRS, "right")))
-        yield np.repeat(np.arange(k, end), counts[k:end]), ts.ragged(run_end[k:end], counts[k:end])
-        k = end
-
-
-def perhaps(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Without most texts that are in no pair, by a bit table of FILTER_BITS bits.  It is broadcast, and its size is fixed; full tables only let more texts pass."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    ids = pairs.select(bit("a").alias("bit")).unionByName(pairs.select(bit("b").alias("bit")))
-    word, one = F.shiftright("bit", 6), F.lit(1).cast("long")
-    table = ids.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", one, (F.col("bit") % 64).cast("int"))).alias("_bits"))
-    marked = texts.withColumn("bit", bit("id")).withColumn("_word", word).join(F.broadcast(table), "_word")
-    return marked.where(F.call_function("shiftright", F.col("_bits"), (F.col("bit") % 64).cast("int")).bitwiseAND(one) == 1).select(*texts.columns)
+        """(a, b) of different components that share a bucket, where the filters let them; members: (node, component) of the star pass's links."""
+        named = self.rows.join(members.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        runs = named.groupBy("key", "component").agg(F.count("*").alias("k"))
+        mixed = runs.groupBy("key").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("n")).where(F.col("main.k") < F.col("n"))
+        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+        mixed = mixed.select("key", F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.k")).alias("rows"), blocks(F.col("n")).alias("columns"))
+        live = named.join(self.place.table(f"{self.name}-mixed", mixed), "key")
+        if self.enough is not None:
+            # codes of all buckets of an id; two buckets of equal code count as spare
+            code = F.shiftright("key", 48).cast("short")
+            lists = self.rows.groupBy("id").agg(F.collect_set(code).alias("codes"), F.count("*").alias("all"))
+            live = live.join(lists.withColumn("spare", F.col("all") - F.size("codes")).drop("all"), "id")
+        live = self.place.table(f"{self.name}-live", live)
+        block = F.pmod(F.xxhash64("id"), F.col("rows"))
+        left = live.where("component <> main").withColumn("i", block.cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+        right = live.withColumn("j", F.pmod(F.xxhash64("id"), F.col("columns")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+        x, y = side("x"), side("y")
+        once = (y("component") == y("main")) | (x("component") < y("component"))
+        meet = (x("key") == y("key")) & (x("i") == y("i")) & (x("j") == y("j")) & (x("component") != y("component")) & once & self._may(x, y)
+        if self.enough is not None:
+            meet &= self.enough(F.size(F.array_intersect(x("codes"), y("codes"))) + F.least(x("spare"), y("spare")), x("size"), y("size"))
+        return left.alias("x").join(right.alias("y"), meet).select(F.least(x("id"), y("id")).alias("a"), F.greatest(x("id"), y("id")).alias("b")).distinct()
+
+
+def bit_table(ids: DataFrame, bits: int) -> DataFrame:
+    """Bits of ids (column id, long) as words: a table of a size that the caller sets, which is broadcast."""
+    bit, one = F.pmod(F.xxhash64("id"), F.lit(bits)), F.lit(1).cast("long")
+    return ids.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", one, (F.col("_bit") % 64).cast("int"))).alias("_bits"))
+
+
+def marked(rows: DataFrame, key: Column, table: DataFrame, bits: int) -> tuple[DataFrame, Column]:
+    """rows with the bit table's words, and whether a row's bit is set."""
+    bit, one = F.pmod(F.xxhash64(key), F.lit(bits)), F.lit(1).cast("long")
+    seen = rows.withColumn("_word", F.shiftright(bit, 6)).join(F.broadcast(table), "_word", "left")
+    return seen, F.coalesce(F.call_function("shiftright", F.col("_bits"), (bit % 64).cast("int")).bitwiseAND(one) == 1, F.lit(False))
+
+
+def bits_for(n: int) -> int:
+    """Size of a bit table for n ids; beyond MOST_BITS full tables only let more rows pass."""
+    bits = LEAST_BITS
+    while bits < min(BITS_EACH * n, MOST_BITS):
+        bits *= 2
+    return bits
 
 
 def verify(pairs: DataFrame, texts: DataFrame, test: Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray], place: Workspace, name: str) -> DataFrame:
     """The pairs (a, b) that pass the test on their texts; texts: (id, text).
 
     Pairs meet their texts in cells, by their lesser id; an id of many pairs has several
-    cells.  A text is sent once to each part of the cells that needs it.
+    cells.  A text is sent once to each part of the cells that needs it, and the number of
+    parts grows with the pairs.
     test: (texts, left, right) -> whether each pair of places in the texts is a link.
     """
-    spark = place.spark
-    parts = PARTS_EACH * partitions(spark)
     pairs = place.table(f"{name}-pairs", pairs)
+    n = pairs.count()
+    parts = max(PARTS_EACH * partitions(place.spark), -(-n // PART_PAIRS))
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("k")).where("k > 1")
     salted = pairs.join(many, "a", "left")
     cell = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(1))))
     cells = place.table(f"{name}-cells", salted.select("a", "b", F.pmod(cell, F.lit(parts)).cast("int").alias("part")))
     wanted = cells.select(F.col("a").alias("id"), "part").unionByName(cells.select(F.col("b").alias("id"), "part")).distinct()
-    sent = wanted.join(perhaps(texts, cells), "id").select("part", "id", "text")
+    bits = bits_for(2 * n)
+    seen, may = marked(texts, F.col("id"), place.table(f"{name}-bits", bit_table(wanted, bits)), bits)
+    sent = wanted.join(seen.where(may).select("id", "text"), "id").select("part", "id", "text")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = right.column("id").to_numpy()
@@ -333,15 +242,14 @@ def verify(pairs: DataFrame, texts: DataFrame, test: Callable[[pa.Array, np.ndar
 
     found = cells.select(F.col("part").alias("cell"), "a", "b").groupBy("cell").cogroup(sent.groupBy("part")).applyInArrow(check, "a long, b long")
     found = place.table(f"{name}-links", found)
-    for x in ("pairs", "cells"):
+    for x in ("pairs", "cells", "bits"):
         place.drop(f"{name}-{x}")
     return found
 
 
-def linked(buckets: Buckets, texts: DataFrame, test: Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray], place: Workspace, more: DataFrame | None = None) -> DataFrame:
-    """(node, component) over all links of the buckets' members; more: further candidate pairs."""
-    first = buckets.star() if more is None else buckets.star().unionByName(more).distinct()
-    links = verify(first, texts, test, place, "star")
-    early = components(links, place, "early")
+def linked(buckets: Buckets, texts: DataFrame, test: Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray], place: Workspace, given: DataFrame | None = None) -> DataFrame:
+    """(node, component) over all links of the buckets' members; given: links (a, b) that need no test."""
+    links = verify(buckets.star(), texts, test, place, "star")
+    early = components(links if given is None else links.unionByName(given), place, "early")
     rest = verify(buckets.cross(early), texts, test, place, "cross")
     return components(early.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), place, "late")

@@ -17,10 +17,12 @@ others are removed from their texts.
 Tables that grow with the corpus are joined by sorting at every size, never broadcast.
 
 Edge cases: empty lines, and blank ones of fewer than ``least`` code points, are never
-removed, so paragraphs stay apart; a null text
-stays null and an empty one empty; rows of a null id pass unchanged; rows that share an
-id are one document; a document may lose all lines and is then empty; an empty table
-gives an empty result; other columns pass unchanged, n_lines and n_removed are replaced.
+removed, so paragraphs stay apart; a null text stays null and an empty one empty; rows of
+a null id pass unchanged; a row's lines are named by its id and a hash of its text, so
+rows that share an id but not the text are documents of their own, in order of that hash,
+and rows equal in both are one document and lose the same lines; a document may lose all
+lines and is then empty; an empty table gives an empty result; other columns pass
+unchanged, n_lines and n_removed are replaced.
 A line is named by a 64-bit hash of its code points and length.
 """
 
@@ -31,13 +33,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import buckets as bk, textscan as ts
-from .workspace import Workspace, partitions
+from .workspace import Workspace
 
 #: Edits that separate linked lines, code points of the shortest line that edits may link, and of the shortest one whose exact copies the queries remove.
 EDITS, LEAST, SHORT = 2, 24, 1
+#: Bytes of segment keys for each byte of text, about.
+KEY_BYTES = 1.5
 
 _CODES = ts.mix(np.arange(1 << 16, dtype=np.uint64)) | np.uint64(1)
 _CLASSES = (_CODES >> np.uint64(61)).astype(np.int64)
@@ -170,16 +174,16 @@ def all_lines(data: np.ndarray, offsets: np.ndarray, least: int, short: int) ->
 
 
 def places_of(docs: DataFrame, least: int, short: int) -> DataFrame:
-    """(doc_id, line, id) of all lines that take part."""
+    """(doc_id, row, line, id) of all lines that take part; docs: text, id and row."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_ = batch.column(1)
             for row, data, offsets in ts.blocks(batch.column(0)):
                 ids, text, number = all_lines(data, offsets, least, short)
-                yield pa.RecordBatch.from_arrays([docs_.take(pa.array(text + row)), pa.array(number.astype(np.int64)), pa.array(ids)], names=["doc_id", "line", "id"])
+                at = pa.array(text + row)
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(number.astype(np.int64)), pa.array(ids)], names=["doc_id", "row", "line", "id"])
 
-    return docs.mapInArrow(places, "doc_id long, line long, id long")
+    return docs.mapInArrow(places, "doc_id long, row long, line long, id long")
 
 
 def within(codes: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, edits: int) -> np.ndarray:
@@ -238,28 +242,36 @@ def alike(edits: int):
 def near_size(edits: int) -> bk.Filter:
     """Whether lengths and counts by class leave room: an edit changes the length by one at most and the counts by two."""
 
-    def test(left: bk.Columns, right: bk.Columns) -> np.ndarray:
-        apart = np.zeros(len(left["mark"]), np.uint32)
+    def test(left, right) -> Column:
+        apart = F.lit(0)
         for k in range(0, 32, 4):
-            x = ((left["mark"] >> np.uint32(k)) - (right["mark"] >> np.uint32(k))) & np.uint32(15)
-            apart += np.minimum(x, np.uint32(16) - x)
-        return (np.abs(left["size"] - right["size"]) <= edits) & (apart <= 2 * edits)
+            x = F.pmod(F.shiftright(left("mark"), k) - F.shiftright(right("mark"), k), F.lit(16))
+            apart = apart + F.least(x, 16 - x)
+        return (F.abs(left("size") - right("size")) <= edits) & (apart <= 2 * edits)
 
     return test
 
 
+def row_hash(text: str) -> Column:
+    return F.xxhash64(F.col(text))
+
+
 def repeated(docs: DataFrame, place: Workspace, edits: int = EDITS, least: int = LEAST, doc_id: str = "doc_id", text: str = "text", short: int | None = None) -> DataFrame:
-    """(doc_id, line) of every occurrence that isn't its class's first."""
+    """(doc_id, row, line) of every occurrence that isn't its class's first; row: hash of the text."""
     spark = docs.sparkSession
-    bodies = docs.select(F.col(text).alias("t"), F.col(doc_id).cast("long").alias("i")).where("i is not null and t is not null")
-    index = bk.Buckets(place, "index", keys_of(bodies.select("t"), edits, least, bk.PARTS_EACH * partitions(spark)), KINDS, ["look"], near_size(edits), sided=True)
+    bodies = docs.select(F.col(text).alias("t"), F.col(doc_id).cast("long").alias("i"), row_hash(text).alias("r")).where("i is not null and t is not null")
+    total = bodies.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    parts = bk.parts_of(spark, KEY_BYTES * total)
+    index = bk.Buckets(place, "index", keys_of(bodies.select("t"), edits, least, parts), KINDS, ["look"], near_size(edits), parts, sided=True)
     linked = bk.linked(index, lines_of(bodies.select("t"), least), alike(edits), place)
-    place.drop("index")
+    for name in ("index", "index-hubs", "index-mixed", "index-live"):
+        place.drop(name)
     place.release()
-    found = places_of(bodies.select("t", "i"), least, least if short is None else min(short, least)).join(linked.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
-    found = place.table("places", found.select("doc_id", "line", F.coalesce("component", "id").alias("class")))
-    first = found.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("k")).where("k > 1")
-    return found.join(first.hint("merge"), "class").where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line").distinct()
+    found = places_of(bodies, least, least if short is None else min(short, least)).join(linked.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
+    found = place.table("places", found.select("doc_id", "row", "line", F.coalesce("component", "id").alias("class")))
+    # a table of its own, so that adaptive execution can split the join at a very common line
+    first = place.table("first", found.groupBy("class").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count("*").alias("k")).where("k > 1"))
+    return found.join(first.hint("merge"), "class").where(F.struct("doc_id", "row", "line") != F.col("first")).select("doc_id", "row", "line").distinct()
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, doc_id: str = "doc_id", text: str = "text", short: int | None = None) -> DataFrame:
@@ -267,21 +279,19 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, doc_id: str =
     spark = docs.sparkSession
     place = Workspace(spark, "line-dedup")
     docs = docs.drop("n_lines", "n_removed")
-    lost = repeated(docs, place, edits, least, doc_id, text, short).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("_lost"))
-    lost = place.table("lost", lost.withColumnRenamed("doc_id", "_doc"))
-    place.drop("places")
+    lost = repeated(docs, place, edits, least, doc_id, text, short).groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("line")).alias("_lost"))
+    lost = place.table("lost", lost.withColumnsRenamed({"doc_id": "_doc", "row": "_row"}))
+    for name in ("places", "first"):
+        place.drop(name)
     place.release()
-    # only documents that may lose lines travel to their lists: a bit table of fixed size, which is broadcast, lets the others stay
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bk.FILTER_BITS))
-    one = F.lit(1).cast("long")
-    table = lost.select(bit("_doc").alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", one, (F.col("_bit") % 64).cast("int"))).alias("_bits"))
-    table = place.table("table", table)
-    key = F.col(doc_id).cast("long")
-    seen = docs.withColumn("_word", F.shiftright(bit(key), 6)).join(F.broadcast(table), "_word", "left")
-    may = F.coalesce(F.call_function("shiftright", F.col("_bits"), (bit(key) % 64).cast("int")).bitwiseAND(one) == 1, F.lit(False))
+    # only documents that may lose lines travel to their lists: a bit table, which is broadcast, lets the others stay
+    bits = bk.bits_for(lost.count())
+    table = place.table("table", bk.bit_table(lost.select(F.xxhash64("_doc", "_row").alias("id")), bits))
+    key, row = F.col(doc_id).cast("long"), row_hash(text)
+    seen, may = bk.marked(docs, F.xxhash64(key, row), table, bits)
     feeds = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
     untouched = seen.where(~may).select(*docs.columns, (F.coalesce(feeds, F.lit(0)) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    joined = seen.where(may).select(*docs.columns).join(lost.hint("merge"), key == F.col("_doc"), "left").drop("_doc")
+    joined = seen.where(may).select(*docs.columns).join(lost.hint("merge"), (key == F.col("_doc")) & (row == F.col("_row")), "left").drop("_doc", "_row")
     where = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 

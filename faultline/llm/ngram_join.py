@@ -13,9 +13,10 @@ result, a poor one only more candidates.
 
 Edge cases: a null or empty text, or one without words, has an empty set and no link; a
 text of fewer words than a shingle has one shingle; rows of a null id are returned and
-not linked; rows that repeat an id share its component, and an id with several texts
-takes part with one of them; an empty table gives an empty result; other columns are
-ignored.  Shingles are compared by 64-bit hashes.
+not linked; rows are linked one by one, and rows with words that share an id are one
+document, so an id with several texts links all that any of them is like; an empty table
+gives an empty result; other columns are ignored.  Shingles are compared by 64-bit
+hashes, and a row is named by a 64-bit hash of its id and text.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import buckets as bk, textscan as ts
 from .workspace import Workspace, partitions
@@ -33,6 +34,8 @@ from .workspace import Workspace, partitions
 WIDTH, PERCENT = 5, 80
 #: Least share of a task's documents for a frequent shingle, least number in a task, and greatest number of frequent shingles.
 HEAVY_SHARE, HEAVY_LEAST, HEAVY_MOST = 0.0002, 2, 1 << 17
+#: Shingles that the exact test compares at once.
+ELEMENTS = 1 << 20
 
 
 def sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -83,7 +86,7 @@ def frequent(docs: DataFrame, width: int, place: Workspace, text: str = "text")
 
 
 def signatures(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n, two 64-bit sums that stand for the set, one hash of the prefix, and the packed prefix."""
+    """doc_id, node (hash of id and text), n, two 64-bit sums that stand for the set, one hash of the prefix, and the packed prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +108,10 @@ def signatures(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, doc
                 out["p"].append(ts.range_hashes(ts.prefix_hashes(ordered | np.uint64(1)), bounds[:-1], bounds[:-1] + take).view(np.int64))
                 out["prefix"] += [ordered[a : a + k].tobytes() for a, k in zip(bounds, take)]
             join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(join(out["n"]), pa.int64()), pa.array(join(out["s1"]), pa.int64()), pa.array(join(out["s2"]), pa.int64()), pa.array(join(out["p"]), pa.int64()), pa.array(out["prefix"], pa.binary())], names=["doc_id", "n", "s1", "s2", "p", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(join(out["n"]), pa.int64()), pa.array(join(out["s1"]), pa.int64()), pa.array(join(out["s2"]), pa.int64()), pa.array(join(out["p"]), pa.int64()), pa.array(out["prefix"], pa.binary())], names=["doc_id", "node", "n", "s1", "s2", "p", "prefix"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, p long, prefix binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.withColumn("node", F.xxhash64("doc_id", "text")).mapInArrow(sign, "doc_id long, node long, n long, s1 long, s2 long, p long, prefix binary")
 
 
 def index_rows(groups: DataFrame, parts: int) -> DataFrame:
@@ -146,18 +150,16 @@ KINDS = (*PLACED, ("lost", np.int32))
 def shared_rows(packed: DataFrame, parts: int, tasks: int) -> DataFrame:
     """Rows of shingles that two groups or more hold, each with the number of its group's shingles before it that no other group holds."""
 
-    def collected(batches: Iterator[pa.RecordBatch], kinds: tuple) -> bk.Columns:
-        pieces = [bk.unpack(b, kinds) for batch in batches for b in batch.column(1).to_pylist()]
-        return {k: np.concatenate([p[k] for p in pieces]) if pieces else np.zeros(0, t) for k, t in kinds}
-
     def without_lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, first = bk.without_singles(*bk.sorted_buckets(collected(batches, PLACED), ["id"]))
-        yield bk.packed_batch({"key": ts.mix(table["id"].view(np.uint64)), "id": table["id"], "size": table["size"], "place": table["place"], "shingle": table["key"]}, parts)
+        for rows in bk.tables_by_part(batches, PLACED):
+            table, _ = bk.without_singles(*bk.sorted_buckets(rows, ["id"]))
+            yield bk.packed_batch({"key": ts.mix(table["id"].view(np.uint64)), "id": table["id"], "size": table["size"], "place": table["place"], "shingle": table["key"]}, parts)
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, first = bk.sorted_buckets(collected(batches, (*PLACED, ("shingle", np.uint64))), ["id", "place"])
-        rank = np.arange(len(table["id"])) - np.repeat(first[:-1], np.diff(first))
-        yield bk.packed_batch({"key": table["shingle"], "id": table["id"], "size": table["size"], "place": table["place"], "lost": (table["place"] - rank).astype(np.int32)}, parts)
+        for rows in bk.tables_by_part(batches, (*PLACED, ("shingle", np.uint64))):
+            table, first = bk.sorted_buckets(rows, ["id", "place"])
+            rank = np.arange(len(table["id"])) - np.repeat(first[:-1], np.diff(first))
+            yield bk.packed_batch({"key": table["shingle"], "id": table["id"], "size": table["size"], "place": table["place"], "lost": (table["place"] - rank).astype(np.int32)}, parts)
 
     kind = "part int, rows binary"
     return packed.repartition(tasks, "part").mapInArrow(without_lone, kind).repartition(tasks, "part").mapInArrow(ranked, kind)
@@ -166,10 +168,10 @@ def shared_rows(packed: DataFrame, parts: int, tasks: int) -> DataFrame:
 def size_and_place(percent: int) -> bk.Filter:
     """Whether the sizes and the place of a shared shingle leave room for the similarity: before it the sets share at most the shingles that others hold, behind it at most the shorter rest."""
 
-    def test(left: bk.Columns, right: bk.Columns) -> np.ndarray:
-        x, y = left["size"].astype(np.int64), right["size"].astype(np.int64)
-        shared = np.minimum(left["place"] - left["lost"], right["place"] - right["lost"]) + np.minimum(x - left["place"], y - right["place"])
-        return 100 * shared >= percent * (x + y - shared)
+    def test(left, right) -> Column:
+        before = F.least(left("place") - left("lost"), right("place") - right("lost"))
+        shared = before + F.least(left("size") - left("place"), right("size") - right("place"))
+        return 100 * shared.cast("long") >= percent * (left("size") + right("size") - shared).cast("long")
 
     return test
 
@@ -177,10 +179,12 @@ def size_and_place(percent: int) -> bk.Filter:
 def shares_enough(percent: int) -> bk.Enough:
     """Whether two sets that share so many prefix shingles can be alike: all else they share lies behind the prefix of one of them."""
 
-    def test(shared: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        x, y = x.astype(np.int64), y.astype(np.int64)
-        both = shared + np.maximum(x - prefix_length(x, percent), y - prefix_length(y, percent))
-        return 100 * both >= percent * (x + y - both)
+    def behind(size: Column) -> Column:
+        return F.ceil(percent * size.cast("long") / F.lit(100)) - 1
+
+    def test(shared: Column, x: Column, y: Column) -> Column:
+        both = shared + F.greatest(behind(x), behind(y))
+        return 100 * both >= percent * (x.cast("long") + y.cast("long") - both)
 
     return test
 
@@ -189,17 +193,27 @@ def alike(width: int, percent: int):
     """Exact test of pairs on the texts' sets."""
 
     def test(texts: pa.Array, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        every = [key[a:b] for _, key, bounds in sets(texts, width) for a, b in zip(bounds[:-1], bounds[1:])]
+        keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, key, bounds in sets(texts, width):
+            keys.append(key)
+            sizes.append(np.diff(bounds))
+        size = np.concatenate(sizes)
+        first = np.cumsum(size) - size
+        distinct, code = np.unique(np.concatenate(keys), return_inverse=True)
+        place = np.repeat(np.arange(len(size)), size) * len(distinct) + code  # ascending: texts in order, and their keys in order
         good = np.zeros(len(left), bool)
-        order = np.argsort(left, kind="stable")
-        for k in order:
-            x, y = every[left[k]], every[right[k]]
-            if not len(x) or not len(y):
-                continue
-            at = np.searchsorted(x, y)
-            at[at == len(x)] = 0
-            both = int((x[at] == y).sum())
-            good[k] = 100 * both >= percent * (len(x) + len(y) - both)
+        load = np.cumsum(size[right])
+        k = 0
+        while k < len(left):
+            end = max(k + 1, int(np.searchsorted(load, (load[k - 1] if k else 0) + ELEMENTS, "right")))
+            x, y = left[k:end], right[k:end]
+            wanted = np.repeat(x * len(distinct), size[y]) + code[ts.ragged(first[y], size[y])]
+            at = np.minimum(np.searchsorted(place, wanted), max(0, len(place) - 1))
+            found = np.concatenate([[0], np.cumsum(place[at] == wanted)]) if len(place) else np.zeros(1, np.int64)
+            ends = np.cumsum(size[y])
+            both = found[ends] - found[ends - size[y]]
+            good[k:end] = (both > 0) & (100 * both >= percent * (size[x] + size[y] - both))
+            k = end
         return good
 
     return test
@@ -209,26 +223,34 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: st
     """doc_id, n_shingles and component_id of every row of docs."""
     spark = docs.sparkSession
     place = Workspace(spark, "ngram-join")
-    parts = bk.PARTS_EACH * partitions(spark)
     signed = place.table("signed", signatures(docs, frequent(docs, width, place, text), width, percent, doc_id, text))
-    ids = place.table("ids", signed.select("doc_id", "n", "s1", "s2", "p"))
+    ids = place.table("ids", signed.select("doc_id", "node", "n", "s1", "s2", "p"))
     able = ids.where("n > 0 and doc_id is not null")
-    members = place.table("members", able.groupBy("n", "s1", "s2", "p").agg(F.min("doc_id").alias("member")))
+    members = place.table("members", able.groupBy("n", "s1", "s2", "p").agg(F.min("node").alias("member"), F.min("doc_id").alias("least")))
     several = members.groupBy("n", "p").agg(F.min("member").alias("gid"), F.count("*").alias("k")).where("k > 1").drop("k")
     several = place.table("several", members.join(several, ["n", "p"]).select("gid", "member"))
-    groups = signed.where("n > 0 and doc_id is not null").groupBy("n", "p").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"))
-    index = bk.Buckets(place, "index", shared_rows(index_rows(groups, parts), parts, partitions(spark)), KINDS, ["place"], size_and_place(percent), enough=shares_enough(percent))
+    groups = signed.where("n > 0 and doc_id is not null").groupBy("n", "p").agg(F.min("node").alias("gid"), F.first("prefix").alias("prefix"))
+    in_prefixes = signed.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0]
+    parts = bk.parts_of(spark, 3 * in_prefixes)
+    index = bk.Buckets(place, "index", shared_rows(index_rows(groups, parts), parts, max(partitions(spark), -(-parts // bk.PARTS_EACH))), KINDS, ["place"], size_and_place(percent), parts, enough=shares_enough(percent))
     place.drop("signed")
-    own = bk.Buckets(place, "own", own_rows(several, parts), KINDS, ["place"], lambda x, y: np.ones(len(x["id"]), bool))
+    own = bk.Buckets(place, "own", own_rows(several, parts), KINDS, ["place"], lambda x, y: F.lit(True), parts)
     place.release()
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    linked = bk.linked(Expanded(index, own, several), texts, alike(width, percent), place)
-    classes = members.join(linked.select(F.col("node").alias("member"), "component"), "member", "left")
-    classes = place.table("classes", classes.select("n", "s1", "s2", F.coalesce("component", "member").alias("component_id")))
-    for name in ("index", "own", "several", "members"):
+    set_of = able.select("doc_id", "n", "s1", "s2").join(members.drop("p", "least"), ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "member")
+    set_of = place.table("sets", set_of)
+    # an id with several sets links them
+    twice = set_of.groupBy("doc_id").agg(F.min("member").alias("a"), F.max("member").alias("z")).where("a <> z")
+    given = set_of.join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("member").alias("b")).where("a <> b")
+    texts = docs.select(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("id"), F.col(text).alias("text")).where(F.col(doc_id).isNotNull() & F.col("text").isNotNull())
+    linked = bk.linked(Expanded(index, own, several), texts, alike(width, percent), place, given)
+    nodes = members.select("member", "least").join(linked.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+    classes = place.table("classes", nodes)
+    names = place.table("names", classes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    for name in ("index", "index-hubs", "index-mixed", "index-live", "own", "own-hubs", "own-mixed", "own-live", "several", "members"):
         place.drop(name)
     place.release()
-    found = able.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    called = classes.join(names, "component", "left").select("member", F.coalesce("component_id", "least").alias("component_id"))
+    found = set_of.join(called, "member").select("doc_id", "n_shingles", "component_id")
     alone = ids.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone)
 
@@ -250,7 +272,7 @@ class Expanded:
     def cross(self, early: DataFrame) -> DataFrame:
         """A group whose members are in several components meets every group of its buckets."""
         named = self.members.join(early.select(F.col("node").alias("member"), "component"), "member", "left").withColumn("component", F.coalesce("component", "member"))
-        mixed = F.when(F.min("component") == F.max("component"), F.min("component")).otherwise(-F.abs("gid") - 2)
+        mixed = F.when(F.min("component") == F.max("component"), F.min("component")).otherwise(F.xxhash64(F.lit("several components"), "gid"))
         several = named.groupBy("gid").agg(mixed.alias("component")).select(F.col("gid").alias("node"), "component")
         nodes = early.join(several, "node", "left_anti").unionByName(several)
         pairs = self.groups.cross(nodes)

@@ -171,6 +171,15 @@ def test_near_copies_by_brute_force(spark, width, percent):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_rows_that_repeat_an_id_link_all_their_texts(spark):
+    rng = random.Random(21)
+    a, b, c, d = (sentence(rng, 30) for _ in range(4))
+    rows = [(1, a), (1, b), (5, b), (7, a), (8, c), (9, c), (9, d), (3, d), (3, d), (3, None), (20, f"{d} more")]
+    got = sorted(map(tuple, ngram_join.join(table(spark, rows)).collect()))
+    root = {1: 1, 5: 1, 7: 1, 8: 3, 9: 3, 3: 3, 20: 3}
+    assert got == sorted((i, len(shingles(t, 5)), root[i]) for i, t in rows)
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.join(table(spark, [])).count() == 0
     assert {r.component_id for r in ngram_join.join(table(spark, [(1, None), (2, "")])).collect()} == {1, 2}
@@ -412,6 +421,19 @@ def test_line_dedup_by_brute_force(spark):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_lose_their_own_lines(spark):
+    rng = random.Random(23)
+    lines = [f"line {i} {sentence(rng, 5)}" for i in range(14)]
+    one, short, two = "\n".join(lines[:11]), lines[3], "\n".join(lines[2:14])
+    rows = [(1, one), (1, short), (2, two), (2, two), (None, two), (1, None)]
+    got = collections.Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup(table(spark, rows).coalesce(1)).collect())
+    first, second = sorted([one, short], key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])
+    want = {(None, two, 12, 0): 1, (1, None, 1, 0): 1, (2, "\n".join(lines[11:14]), 12, 9): 2, (1, first, len(first.split("\n")), 0): 1}
+    left = [x for x in second.split("\n") if x not in first.split("\n")]
+    want[(1, "\n".join(left), len(second.split("\n")), len(second.split("\n")) - len(left))] = 1
+    assert got == want
+
+
 def test_short_lines_lose_exact_copies(spark, tmp_path):
     first, second = "All rights reserved.\n\nAll rights reserved!\n  \n春眠不觉晓处处闻啼鸟", "x\n\nAll rights reserved.\n  \n春眠不觉晓处处闻啼鸟\n𝄞\n𝄞"
     table(spark, [(1, first), (2, second), (3, "x")]).write.parquet(f"{tmp_path}/documents.parquet")

@@ -9,7 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from faultline.llm import buckets, chat, langid, line_dedup, packing, textscan as ts, url_filter
+from pyspark.sql import functions as F
+
+from faultline.llm import buckets, chat, langid, line_dedup, ngram_join, packing, textscan as ts, url_filter
+from faultline.llm.workspace import Workspace
 
 TEXTS = ["The quick  brown\n\nfox", None, "", "é ü x\x0b\n", "a\nb", "\n", " lead the quick brown", "𝄞 b\u00a0c", "x" * 3000]
 
@@ -77,30 +80,34 @@ def test_banded_distance_and_segment_filter(limit):
             assert keys(1, 0) & keys(2, 1) or keys(1, 1) & keys(2, 0)
 
 
-def test_open_pairs_are_all_pairs_of_different_components():
+@pytest.mark.parametrize("block", [4096, 7])
+def test_cross_pairs_are_all_pairs_of_different_components(spark, monkeypatch, block):
+    """Also of a bucket that is cut into blocks, and of one that one component nearly fills."""
+    monkeypatch.setattr(buckets, "BLOCK", block)
     rng = np.random.default_rng(0)
-    table = {"key": np.sort(rng.integers(0, 6, 60)).astype(np.uint64), "id": np.arange(60), "component": rng.integers(0, 4, 60)}
-    order = np.lexsort((table["component"], table["key"]))
-    table = {k: v[order] for k, v in table.items()}
-    none = {k: v[:0] for k, v in table.items()}
-    got = {frozenset((table["id"][i], table["id"][j])) for x, y in buckets.open_pairs(table, none) for i, j in zip(x, y)}
-    want = {frozenset((table["id"][i], table["id"][j])) for i in range(60) for j in range(i) if table["key"][i] == table["key"][j] and table["component"][i] != table["component"][j]}
-    assert got == want
-
-
-def test_large_buckets_are_cut_into_block_pairs(monkeypatch):
-    monkeypatch.setattr(buckets, "BLOCK", 8)
-    kinds = (("key", np.uint64), ("id", np.int64), ("component", np.int64))
-    component = np.arange(30) % 3
-    table = {"key": np.zeros(30, np.uint64), "id": np.arange(30), "component": component}
-    got = []
-    for one, two in buckets.work(table):
-        left, right = buckets.unpack(one, kinds), buckets.unpack(two, kinds)
-        for i, j in buckets.open_pairs(left, right):
-            other = right if len(right["id"]) else left
-            got += [frozenset((int(left["id"][a]), int(other["id"][b]))) for a, b in zip(i, j)]
-    want = {frozenset((i, j)) for i in range(30) for j in range(i) if component[i] != component[j]}
+    kinds = (("key", np.uint64), ("id", np.int64), ("size", np.int32))
+    rows = {(int(k) << 40, int(i)) for k, i in zip(rng.integers(0, 6, 120), rng.integers(0, 60, 120))} | {(99 << 40, i) for i in range(60)} | {(98 << 40, i) for i in range(30)}
+    component = {i: -1 if i < 28 else -2 - i % 4 for i in range(50)}  # the others are their own
+    at = sorted(rows)
+    table = {"key": np.array([k for k, _ in at], np.uint64), "id": np.array([i for _, i in at]), "size": np.ones(len(at), np.int32)}
+    packed = spark.createDataFrame([(p, bytearray(b)) for p, b in buckets.pack(table, 8)], "part int, rows binary")
+    index = buckets.Buckets(Workspace(spark, "t"), "index", packed, kinds, [], lambda x, y: F.lit(True), 8)
+    got = [(r.a, r.b) for r in index.cross(spark.createDataFrame(list(component.items()), "node long, component long")).collect()]
+    want = {(i, j) for k, i in rows for m, j in rows if k == m and i < j and component.get(i, i) != component.get(j, j)}
     assert len(got) == len(set(got)) and set(got) == want
+    assert {(r.a, r.b) for r in index.star().collect()} == {(min(i for m, i in rows if m == k), j) for k, j in rows if j != min(i for m, i in rows if m == k)}
+
+
+def test_equal_sets_have_one_signature(spark):
+    """Wherever a text stands in its block, and whatever its ids, case and blanks are."""
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randrange(90)}" for _ in range(80))
+    rows = [(i, text if i % 3 else text.upper().replace(" ", "  ")) for i in range(0, 1000, 2)] + [(i, f"{text} {i} tail of {rng.random()}") for i in range(1, 1000, 2)]
+    docs = spark.createDataFrame(sorted(rows), "doc_id long, text string").repartition(5)
+    signed = ngram_join.signatures(docs, np.zeros((2, 0), np.uint64), 5, 80)
+    assert dict(signed.schema["s1"].jsonValue())["type"] == "long"
+    got = signed.where("doc_id % 2 = 0").select("n", "s1", "s2", "p").distinct().collect()
+    assert len(got) == 1 and signed.select("s1", "s2").distinct().count() == 501
 
 
 def test_pack_round_trip():
