@@ -119,7 +119,7 @@ class Buckets:
 
         enough: condition on the number of buckets that a pair shares.  The star pass counts
         only buckets whose hub is one of the pair, and may therefore pass over a link; the
-        cross pass compares the whole lists of buckets of both, so none is lost.
+        cross pass counts all buckets of each pair that is still apart, so none is lost.
 
         sided: column ``look`` is 1 for rows that only look for others; two of them are no pair.
         """
@@ -157,12 +157,7 @@ class Buckets:
         hubs = self.place.table(f"{self.name}-hubs", self.rows.groupBy("key").agg(F.min(F.struct(*self.rank, "id", *others)).alias("hub")))
         hub, row = side("h.hub"), side("r")
         pairs = self.rows.alias("r").join(hubs.alias("h"), (F.col("r.key") == F.col("h.key")) & self._may(hub, row))
-        if self.enough is None:
-            return pairs.select(F.least(hub("id"), row("id")).alias("a"), F.greatest(hub("id"), row("id")).alias("b")).distinct()
-        first = hub("id") < row("id")
-        sizes = [F.when(first, x("size")).otherwise(y("size")).alias(n) for n, x, y in (("na", hub, row), ("nb", row, hub))]
-        total = pairs.select(F.least(hub("id"), row("id")).alias("a"), F.greatest(hub("id"), row("id")).alias("b"), *sizes).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
-        return total.where(self.enough(F.col("n"), F.col("na"), F.col("nb"))).select("a", "b")
+        return self._counted(pairs, hub, row)
 
     def cross(self, members: DataFrame) -> DataFrame:
         """(a, b) of different components that share a bucket, where the filters let them; members: (node, component) of the star pass's links."""
@@ -172,11 +167,6 @@ class Buckets:
         blocks = lambda n: F.ceil(n / BLOCK).cast("int")
         mixed = mixed.select("key", F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.k")).alias("rows"), blocks(F.col("n")).alias("columns"))
         live = named.join(self.place.table(f"{self.name}-mixed", mixed), "key")
-        if self.enough is not None:
-            # codes of all buckets of an id; two buckets of equal code count as spare
-            code = F.shiftright("key", 48).cast("short")
-            lists = self.rows.groupBy("id").agg(F.collect_set(code).alias("codes"), F.count("*").alias("all"))
-            live = live.join(lists.withColumn("spare", F.col("all") - F.size("codes")).drop("all"), "id")
         live = self.place.table(f"{self.name}-live", live)
         block = F.pmod(F.xxhash64("id"), F.col("rows"))
         left = live.where("component <> main").withColumn("i", block.cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
@@ -184,9 +174,17 @@ class Buckets:
         x, y = side("x"), side("y")
         once = (y("component") == y("main")) | (x("component") < y("component"))
         meet = (x("key") == y("key")) & (x("i") == y("i")) & (x("j") == y("j")) & (x("component") != y("component")) & once & self._may(x, y)
-        if self.enough is not None:
-            meet &= self.enough(F.size(F.array_intersect(x("codes"), y("codes"))) + F.least(x("spare"), y("spare")), x("size"), y("size"))
-        return left.alias("x").join(right.alias("y"), meet).select(F.least(x("id"), y("id")).alias("a"), F.greatest(x("id"), y("id")).alias("b")).distinct()
+        return self._counted(left.alias("x").join(right.alias("y"), meet), x, y)
+
+    def _counted(self, pairs: DataFrame, x: Callable[[str], Column], y: Callable[[str], Column]) -> DataFrame:
+        """(a, b) with a < b of joined rows, those that share enough buckets."""
+        first = x("id") < y("id")
+        ends = [F.least(x("id"), y("id")).alias("a"), F.greatest(x("id"), y("id")).alias("b")]
+        if self.enough is None:
+            return pairs.select(*ends).distinct()
+        sizes = [F.when(first, x("size")).otherwise(y("size")).alias("na"), F.when(first, y("size")).otherwise(x("size")).alias("nb")]
+        total = pairs.select(*ends, *sizes).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
+        return total.where(self.enough(F.col("n"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def bit_table(ids: DataFrame, bits: int) -> DataFrame:

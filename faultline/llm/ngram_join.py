@@ -138,13 +138,14 @@ def own_rows(several: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             gid, member = (batch.column(c).to_numpy() for c in ("gid", "member"))
             zero = np.zeros(len(gid), np.int32)
-            yield bk.packed_batch({"key": ts.mix(gid.view(np.uint64)), "id": member, "size": zero, "place": zero, "lost": zero}, parts)
+            yield bk.packed_batch({"key": ts.mix(gid.view(np.uint64)), "id": member, "size": zero, "place": zero}, parts)
 
     return several.select("gid", "member").mapInArrow(spread, "part int, rows binary")
 
 
 PLACED = (("key", np.uint64), ("id", np.int64), ("size", np.int32), ("place", np.int32))
-KINDS = (*PLACED, ("lost", np.int32))
+#: lost: shingles of the group's prefix before this one that no other group holds; held: those of the whole prefix that others hold; odd0, odd1: which of 128 classes hold an odd number of them.
+KINDS = (*PLACED, ("lost", np.int32), ("held", np.int32), ("odd0", np.int64), ("odd1", np.int64))
 
 
 def shared_rows(packed: DataFrame, parts: int, tasks: int) -> DataFrame:
@@ -158,20 +159,41 @@ def shared_rows(packed: DataFrame, parts: int, tasks: int) -> DataFrame:
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in bk.tables_by_part(batches, (*PLACED, ("shingle", np.uint64))):
             table, first = bk.sorted_buckets(rows, ["id", "place"])
-            rank = np.arange(len(table["id"])) - np.repeat(first[:-1], np.diff(first))
-            yield bk.packed_batch({"key": table["shingle"], "id": table["id"], "size": table["size"], "place": table["place"], "lost": (table["place"] - rank).astype(np.int32)}, parts)
+            held = np.diff(first)
+            rank = np.arange(len(table["id"])) - np.repeat(first[:-1], held)
+            odd = odd_classes(table["shingle"], first)
+            yield bk.packed_batch({"key": table["shingle"], "id": table["id"], "size": table["size"], "place": table["place"], "lost": (table["place"] - rank).astype(np.int32), "held": np.repeat(held, held).astype(np.int32)} | {f"odd{k}": np.repeat(odd[k], held) for k in (0, 1)}, parts)
 
     kind = "part int, rows binary"
     return packed.repartition(tasks, "part").mapInArrow(without_lone, kind).repartition(tasks, "part").mapInArrow(ranked, kind)
 
 
+def odd_classes(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each run of keys, 128 bits as two numbers: which of 128 classes hold an odd number of its keys."""
+    kind = (keys >> np.uint64(25)) & np.uint64(127)
+    out = np.zeros((2, len(first) - 1), np.int64)
+    if len(keys):
+        bit = np.uint64(1) << (kind & np.uint64(63))
+        for k in (0, 1):
+            out[k] = np.bitwise_xor.reduceat(np.where(kind >> np.uint64(6) == k, bit, np.uint64(0)), first[:-1]).view(np.int64)
+    return out
+
+
 def size_and_place(percent: int) -> bk.Filter:
-    """Whether the sizes and the place of a shared shingle leave room for the similarity: before it the sets share at most the shingles that others hold, behind it at most the shorter rest."""
+    """Whether a shared shingle leaves room for the similarity.
+
+    By the sizes and its places: before it the sets share at most the shingles that others
+    hold, behind it at most the shorter rest.  By the classes: a class that is odd in one
+    prefix only holds a shingle that the prefixes don't share.
+    """
+    enough = shares_enough(percent)
 
     def test(left, right) -> Column:
         before = F.least(left("place") - left("lost"), right("place") - right("lost"))
         shared = before + F.least(left("size") - left("place"), right("size") - right("place"))
-        return 100 * shared.cast("long") >= percent * (left("size") + right("size") - shared).cast("long")
+        room = 100 * shared.cast("long") >= percent * (left("size") + right("size") - shared).cast("long")
+        apart = F.bit_count(left("odd0").bitwiseXOR(right("odd0"))) + F.bit_count(left("odd1").bitwiseXOR(right("odd1")))
+        return room & enough(F.floor((left("held") + right("held") - apart) / 2), left("size"), right("size"))
 
     return test
 
@@ -234,7 +256,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: st
     parts = bk.parts_of(spark, 3 * in_prefixes)
     index = bk.Buckets(place, "index", shared_rows(index_rows(groups, parts), parts, max(partitions(spark), -(-parts // bk.PARTS_EACH))), KINDS, ["place"], size_and_place(percent), parts, enough=shares_enough(percent))
     place.drop("signed")
-    own = bk.Buckets(place, "own", own_rows(several, parts), KINDS, ["place"], lambda x, y: F.lit(True), parts)
+    own = bk.Buckets(place, "own", own_rows(several, parts), PLACED, ["place"], lambda x, y: F.lit(True), parts)
     place.release()
     set_of = able.select("doc_id", "n", "s1", "s2").join(members.drop("p", "least"), ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "member")
     set_of = place.table("sets", set_of)
