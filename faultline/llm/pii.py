@@ -2,25 +2,30 @@
 
 Only SQL functions.  Places come from the pieces between matches: split() and
 regexp_extract_all() see the same matches, so running lengths of both give code-point
-offsets.  The kinds of ``BASE`` are always kept when their check passes; the others are
-kept from a score of ``LEAST_SCORE`` on.
+offsets.  A text of many matches is no worse than a long one: running sums are taken in
+chunks, and the context of a match comes from the ends of the pieces before it.  The
+kinds of ``BASE`` are always kept when their check passes; the others are kept from a
+score of ``LEAST_SCORE`` on.
 
-Edge cases: a null or empty text has no spans; ties in start are ordered by kind; a
+Edge cases: a null or empty text has no spans; texts of any length and any number of
+matches or repeats inside one are read whole; ties in start are ordered by kind; a
 repeated row gives a repeated result; an empty table gives an empty result; columns of
 the input pass unchanged and a column named ``spans`` is replaced.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Kinds in order of listing.
 BASE = ("email", "ip", "card", "phone")
 MORE = ("iban", "national_id", "access_key", "secret")
 KINDS = BASE + MORE
-#: Patterns (leftmost, not overlapping).  \G or a look-behind lets a run of characters be tried at its start only, which is enough for these shapes and keeps long runs linear.
+#: Patterns (leftmost, not overlapping).  \G or a look-behind lets a run of characters be tried at its start only, which is enough for these shapes and keeps long runs linear; possessive repeats of groups keep the matcher from recursing once for each.
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)",
     "card": r"[0-9]([\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -38,21 +43,40 @@ CONTEXT = {
     "iban": "iban|account|bank|transfer", "national_id": "ssn|social|security|national|id", "access_key": "aws|access|key", "secret": "token|password|secret|key",
 }
 RAISE, CONTEXT_CHARS, LEAST_SCORE = 0.2, 40, 0.5
+#: Matches before a match that can reach into its context (each has two characters or more), and elements of a chunk of running sums.
+REACH, CHUNK = CONTEXT_CHARS // 2, 256
+
+
+def let(value: Column, body) -> Column:
+    """body(value), the value being computed once."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def tail(value: Column) -> Column:
+    return F.substring(value, F.greatest(F.lit(1), F.char_length(value) - CONTEXT_CHARS + 1), F.lit(CONTEXT_CHARS))
+
+
+def sums_before(values: Column) -> Column:
+    """For each element of an array of int the sum of those before it: in chunks, since a growing array is copied at each step."""
+    none = F.array().cast("array<int>")
+    grow = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    running = lambda xs: F.aggregate(xs, F.struct(F.lit(0).alias("at"), none.alias("out")), grow)
+    chunks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / CHUNK).cast("int")), lambda k: running(F.slice(v, k * CHUNK + 1, CHUNK)))
+    raised = lambda c: let(running(c["at"])["out"], lambda bases: F.flatten(F.transform(c["out"], lambda xs, k: let(F.get(bases, k), lambda base: F.transform(xs, lambda x: x + base)))))
+    return let(values, lambda v: let(chunks(v), raised))
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All matches as an array of (s, e, v), in code points."""
-    pieces = F.split(text, pattern, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v, i: F.struct(F.char_length(F.get(pieces, i)).alias("gap"), v.alias("v")))
-    empty = F.lit(None).cast("array<struct<s:int,e:int,v:string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<s:int,e:int,v:string>>")).alias("out"))
+    """All matches as an array of (s, e, v, ends, gap), in code points; ends: last characters of the piece before the match and of both together."""
+    empty = F.array().cast("array<struct<s:int,e:int,v:string,gap:string,ends:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + F.char_length(x["v"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
+    def placed(found: Column) -> Column:
+        steps = F.transform(F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("v")), lambda x: F.struct(F.char_length(x["gap"]).alias("g"), F.char_length(x["v"]).alias("n"), x["v"].alias("v"), tail(x["gap"]).alias("gap"), tail(F.concat(tail(x["gap"]), tail(x["v"]))).alias("ends")))
+        before = lambda st: sums_before(F.transform(st, lambda x: x["g"] + x["n"]))
+        row = lambda x: F.struct((x["b"] + x["x"]["g"]).alias("s"), (x["b"] + x["x"]["g"] + x["x"]["n"]).alias("e"), x["x"]["v"].alias("v"), x["x"]["gap"].alias("gap"), x["x"]["ends"].alias("ends"))
+        return let(steps, lambda st: F.transform(F.arrays_zip(st.alias("x"), before(st).alias("b")), row))
 
-    return F.aggregate(found, zero, step)["out"]
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, empty).otherwise(placed(found)))
 
 
 def digits(value: Column) -> Column:
@@ -97,17 +121,19 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def partial_of(function, *first):
-    """A function of the last argument alone; the SQL functions look at the number of arguments."""
-    return lambda x: function(*first, x)
+def scored(kind: str, number: int, found: Column) -> Column:
+    """The spans of the confirmed matches with their scores."""
+    order = F.transform(found, lambda m, i: F.struct(m.alias("m"), i.alias("i")))
+    valid = F.filter(order, lambda x: confirmed(kind, x["m"]))
 
+    def span(x: Column) -> Column:
+        m, before = x["m"], F.slice(found, F.greatest(F.lit(1), x["i"] - REACH + 1), F.least(x["i"], F.lit(REACH)))
+        context = tail(F.concat(F.array_join(before["ends"], ""), m["gap"]))
+        near = F.lower(context).rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])")
+        score = F.lit(SCORES[kind]) + F.when(near, RAISE).otherwise(0.0)
+        return F.struct(m["s"].alias("start"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), m["e"].alias("end"), score.alias("score"))
 
-def scored(kind: str, number: int, body: Column, m: Column) -> Column:
-    """The span of a match with its score."""
-    before = F.substring(body, F.greatest(F.lit(1), m["s"] - CONTEXT_CHARS + 1), F.least(m["s"], F.lit(CONTEXT_CHARS)))
-    near = F.lower(before).rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])")
-    score = F.lit(SCORES[kind]) + F.when(near, RAISE).otherwise(0.0)
-    return F.struct(m["s"].alias("start"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), m["e"].alias("end"), score.alias("score"))
+    return F.transform(valid, span)
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -119,9 +145,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         guard = F.contains(body, F.lit(GUARDS[kind])) if kind in GUARDS else F.lit(True)
         guard = guard if kind in ("email", "secret") else guard & has_digit
         guard = guard & body.rlike("(?:token|password|passwd|secret|key)\\x20{0,2}[=:]") if kind == "secret" else guard
-
-        valid = F.filter(matches(body, PATTERNS[kind]), partial_of(confirmed, kind))
-        spans = F.transform(valid, partial_of(scored, kind, number, body))
+        spans = let(matches(body, PATTERNS[kind]), partial(scored, kind, number))
         if kind in MORE:
             spans = F.filter(spans, lambda x: x["score"] >= LEAST_SCORE)
         columns[f"_{kind}"] = F.when(guard, spans).otherwise(F.array().cast("array<struct<start:int,kind_no:int,kind:string,end:int,score:double>>"))
