@@ -3,16 +3,18 @@
 Each batch is encoded on the executors and summed to a histogram before the shuffle;
 the vocabulary (its size is checked) is broadcast from the driver.  Suffix sums are
 taken inside ranges of lengths and added to the sums of the ranges beyond, so no task
-holds the whole histogram.
+holds the whole histogram; the histogram is stored first, so texts are encoded once.
 
 Edge cases: null and empty texts have length 0 and are counted; special-token strings
-inside a text are ordinary text; repeated rows count each; an empty table gives an empty
+inside a text are ordinary text; very long runs of white space, on which the pattern's
+look-ahead fails, are cut out and encoded as the pieces that the pattern would make; repeated rows count each; an empty table gives an empty
 histogram; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,11 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .workspace import Workspace
+
 #: Default vocabulary (rank file), its greatest size, and the pattern that cuts texts before merging (fixed value of that vocabulary).
 VOCABULARY, VOCABULARY_LIMIT = "/opt/tokenizers/byte_bpe_50k.tiktoken", 64 << 20
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Lengths in a range.
-RANGE = 1024
+RANGE = 256
+#: White space of the pattern, in runs that are encoded apart; every such run is a piece but for its last character, if more follows.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 @lru_cache(maxsize=2)
@@ -43,6 +49,18 @@ def read_vocabulary(path: str) -> bytes:
     return data
 
 
+def token_count(enc, text: str | None) -> int:
+    """Tokens of a text."""
+    if not text:
+        return 0
+    total, at = 0, 0
+    for run in LONG_BLANK.finditer(text):
+        piece = run.end() - (run.end() < len(text))
+        total += len(enc.encode_ordinary(text[at : run.start()])) + len(enc._encode_single_piece(text[run.start() : piece]))
+        at = piece
+    return total + len(enc.encode_ordinary(text[at:] if at else text))
+
+
 def with_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and n_tokens of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
@@ -50,7 +68,7 @@ def with_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PA
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value, pattern)
         for batch in batches:
-            lengths = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(0).to_pylist()]
+            lengths = [token_count(enc, t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lengths, pa.int64())], names=[*keep, "n_tokens"])
 
     rows = docs.select(F.col(text), *keep)
@@ -65,7 +83,7 @@ def histogram(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATT
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value, pattern)
         for batch in batches:
-            lengths = np.array([len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(0).to_pylist()], np.int64)
+            lengths = np.array([token_count(enc, t) for t in batch.column(0).to_pylist()], np.int64)
             values, counts = np.unique(lengths, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["n_tokens", "n_docs"])
 
@@ -74,6 +92,7 @@ def histogram(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATT
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """For each length that occurs: documents and tokens of at least this length, the corpus total when each document is cut to it, and the share of documents that fit."""
+    hist = Workspace(hist.sparkSession, "token-counts").table("histogram", hist)
     hist = hist.withColumn("range", F.floor(F.col("n_tokens") / RANGE)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     beyond = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
