@@ -5,13 +5,13 @@ whose size is bounded by the longest permitted length and not by the corpus: bes
 decreasing with multiplicities, where a new bin gets the size of least cost per token
 it is expected to hold, and each bin finally shrinks to the smallest size that holds
 its contents.  Documents then find their bin by their rank among the items of their
-length; hot lengths are ranked in salted parts.
+length; hot lengths are ranked in salted parts, as many as their items need.
 
-Length is in tokens of a byte-level vocabulary with one end mark: bytes + 1, or any
-column that the caller names.  A document longer than the largest size is cut into
-full pieces and a rest; nothing is dropped.
+Length is in tokens of a vocabulary file and one end mark, or any column that the caller
+names.  A document longer than the largest size is cut into full pieces and a rest;
+nothing is dropped.
 
-Edge cases: a null or empty text is one item of one token (its end mark); a null or
+Edge cases: a null or empty text is one item of one token (its end mark); texts of any length are encoded whole; a null or
 negative length column counts as 0 and such an item, taking no room, goes to the
 first bin of the plan; ties are broken by id and piece; repeated rows are packed each;
 an empty table gives an empty result; other columns are ignored.
@@ -27,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import token_counts
 from .workspace import Workspace
 
 #: Permitted sequence lengths, and the cost of a sequence of each besides its tokens.
 SIZES, OVERHEAD = (2048, 4096, 8192, 16384), 64
-#: Parts in which the items of a length are ranked; items looked at to price a new bin.
-SALTS, LOOK_AHEAD = 256, 12
+#: Items of a length that are ranked together, about; items looked at to price a new bin.
+RANKED, LOOK_AHEAD = 1 << 14, 12
 
 PACKED = "doc_id long, piece long, start long, n_tokens long, bin_id long, bin_size long, bin_offset long"
 
@@ -134,23 +135,31 @@ def intervals(groups: list[Group]) -> dict[str, np.ndarray]:
     return {k: np.array([r[i] for r in rows], np.int64) for i, k in enumerate(names)}
 
 
-def pieces(docs: DataFrame, largest: int, doc_id: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, largest: int, doc_id: str = "doc_id", length: str = "n_tokens") -> DataFrame:
     """(doc_id, piece, start, n_tokens), long documents cut."""
-    tokens = F.greatest(F.lit(0), F.coalesce(F.col(length), F.lit(0))) if length else F.coalesce(F.octet_length(text), F.lit(0)) + 1
-    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), tokens.cast("long").alias("total"))
+    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.greatest(F.lit(0), F.coalesce(F.col(length), F.lit(0))).cast("long").alias("total"))
     last = F.greatest(F.lit(0), F.ceil(F.col("total") / largest) - 1).cast("long")
     cut = whole.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     return cut.select("doc_id", "piece", (F.col("piece") * largest).alias("start"), F.least(F.lit(largest), F.col("total") - F.col("piece") * largest).cast("long").alias("n_tokens"))
 
 
-def pack(docs: DataFrame, sizes: Sequence[int] = SIZES, cost: Callable[[int], float] = default_cost, doc_id: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
+def token_lengths(docs: DataFrame, vocabulary: str, doc_id: str, text: str) -> DataFrame:
+    """doc_id and n_tokens: tokens of the text and an end mark."""
+    counted = token_counts.with_counts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), vocabulary)
+    return counted.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens"))
+
+
+def pack(docs: DataFrame, sizes: Sequence[int] = SIZES, cost: Callable[[int], float] = default_cost, doc_id: str = "doc_id", text: str = "text", length: str | None = None, vocabulary: str = token_counts.VOCABULARY) -> DataFrame:
     """One row per piece: its bin, the bin's final size and its place in the bin (see PACKED)."""
     spark = docs.sparkSession
     place = Workspace(spark, "packing")
-    items = place.table("items", pieces(docs, max(sizes), doc_id, text, length))
-    items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    cut = pieces(docs, max(sizes), doc_id, length) if length else pieces(token_lengths(docs, vocabulary, doc_id, text), max(sizes))
+    items = place.table("items", cut)
+    histogram = {r.n_tokens: r.n for r in items.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}  # a row for each length up to the largest size
+    hot = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in histogram.items() if n > RANKED], "n_tokens long, salts long")
+    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce("salts", F.lit(1)))
+    items = items.join(F.broadcast(hot), "n_tokens", "left").withColumn("salt", salt).drop("salts")
     counts = place.table("counts", items.groupBy("n_tokens", "salt").agg(F.count("*").alias("n")))
-    histogram = {r.n_tokens: r.n for r in counts.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}
     shared = spark.sparkContext.broadcast(intervals(plan(histogram, sizes, cost)))
     least = min(sizes)
     by_length = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
