@@ -3,16 +3,21 @@
 A rule is ``host/path-prefix``; it fits the host and its subdomains, and the longest
 rule that fits decides.  Other urls are scored: a unigram Viterbi search splits the
 runs of letters in host and path into words, and a multinomial naive Bayes model adds
-up the words' log odds.  Word frequencies come half from the labelled examples and half
-from the runs of letters that at least ``LEAST_HOSTS`` hosts of the table use, so that a
-name of one site is split rather than taken for a word.  A run that reads as labelled
-words, and others at least as frequent as itself, is split however many hosts use it.
-The classes come from the labelled examples (a bounded parameter).
+up the words' log odds.
+
+Word frequencies come half from the labelled examples and half from delimited words of
+the whole table: words of the pages' text, where there is one, segments of paths, and
+parts of names with a hyphen.  A name in one run is never a word because it is a name,
+so it is split unless its whole is used as a word elsewhere.  A word counts from
+``LEAST_HOSTS`` hosts and a share of ``LEAST_SHARE`` of all words on, which bounds the
+table by 1 / LEAST_SHARE words at any size.  A word that reads as labelled words, and
+others at least as frequent as itself, is split however often it is used.  The classes
+come from the labelled examples, a bounded parameter.
 
 Edge cases: a null url, or one without ``://``, has empty host and path, fits no rule
-and gets the verdict of the prior; repeated rows give repeated results; an empty table
-gives an empty result; other columns are ignored.  A run longer than ``LONGEST_RUN``
-letters is split by the same search in pieces of that length.
+and gets the verdict of the prior; runs of letters of any length are split whole; a null
+page text has no words; repeated rows give repeated results; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .workspace import Workspace
+
 #: Labelled examples (fixed values): hosts and paths of each class.
 EXAMPLES = {
     "block": (
@@ -39,9 +46,8 @@ EXAMPLES = {
         "farm-equipment-supply.example", "free-software-foundation.example", "world-cup-winner-report.example", "online-course.example", "book-review.example", "music-archive.example", "index.html", "page/article", "about/contact",
     ),
 }
-#: Hosts that use a word of the frequency table, the examples' share of it, smoothing of the model, prior of blocking, longest word and run, shortest part of a compound.
-LEAST_HOSTS, EXAMPLE_SHARE, SMOOTHING, PRIOR_BLOCK = 3, 0.5, 1.0, 0.2
-LONGEST_WORD, LONGEST_RUN, LEAST_PART = 24, 512, 3
+#: Hosts that use a word of the frequency table, a word's least share of all words, the examples' share of the table, smoothing of the model, prior of blocking, shortest part of a compound.
+LEAST_HOSTS, LEAST_SHARE, EXAMPLE_SHARE, SMOOTHING, PRIOR_BLOCK, LEAST_PART = 3, 1e-6, 0.5, 1.0, 0.2, 3
 #: Words that say nothing about the class (fixed values).
 NEUTRAL = frozenset(("www", "m", "blog", "x", "example", "com", "net", "org", "html", "htm", "php", "index", "http", "https"))
 
@@ -92,24 +98,30 @@ class Model:
     unknown: float
     odds: dict[str, float]
     prior: float
+    longest: int = 0
+
+    def __post_init__(self) -> None:
+        self.longest = max(map(len, self.costs), default=0)
 
     def segment(self, run: str) -> list[str]:
-        """Cheapest split of a run of letters; an unknown letter sequence costs by its length."""
-        out: list[str] = []
-        for k in range(0, len(run), LONGEST_RUN):
-            part = run[k : k + LONGEST_RUN]
-            best, back = [0.0] + [math.inf] * len(part), [0] * (len(part) + 1)
-            for i in range(1, len(part) + 1):
-                for j in range(max(0, i - LONGEST_WORD), i):
-                    cost = best[j] + self.costs.get(part[j:i], self.unknown * (1 + i - j))
-                    if cost < best[i]:
-                        best[i], back[i] = cost, j
-            words, i = [], len(part)
-            while i:
-                words.append(part[back[i] : i])
-                i = back[i]
-            out += words[::-1]
-        return out
+        """Cheapest split of a run of letters; an unknown sequence of n letters costs unknown * (1 + n)."""
+        best, back = [0.0], [0]
+        start = 0  # of the best unknown sequence that ends here
+        for i in range(1, len(run) + 1):
+            if best[i - 1] - self.unknown * (i - 1) < best[start] - self.unknown * start:
+                start = i - 1
+            cost, at = best[start] + self.unknown * (1 + i - start), start
+            for j in range(max(0, i - self.longest), i):
+                known = self.costs.get(run[j:i])
+                if known is not None and best[j] + known < cost:
+                    cost, at = best[j] + known, j
+            best.append(cost)
+            back.append(at)
+        words, i = [], len(run)
+        while i:
+            words.append(run[back[i] : i])
+            i = back[i]
+        return words[::-1]
 
     def score(self, words: Sequence[str]) -> float:
         """Probability of blocking."""
@@ -149,26 +161,32 @@ def fit(counts: dict[str, int], examples: dict[str, Sequence[str]] = EXAMPLES, p
     chance = {w: (1 - share) * n / total for w, n in table.items()}
     for w, n in labelled.items():
         chance[w] = chance.get(w, 0.0) + share * n / size
-    costs = {w: 1 - math.log(p) for w, p in chance.items() if len(w) <= LONGEST_WORD}
+    costs = {w: 1 - math.log(p) for w, p in chance.items()}
     vocabulary = labelled.keys()
     sizes = {c: sum(words[c].values()) + SMOOTHING * len(vocabulary) for c in words}
     odds = {w: math.log((words["block"][w] + SMOOTHING) / sizes["block"]) - math.log((words["allow"][w] + SMOOTHING) / sizes["allow"]) for w in vocabulary}
     return Model(costs, math.log(total + size + 1) / 2 + 1, odds, math.log(prior_block / (1 - prior_block)))
 
 
-def run_counts(pages: DataFrame, url: str = "url", least_hosts: int = LEAST_HOSTS) -> dict[str, int]:
-    """Occurrences of the runs of letters that several hosts use, over all urls."""
-    host = host_of(F.col(url))
-    text = F.lower(F.concat(host, F.lit(" "), path_of(F.col(url))))
-    words = pages.select(host.alias("h"), F.explode(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))).alias("w")).where(F.length("w") <= LONGEST_WORD)
+def word_counts(pages: DataFrame, url: str = "url", text: str = "html", least_hosts: int = LEAST_HOSTS, least_share: float = LEAST_SHARE) -> dict[str, int]:
+    """Occurrences of delimited words that several hosts use, over the whole table."""
+    host, path, apart = host_of(F.col(url)), F.lower(path_of(F.col(url))), "(?<![\\p{L}\\p{N}_-])[a-z]+(?![\\p{L}\\p{N}_-])"
+    of_names = F.flatten(F.transform(F.filter(F.split(host, "[.]"), lambda x: F.contains(x, F.lit("-"))), lambda x: F.regexp_extract_all(x, F.lit("[a-z]+"), F.lit(0))))
+    sources = [of_names, F.regexp_extract_all(path, F.lit("[a-z]+"), F.lit(0))]
+    if text in pages.columns:
+        bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "(?is)<(script|style)[^>]*>.*?</\\1>|<[^>]*>|https?://\\S*", " ")
+        sources.append(F.regexp_extract_all(F.lower(bare), F.lit(apart), F.lit(0)))
+    words = pages.select(host.alias("h"), F.explode(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in sources))).alias("w"))
     used = words.groupBy("w", "h").agg(F.count("*").alias("n")).groupBy("w").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"))
-    got = used.where(F.col("hosts") >= least_hosts).select("w", "n").toArrow()
+    used = Workspace(pages.sparkSession, "url-filter").table("words", used)
+    total = used.agg(F.sum("n")).first()[0] or 0
+    got = used.where((F.col("hosts") >= least_hosts) & (F.col("n") >= least_share * total)).select("w", "n").toArrow()
     return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "page_id", url: str = "url", model: Model | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "page_id", url: str = "url", model: Model | None = None, text: str = "html") -> DataFrame:
     """key, host, path, rule, verdict (allow or block), score of blocking and segmented words."""
-    model = fit(run_counts(pages, url)) if model is None else model
+    model = fit(word_counts(pages, url, text)) if model is None else model
     rows = pages.select(F.col(key), F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.coalesce(path_of(F.col(url)), F.lit("")).alias("path"))
     shared = pages.sparkSession.sparkContext.broadcast((model, Rules.of(rules)))
     kind = rows.schema[key].dataType.simpleString()
