@@ -1,24 +1,27 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by documents: a segment holds, for a run of whole texts,
-the sorted positions of each term.  Segments are stored as a table, so a search is
-one pass over them without a shuffle: for each test phrase it starts from the
-positions of the term that is rarest in the whole corpus and intersects them with
-the offset-adjusted positions of the next rarest, until all terms agree.
+The index is partitioned by documents: a segment holds, for a run of whole texts, the
+sorted positions of each of their terms, so one index serves any benchmark.  Segments
+are stored as a table, and a search is one pass over them without a shuffle: for each
+test phrase it starts from the positions of the term that is rarest in the whole corpus
+and intersects them with the offset-adjusted positions of the next rarest, until all
+terms agree (an exact match), or looks for all other terms near them (a proximity match).
 
-Test phrases are broadcast in blocks of at most ``BLOCK_LIMIT`` bytes of test text;
-a larger benchmark is searched block by block over the same stored index, and the
-blocks' hits are merged per document.
+Test phrases are broadcast in blocks of at most ``BLOCK_LIMIT`` bytes of test text, and
+an item beyond that is cut into overlapping pieces; the blocks' hits are merged per
+document.
 
 Edge cases: a null or empty text has no words and no hits; a null item text or item
-id is no test item; equal passages in several items count for each; repeated rows
-give repeated results; an empty table gives an empty result; columns other than the
-id and the text are ignored.  Terms are 64-bit hashes of their bytes.
+id is no test item; equal passages in several items count for each; texts of any length
+are indexed whole; repeated rows give repeated results; an empty table gives an empty
+result; columns other than the id and the text are ignored.  Terms are 64-bit hashes of
+their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,13 +33,13 @@ from pyspark.sql import DataFrame, functions as F
 from . import textscan as ts
 from .workspace import Workspace
 
-#: Words of a test window, and bytes of test text in one broadcast.
-WINDOW, BLOCK_LIMIT = 10, 16 << 20
+#: Words of a test window, bytes of test text in one broadcast, and words around a phrase's rarest term that a proximity match may use.
+WINDOW, BLOCK_LIMIT, SLOP = 10, 4 << 20, 15
 #: Candidate positions that a search holds at once.
 CANDIDATES = 1 << 20
 
 SEGMENT = "segment long, doc_ids array<long>, word_counts array<int>, terms array<long>, counts array<int>, postings array<int>"
-MATCHES = "segment long, doc int, doc_id long, n_words long, starts array<int>, lengths array<int>, items array<string>"
+MATCHES = "segment long, doc int, doc_id long, n_words long, starts array<int>, lengths array<int>, items array<string>, near_items array<string>"
 
 
 def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +49,8 @@ def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return ts.range_hashes(ts.prefix_hashes(ts.BYTE_VALUES[low]), starts, ends), first
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Segments of the index.  vocabulary: sorted term hashes; lists of other terms, which no phrase can ask for, are left out."""
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Segments of the index."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("word_counts", pa.list_(pa.int32())), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("postings", pa.list_(pa.int32()))])
@@ -55,15 +58,11 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, doc_id: s
         for batch in batches:
             for row, data, offsets in ts.blocks(batch.column(1)):
                 hashes, first = term_hashes(data, offsets)
-                at = np.arange(len(hashes))
-                if vocabulary is not None:
-                    at = np.flatnonzero(member(vocabulary, hashes))
-                order = np.argsort(hashes[at], kind="stable")
-                at = at[order].astype(np.int32)
-                terms, counts = np.unique(hashes[at], return_counts=True)
+                order = np.argsort(hashes, kind="stable")
+                terms, counts = np.unique(hashes[order], return_counts=True)
                 one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, t))
                 ids = batch.column(0).slice(row, len(offsets) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(ids, None), one(np.diff(first).astype(np.int32), pa.int32()), one(terms.view(np.int64), pa.int64()), one(counts.astype(np.int32), pa.int32()), one(at, pa.int32())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(ids, None), one(np.diff(first).astype(np.int32), pa.int32()), one(terms.view(np.int64), pa.int64()), one(counts.astype(np.int32), pa.int32()), one(order.astype(np.int32), pa.int32())], schema=schema)
                 number += 1
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(segments, SEGMENT)
@@ -126,14 +125,21 @@ class Phrases:
 class Segment:
     """One stored segment; positions of a term are found as a range of sorted keys."""
 
-    def __init__(self, row: dict[str, np.ndarray]):
-        self.terms = row["terms"].view(np.uint64)
-        self.ends = np.cumsum(row["counts"], dtype=np.int64)
-        self.starts = self.ends - row["counts"]
-        self.postings = row["postings"].astype(np.int64)
+    def __init__(self, row: dict[str, np.ndarray], known: np.ndarray | None = None):
+        """known: sorted terms that will be asked for."""
+        terms, counts, postings = row["terms"].view(np.uint64), row["counts"], row["postings"]
+        if known is not None:
+            use = member(known, terms)
+            ends = np.cumsum(counts, dtype=np.int64)[use]
+            terms, counts = terms[use], counts[use]
+            postings = postings[ts.ragged(ends - counts, counts)]
+        self.terms = terms
+        self.ends = np.cumsum(counts, dtype=np.int64)
+        self.starts = self.ends - counts
+        self.postings = postings.astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(row["word_counts"], dtype=np.int64)])
         self.size = int(self.first[-1]) + 1
-        self.keys = np.repeat(np.arange(len(self.terms), dtype=np.int64), row["counts"]) * self.size + self.postings
+        self.keys = np.repeat(np.arange(len(self.terms), dtype=np.int64), counts) * self.size + self.postings
 
     def codes(self, terms: np.ndarray) -> np.ndarray:
         """Number of each term in this segment, or -1."""
@@ -191,10 +197,18 @@ class Segment:
         return np.searchsorted(self.first, word, "right") - 1
 
 
-def term_counts(index: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Corpus frequency of the indexed terms, for an index over the vocabulary of one block of phrases, which bounds it."""
-    rows = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).toPandas()
-    terms = rows["terms"].to_numpy(np.int64).view(np.uint64)
+def term_counts(index: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus frequency of the known terms, the vocabulary of one block of phrases, which bounds it."""
+    shared = index.sparkSession.sparkContext.broadcast(known)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            use = member(shared.value, terms)
+            yield pa.RecordBatch.from_arrays([pa.array(terms[use].view(np.int64)), pa.array(batch.column(1).flatten().to_numpy(zero_copy_only=False)[use].astype(np.int64))], names=["term", "n"])
+
+    rows = index.select("terms", "counts").mapInArrow(pick, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    terms = rows["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(terms)
     return terms[order], rows["n"].to_numpy(np.int64)[order]
 
@@ -206,77 +220,87 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[dict[str, np.ndarray], pa.Arr
         yield {k: v.to_numpy(zero_copy_only=False) for k, v in row.items()} | {"segment": batch.column("segment")[i].as_py()}, ids
 
 
-def search(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataFrame:
-    """One row per document of the index (see MATCHES), also those without a match.
-
-    slop None: exact occurrences; starts and lengths are words of the document.  Else:
-    proximity matches; starts is the place of the phrase's rarest term.
-    """
-    counted, frequency = term_counts(index.select("terms", "counts")) if len(phrases.lengths) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def search(index: DataFrame, phrases: Phrases, slop: int = SLOP) -> DataFrame:
+    """One row per document of the index (see MATCHES), also those without a match: words and items of exact matches, items of proximity matches."""
+    known = phrases.vocabulary()
+    counted, frequency = term_counts(index, known) if len(phrases.lengths) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     terms, offsets = phrases.by_rarity(counted, frequency)
-    shared = index.sparkSession.sparkContext.broadcast((terms, np.ascontiguousarray(offsets), phrases.lengths, phrases.item_starts, phrases.items))
+    names, code = np.unique(phrases.items.astype(str), return_inverse=True)
+    shared = index.sparkSession.sparkContext.broadcast((known, terms, np.ascontiguousarray(offsets), phrases.lengths, phrases.item_starts, names, code))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, offsets, lengths, item_starts, items = shared.value
+        known, terms, offsets, lengths, item_starts, names, code = shared.value
+        labels = pa.array(names.tolist(), pa.string())
+
+        def items_of(phrase: np.ndarray, text: np.ndarray, n: int) -> pa.Array:
+            """Distinct items of the phrases found in each text."""
+            counts = item_starts[phrase + 1] - item_starts[phrase]
+            pairs = np.unique(np.repeat(text, counts) * len(names) + code[ts.ragged(item_starts[phrase], counts)])
+            bounds = np.searchsorted(pairs, np.arange(n + 1) * len(names))
+            return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), labels.take(pa.array(pairs % max(1, len(names)))))
+
         for batch in batches:
             for row, ids in _rows(batch):
-                segment = Segment(row)
-                phrase, start = segment.exact(terms, offsets, lengths) if slop is None else segment.near(terms, slop)
+                segment = Segment(row, known)
+                n = len(ids)
+                phrase, start = segment.exact(terms, offsets, lengths)
                 text = segment.text_of(start)
                 order = np.lexsort((phrase, start, text))
                 phrase, start, text = phrase[order], start[order], text[order]
-                n = len(ids)
-                bounds = np.searchsorted(text, np.arange(n + 1)).astype(np.int32)
-                counts = item_starts[phrase + 1] - item_starts[phrase]
-                named = ts.ragged(item_starts[phrase], counts)
-                pairs = np.unique(np.stack([np.repeat(text, counts), np.unique(items, return_inverse=True)[1][named]], 1), axis=0) if len(named) else np.zeros((0, 2), np.int64)
-                names = np.unique(items)
+                close, at = segment.near(terms, slop)
+                bounds = pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(n, row["segment"]), pa.int64()), pa.array(np.arange(n), pa.int32()), ids.cast(pa.int64()), pa.array(np.diff(segment.first), pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(start - segment.first[text], pa.int32())), pa.ListArray.from_arrays(pa.array(bounds), pa.array(lengths[phrase], pa.int32())),
-                    pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[:, 0], np.arange(n + 1)).astype(np.int32)), pa.array(names[pairs[:, 1]].tolist(), pa.string())),
-                ], names=["segment", "doc", "doc_id", "n_words", "starts", "lengths", "items"])
+                    pa.ListArray.from_arrays(bounds, pa.array(start - segment.first[text], pa.int32())), pa.ListArray.from_arrays(bounds, pa.array(lengths[phrase], pa.int32())),
+                    items_of(phrase, text, n), items_of(close, segment.text_of(at), n),
+                ], names=["segment", "doc", "doc_id", "n_words", "starts", "lengths", "items", "near_items"])
 
     return index.mapInArrow(look, MATCHES)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_limit: int = BLOCK_LIMIT, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, word ranges (starts, lengths) of test windows, items whose windows occur, n_hit words inside them."""
-    spark = docs.sparkSession
+def pieces_of(tests: DataFrame, window: int, limit: int) -> DataFrame:
+    """(item, text) with texts beyond the limit cut into pieces, so that each window of words is in one."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, texts = [], []
+            for item, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(text.encode()) <= limit:
+                    items.append(item)
+                    texts.append(text)
+                    continue
+                spans, first, size = [m.span() for m in word.finditer(text)], 0, 0
+                for k, (a, b) in enumerate(spans):
+                    size += len(text[a:b].encode()) + 1
+                    if k + 1 == len(spans) or (size >= limit and k + 1 - first >= window):
+                        items.append(item)
+                        texts.append(text[spans[first][0] : b])
+                        first, size = k + 2 - window, 0
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(texts, pa.string())], names=["item", "text"])
+
+    return tests.mapInArrow(cut, "item string, text string")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_limit: int = BLOCK_LIMIT, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", slop: int = SLOP) -> DataFrame:
+    """Per document: doc_id, n_words, word ranges (starts, lengths) of test windows, items whose windows occur, items with a proximity match, n_hit words inside the ranges."""
     tests = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    place = Workspace(docs.sparkSession, "decontaminate")
+    index = place.table("index", build_index(docs, doc_id, text))
+    tests = place.table("tests", pieces_of(tests, window, block_limit))
     total = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_limit))
-    place = Workspace(spark, "decontaminate")
-    index, found = None, []
+    hits = None
     for k in range(n):
-        rows = tests.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()
-        phrases = Phrases.of_items([r.item for r in rows], [r.text for r in rows], window)
-        if index is None:
-            index = place.table("index", build_index(docs, phrases.vocabulary() if n == 1 else None, doc_id, text))
-        block = index if n == 1 else index.transform(lambda x, known=phrases.vocabulary(): restricted(x, known))
-        found.append(search(block, phrases))
-    hits = found[0]
+        rows = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
+        block = search(index, Phrases.of_items([r.item for r in rows], [r.text for r in rows], window), slop)
+        hits = block if hits is None else hits.unionByName(block)
     if n > 1:
-        for more in found[1:]:
-            hits = hits.unionByName(more)
-        hits = hits.groupBy("segment", "doc").agg(*(F.first(c).alias(c) for c in ("doc_id", "n_words")), *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lengths")), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        items = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")]
+        hits = hits.groupBy("segment", "doc").agg(*(F.first(c).alias(c) for c in ("doc_id", "n_words")), *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lengths")), *items)
     return hits.withColumn("n_hit", covered("starts", "lengths")).drop("segment", "doc")
 
 
-def restricted(index: DataFrame, known: np.ndarray) -> DataFrame:
-    """The index without the lists of other terms."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, (row, _) in enumerate(_rows(batch)):
-                use = member(known, row["terms"].view(np.uint64))
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
-                same = [batch.column(c).slice(i, 1) for c in ("segment", "doc_ids", "word_counts")]
-                yield pa.RecordBatch.from_arrays([*same, one(row["terms"][use]), one(row["counts"][use]), one(row["postings"][np.repeat(use, row["counts"])])], names=["segment", "doc_ids", "word_counts", "terms", "counts", "postings"])
-
-    return index.mapInArrow(keep, SEGMENT)
-
-
 def covered(starts: str, lengths: str):
     """Words inside the union of the ranges."""
     ranges = F.array_sort(F.arrays_zip(F.col(starts).alias("s"), F.col(lengths).alias("l")))
