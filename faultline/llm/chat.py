@@ -8,7 +8,8 @@ the next character as it is restores the text.  Therefore a control string in th
 output is always markup, and the output can be read back without any side channel.
 
 Edge cases: a null role or text is empty; turns are ordered by (turn, role, text), so
-ties and repeated rows have a fixed place; rows of a null conv_id form one conversation;
+ties and repeated rows have a fixed place; long conversations are assembled alone, and a
+conversation may hold what one string can, 2 GB; rows of a null conv_id form one conversation;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import textscan as ts
@@ -29,7 +31,9 @@ START, HEAD_END, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 CONTROLS = (b"<|im_start|>", b"<|im_end|>", b"<|endoftext|>", b"<s>", b"</s>", b"[INST]", b"[/INST]", b"<<SYS>>", b"<</SYS>>")
 ESCAPE = 0x5C
 
-FORMATTED = "conv_id long, formatted string, loss_starts array<int>, loss_ends array<int>"
+FORMATTED = "conv_id long, formatted string, loss_starts array<long>, loss_ends array<long>"
+#: Bytes of roles and texts that are assembled at once; a longer conversation is assembled alone.
+ASSEMBLED = 64 << 20
 
 
 def escape(data: np.ndarray, offsets: np.ndarray, line_ends: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -102,19 +106,32 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant", conv_id: str =
     chats = chats.select("conv_id", F.col("t.role").alias("roles"), F.col("t.text").alias("texts"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bounds = batch.column(1).offsets.to_numpy().astype(np.int64)
-            bounds = bounds - bounds[0]
-            roles = batch.column(1).flatten()
-            strings, first, last = assemble(bounds, roles, batch.column(2).flatten())
-            counted = np.array([r == loss_role for r in roles.to_pylist()], bool)
-            cuts = pa.array(np.concatenate([[0], np.cumsum(counted)])[bounds].astype(np.int32))
-            ranges = [pa.ListArray.from_arrays(cuts, pa.array(x[counted].astype(np.int32))) for x in (first, last)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), strings.cast(pa.string()), *ranges], names=["conv_id", "formatted", "loss_starts", "loss_ends"])
+        for whole in batches:
+            for batch in by_bytes(whole):
+                bounds = batch.column(1).offsets.to_numpy().astype(np.int64)
+                bounds = bounds - bounds[0]
+                roles = batch.column(1).flatten()
+                strings, first, last = assemble(bounds, roles, batch.column(2).flatten())
+                counted = np.array([r == loss_role for r in roles.to_pylist()], bool)
+                cuts = pa.array(np.concatenate([[0], np.cumsum(counted)])[bounds].astype(np.int32))
+                ranges = [pa.ListArray.from_arrays(cuts, pa.array(x[counted].astype(np.int64))) for x in (first, last)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), strings.cast(pa.string()), *ranges], names=["conv_id", "formatted", "loss_starts", "loss_ends"])
 
     return chats.mapInArrow(write, FORMATTED)
 
 
+def by_bytes(batch: pa.RecordBatch, limit: int = ASSEMBLED) -> Iterator[pa.RecordBatch]:
+    """Runs of conversations of about so many bytes, so that no buffer of strings reaches the limit of its offsets."""
+    bounds = batch.column(1).offsets.to_numpy().astype(np.int64)
+    sizes = [pc.fill_null(pc.binary_length(batch.column(k).flatten()), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2)]
+    total = np.concatenate([[0], np.cumsum(sizes[0] + sizes[1])])[bounds - bounds[0]]
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(total, total[i] + limit, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def read_back(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn, from the output alone."""
     turns = []
