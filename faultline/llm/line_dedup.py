@@ -40,6 +40,8 @@ from .workspace import Workspace
 
 #: Edits that separate linked lines, code points of the shortest line that edits may link, and of the shortest one whose exact copies the queries remove.
 EDITS, LEAST, SHORT = 2, 24, 1
+#: Columns that dedup() adds.
+ADDED = ("n_lines", "n_removed")
 #: Bytes of segment keys for each byte of text, about.
 KEY_BYTES = 1.5
 
@@ -278,7 +280,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, doc_id: str =
     """docs with the text of the lines that stay, n_lines before and n_removed."""
     spark = docs.sparkSession
     place = Workspace(spark, "line-dedup")
-    docs = docs.drop("n_lines", "n_removed")
+    docs = docs.drop(*ADDED)
     lost = repeated(docs, place, edits, least, doc_id, text, short).groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("line")).alias("_lost"))
     lost = place.table("lost", lost.withColumnsRenamed({"doc_id": "_doc", "row": "_row"}))
     for name in ("places", "first"):

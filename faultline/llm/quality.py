@@ -11,8 +11,9 @@ Edge cases: a null or empty text has no words and fails the base rules; a docume
 shorter than a guard is not judged by that histogram; documents without a language
 take no part in the references and are judged by the closest; a language has a reference
 from ``LEAST_DOCS`` usual documents on, whatever the size of the table, and documents of
-a language without one are judged by the base rules alone; repeated rows give repeated results; other columns pass unchanged and
-verdict columns of the same name are replaced.
+a language without one are judged by the base rules alone; texts of any length are read
+whole; repeated rows give repeated results; an empty table gives an empty result; other
+columns pass unchanged and verdict columns of the same name are replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import textscan as ts
+from .workspace import Workspace
 
 #: Base rules: least words, and the greatest per cent of words in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -51,6 +53,8 @@ N_CLASSES = 10
 SYMBOL = np.zeros(256, np.uint8)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 
+#: Columns that judge() adds.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "closest_lang", "char_distance", "word_distance", "kept")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -159,7 +163,8 @@ def fit(docs: DataFrame, common: int = COMMON, text: str = "text", lang: str = "
             yield pa.RecordBatch.from_arrays([*texts, pa.array(np.concatenate(key), pa.int64()), pa.array(np.concatenate(n), pa.int64())], names=["lang", "what", "key", "n"])
 
     sums = docs.where(F.col(lang).isNotNull()).select(F.col(text), F.col(lang).cast("string")).mapInArrow(tally, "lang string, what string, key long, n long").groupBy("lang", "what", "key").agg(F.sum("n").alias("n"))
-    sums = sums.persist()
+    place = Workspace(docs.sparkSession, "quality")
+    sums = place.table("sums", sums)
     try:
         heads = {r.lang: {} for r in sums.where((F.col("what") == "docs") & (F.col("n") >= LEAST_DOCS)).collect()}
         langs = sorted(heads)
@@ -171,7 +176,7 @@ def fit(docs: DataFrame, common: int = COMMON, text: str = "text", lang: str = "
         top = words.where(often).withColumn("rank", rank).where(F.col("rank") <= common).select("key").distinct()
         rows = kept.where("what <> 'word'").unionByName(words.join(F.broadcast(top), "key").select(sums.columns)).collect()
     finally:
-        sums.unpersist()
+        place.drop()
     for r in rows:
         heads[r.lang].setdefault(r.what, {})[r.key] = r.n
     vocabulary = np.unique(np.array([w for x in langs for w in heads[x].get("word", {})], np.int64).view(np.uint64))
@@ -228,7 +233,7 @@ def judge(docs: DataFrame, refs: References | None = None, text: str = "text", l
     """All columns of docs, then the base counts, base_failed, closest_lang, the two distances and kept."""
     refs = fit(docs, text=text, lang=lang) if refs is None else refs
     shared = docs.sparkSession.sparkContext.broadcast(refs)
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "closest_lang", "char_distance", "word_distance", "kept"]
+    added = [*ADDED]
     docs = docs.drop(*added)
     where, tongue = docs.columns.index(text), docs.columns.index(lang) if lang in docs.columns else None
     kinds = [*[T.LongType()] * 5, T.BooleanType(), T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()]

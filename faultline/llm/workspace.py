@@ -7,6 +7,8 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,18 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Removes the tables of the workspaces that were opened inside, once their results are written."""
+    mark = len(_OPEN)
+    try:
+        yield
+    finally:
+        for w in _OPEN[mark:]:
+            w.drop()
+        del _OPEN[mark:]
+
+
 @atexit.register
 def _clean() -> None:
     for w in _OPEN:
