@@ -15,7 +15,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near"),
     )
 
 
@@ -41,7 +41,7 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda x: x["kind"].isin(*pii.BASE))
-    return found.select("doc_id", *(pii.count(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(pii.count(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), *(pii.count(F.col("spans"), k).alias(f"n_{k}") for k in pii.MORE))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages"), RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"), F.array_join("words", " ").alias("words"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,9 +81,17 @@ sizes as (select distinct n from bw),
 dw as (select doc_id, n, i, array_to_string(w[i:i+n-1], ' ') g from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) i from d, sizes where len(w) >= n)),
 hit as (select doc_id, i, dw.n, item_id from dw join bw on dw.g = bw.g and dw.n = bw.n),
 words as (select doc_id, count(distinct p) k from (select doc_id, unnest(generate_series(i, i + n - 1)) p from hit) group by doc_id),
-items as (select doc_id, count(*) k, string_agg(item, ',' order by item) s from (select distinct doc_id, cast(item_id as varchar) item from hit) group by doc_id)
-select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(words.k, 0) as bigint) n_hit, cast(coalesce(items.k, 0) as bigint) n_items, sha256(coalesce(items.s, '')) items_sha256, coalesce(words.k, 0) > 0 contaminated
-from d left join words on d.doc_id = words.doc_id left join items on d.doc_id = items.doc_id"""
+items as (select doc_id, count(*) k, string_agg(item, ',' order by item) s from (select distinct doc_id, cast(item_id as varchar) item from hit) group by doc_id),
+pos as (select doc_id, unnest(w) t, unnest(generate_series(1, len(w))) p from d),
+freq as (select t, count(*) f from pos group by t),
+gs as (select g, unnest(string_split(g, ' ')) t, unnest(generate_series(1, n)) o from (select distinct g, n from bw)),
+anchor as (select g, arg_min(gs.t, (coalesce(f, 0), o)) t from gs left join freq on gs.t = freq.t group by g),
+terms as (select g, t, count(*) over (partition by g) k from (select distinct g, t from gs)),
+met as (select a.g, x.doc_id, x.p from anchor a join pos x on a.t = x.t),
+full_met as (select met.g, met.doc_id, met.p from met join terms on met.g = terms.g join pos y on y.doc_id = met.doc_id and y.t = terms.t and abs(y.p - met.p) <= {decontaminate.SLOP} group by all having count(distinct y.t) = any_value(terms.k)),
+near as (select doc_id, count(distinct item_id) k from full_met join bw on full_met.g = bw.g group by doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(words.k, 0) as bigint) n_hit, cast(coalesce(items.k, 0) as bigint) n_items, sha256(coalesce(items.s, '')) items_sha256, coalesce(words.k, 0) > 0 contaminated, cast(coalesce(near.k, 0) as bigint) n_near
+from d left join words on d.doc_id = words.doc_id left join items on d.doc_id = items.doc_id left join near on d.doc_id = near.doc_id"""
 
 NGRAM_JOIN_SQL = rf"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') w from documents),

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import plain
 from faultline.llm import chat, components, decontaminate, langid, line_dedup, ngram_join, packing, pii, quality, queries, token_counts, url_filter
 from faultline.llm.workspace import Workspace
 
@@ -31,61 +35,47 @@ def odd_rows():
     return [(1, None), (2, ""), (3, "word"), (4, "A b\nA b\n"), (4, "A b\nA b\n"), (None, "no id at all here"), (5, "x" * 50_000), (6, "é " * 9000), (7, "\n\n"), (8, "same same same"), (9, "same same same")]
 
 
-def words(text, pattern=r"[^\x20\x09-\x0D]+"):
-    return re.findall(pattern, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-
-
 # --- 1 decontamination -------------------------------------------------------------
 
-ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
-def brute_hits(text, items, window):
-    doc, hit, found = words(text, ALNUM), set(), set()
-    for key, item in items:
-        test = words(item, ALNUM)
-        n = min(window, len(test))
-        for i in range(len(test) - n + 1 if n else 0):
-            for j in range(len(doc) - n + 1):
-                if doc[j : j + n] == test[i : i + n]:
-                    hit |= set(range(j, j + n))
-                    found.add(str(key))
-    return len(doc), len(hit), sorted(found)
-
-
 @pytest.mark.parametrize("block", [1 << 20, 40])
 def test_decontamination_by_brute_force(spark, block):
+    """Also in blocks, of which some hold pieces of one item."""
     rng = random.Random(3)
-    items = [(i, sentence(rng, rng.randrange(1, 9))) for i in range(8)] + [(8, None), (9, ""), (10, "the The"), (None, "x y"), (11, "alpha1 beta2 gamma3 delta4")]
+    items = [(i, sentence(rng, rng.randrange(1, 9))) for i in range(8)] + [(8, None), (9, ""), (10, "the The"), (None, "x y"), (11, "alpha1 beta2 gamma3 delta4"), (12, sentence(rng, 30))]
     items[3] = (3, items[2][1])
     texts = [(i, sentence(rng, 30)) for i in range(12)]
     texts += [(20 + i, f"pre {sentence(rng, 5)} {items[i % 8][1].upper()} {sentence(rng, 3)}") for i in range(10)] + odd_rows()
+    texts += [(40 + i, " ".join(rng.sample(items[i][1].split(), len(items[i][1].split())))) for i in range(8)] + [(50, f"x {items[13][1]} y")]
     docs = table(spark, texts).withColumn("items", F.lit("clash"))
-    got = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), window=4, block_limit=block)
-    rows = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_hit, sorted(r["items"])) for r in got.collect())
+    got = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), window=4, block_limit=block, slop=5)
+    rows = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_hit, sorted(r["items"]), sorted(r.near_items)) for r in got.collect())
     real = [(k, t) for k, t in items if k is not None and t]
-    assert rows == sorted((i if i is not None else -1, *brute_hits(t, real, 4)) for i, t in texts)
+    near = plain.near_items([t for _, t in texts], real, 4, 5)
+    assert rows == sorted((i if i is not None else -1, *plain.benchmark_hits(t, real, 4), x) for (i, t), x in zip(texts, near))
+    assert any(set(r[4]) - set(r[3]) for r in rows)
 
 
-def test_proximity_and_empty_tables(spark):
-    docs = table(spark, [(1, "a q q b"), (2, "b a"), (3, "a q q q q b"), (4, None)])
-    phrases = decontaminate.Phrases.of_items(["x"], ["a b"], 10)
-    index = decontaminate.build_index(docs)
-    assert {r.doc_id for r in decontaminate.search(index, phrases, slop=3).where("size(starts) > 0").collect()} == {1, 2}
+def test_one_index_serves_any_benchmark(spark):
+    docs = table(spark, [(1, "a q q b"), (2, "b a"), (3, "a q q q q b"), (4, None), (5, "a b")])
+    index = decontaminate.build_index(docs).cache()
+    for phrase, exact, near in (("a b", {5}, {1, 2, 5}), ("q q", {1, 3}, {1, 3}), ("zz b", set(), set())):
+        rows = decontaminate.search(index, decontaminate.Phrases.of_items(["x"], [phrase], 10), slop=3).collect()
+        assert ({r.doc_id for r in rows if r["items"]}, {r.doc_id for r in rows if r.near_items}) == (exact, near)
     none = docs.limit(0)
     assert decontaminate.decontaminate(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
-    assert decontaminate.decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).where("n_hit = 0").count() == 4
+    assert decontaminate.decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).where("n_hit = 0").count() == 5
 
 
 # --- 2 packing ---------------------------------------------------------------------
 
-def test_packing_places_every_token_once(spark):
+def test_packing_places_every_token_once(spark, monkeypatch):
     rng = random.Random(4)
-    texts = [(i, "x" * rng.randrange(0, 400)) for i in range(300)] + [(i, "same") for i in range(300, 700)] + odd_rows()
+    texts = [(i, "x1 " * rng.randrange(0, 200)) for i in range(300)] + [(i, "same") for i in range(300, 700)] + odd_rows()
+    monkeypatch.setattr(packing, "RANKED", 50)
     rows = packing.pack(table(spark, texts), sizes=(64, 128, 256)).collect()
-    want = collections.Counter()
+    want, coder = collections.Counter(), token_counts.encoder(token_counts.read_vocabulary(token_counts.VOCABULARY), token_counts.PATTERN)
     for i, t in texts:
-        want[i] += len((t or "").encode()) + 1
+        want[i] += len(coder.encode_ordinary(t or "")) + 1
     got, bins = collections.Counter(), collections.defaultdict(list)
     for r in rows:
         got[r.doc_id] += r.n_tokens
@@ -126,29 +116,6 @@ def test_every_language_is_learned(spark):
 
 # --- 4 n-gram join -----------------------------------------------------------------
 
-def shingles(text, width):
-    w = words(text)
-    return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
-
-
-def brute_components(sets, percent):
-    parent = {i: i for i in sets}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    ids = sorted(sets)
-    for k, i in enumerate(ids):
-        for j in ids[:k]:
-            both = len(sets[i] & sets[j])
-            if both and 100 * both >= percent * len(sets[i] | sets[j]):
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-    return {i: root(i) for i in ids}
-
-
 @pytest.mark.parametrize("width, percent", [(4, 85), (2, 60)])
 def test_near_copies_by_brute_force(spark, width, percent):
     rng = random.Random(width)
@@ -164,8 +131,8 @@ def test_near_copies_by_brute_force(spark, width, percent):
     docs = table(spark, list(texts.items()) + [(None, "row without id"), (0, texts[0])]).withColumn("component", F.lit(1)).withColumn("n", F.lit("x"))
     got = ngram_join.join(docs, width, percent).collect()
     assert len(got) == len(texts) + 2
-    sets = {i: shingles(t, width) for i, t in texts.items()}
-    want = brute_components(sets, percent)
+    sets = {i: plain.shingles(t, width) for i, t in texts.items()}
+    want = plain.near_copies(texts.items(), width, percent)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None}
     assert found == {i: (len(sets[i]), want[i]) for i in sets}
     assert [r.component_id for r in got if r.doc_id is None] == [None]
@@ -177,7 +144,7 @@ def test_rows_that_repeat_an_id_link_all_their_texts(spark):
     rows = [(1, a), (1, b), (5, b), (7, a), (8, c), (9, c), (9, d), (3, d), (3, d), (3, None), (20, f"{d} more")]
     got = sorted(map(tuple, ngram_join.join(table(spark, rows)).collect()))
     root = {1: 1, 5: 1, 7: 1, 8: 3, 9: 3, 3: 3, 20: 3}
-    assert got == sorted((i, len(shingles(t, 5)), root[i]) for i, t in rows)
+    assert got == sorted((i, len(plain.shingles(t, 5)), root[i]) for i, t in rows)
 
 
 def test_join_of_nothing(spark):
@@ -193,18 +160,6 @@ def test_components_of_a_long_path(spark):
 
 # --- 5 quality ---------------------------------------------------------------------
 
-def base_counts(text):
-    t = text or ""
-    w, seen, dup = re.findall(r"[^\x20\x09-\x0D]+", t), set(), 0
-    for line in t.split("\n"):
-        if re.search(r"[^\x20\x09-\x0D]", line):
-            dup += line in seen
-            seen.add(line)
-    grams = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
-    mark = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(mark)
-
-
 def test_quality_counts_and_verdicts(spark):
     rng = random.Random(6)
     good = [(1000 + i, "the of and to in " * 3 + " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80))) for i in range(30)]
@@ -212,7 +167,7 @@ def test_quality_counts_and_verdicts(spark):
     texts = good + bad + odd_rows()
     docs = table(spark, texts).withColumn("kept", F.lit("clash")).withColumn("extra", F.lit(1))
     rows = quality.judge(docs).collect()
-    assert sorted(str((r.doc_id, *(r[c] for c in quality.COUNTS))) for r in rows) == sorted(str((i, *base_counts(t))) for i, t in texts)
+    assert sorted(str((r.doc_id, *(r[c] for c in quality.COUNTS))) for r in rows) == sorted(str((i, *plain.base_counts(t))) for i, t in texts)
     verdict = {r.doc_id: (r.base_failed, r.kept) for r in rows}
     assert all(verdict[i] == (False, True) for i, _ in good)
     assert verdict[100] == (False, False) and verdict[101] == (True, False) and verdict[102] == (True, False)
@@ -230,6 +185,23 @@ def prose(rng: random.Random, common: str, n: int, alphabet: str = "abcdefghijkl
     return " ".join(rng.choice(common.split()) if rng.random() < 0.4 else letters(rng, 1, alphabet) for _ in range(n))
 
 
+def test_quality_divergence_by_brute_force(spark):
+    """Distances, closest language and verdict, of texts in several languages and of none, in any layout."""
+    rng = random.Random(19)
+    speech = {"en": ("the of and to in is it for on with as at", "abcdefghijklmnopqrstuvwxyz"), "fr": ("le la de et les des en un une que", "abcdefghijklmnopqrstuvwxyzéèà"), "ru": ("и в не на что как это по", "абвгдежзиклмн")}
+    docs = [(prose(rng, *(speech[k][0], rng.randrange(50, 200), speech[k][1])), k) for k in speech for _ in range(25)]
+    docs += [(letters(rng, 90), "en"), (letters(rng, 90, "#$%ab"), None), (letters(rng, 90), None), ("1 2 3 " * 30, "en"), ("", "en"), (None, "fr"), (docs[0][0], "xx"), (letters(rng, 90), "xx"), (docs[40][0] * 40, "fr"), ("a" * 400_000, None), (docs[60][0].upper(), "ru")]
+    df = spark.createDataFrame([(i, t, k, "s", 0) for i, (t, k) in enumerate(docs)], SCHEMA)
+    want = plain.quality_verdicts(docs)
+    for layout in (df.coalesce(1), df.repartition(17)):
+        for r in quality.judge(layout).collect():
+            counts, failed, best, c, d, kept = want[r.doc_id]
+            assert (tuple(r[x] for x in quality.COUNTS), r.base_failed, r.kept) == (counts, failed, kept)
+            if counts[0]:
+                assert r.closest_lang == best and (r.char_distance, r.word_distance) == pytest.approx((c, d), abs=1e-6)
+    assert {v[-1] for v in want} == {True, False}
+
+
 def test_quality_rejects_plain_letters_without_common_words(spark):
     rng = random.Random(16)
     clean = [(i, prose(rng, "the of and to in is it for on with as at", rng.randrange(60, 300))) for i in range(200)]
@@ -305,6 +277,68 @@ def test_personal_data_by_regular_expressions(spark):
     assert pii.masked(pii.find(table(spark, [(1, "to a@b.c now")]))).first().text == "to <email> now"
 
 
+@pytest.mark.parametrize("unit", [".c", "1.2.3.4 ", "4", "4 ", "+1 2", "(", "a@b.c ", "A1 ", "GB82", "GB82 WEST 1234 5698 7654 32 ", "token=abcdefgh1 ", "AKIA", "1-", "é+", "%"])
+def test_personal_data_in_very_long_texts(spark, unit):
+    """10^6 repetitions neither exhaust the stack nor take quadratic time."""
+    for head in ("a@b", "+1", "password="):
+        text = F.concat(F.lit(head), F.repeat(F.lit(unit), 1_000_000 if len(unit) < 4 else 100_000))
+        began = time.time()
+        row = pii.find(spark.range(1).select(text.alias("text"))).select(F.size("spans").alias("n"), F.element_at("spans", -1).alias("last"), F.sha2(pii.listed(F.filter("spans", lambda x: x["kind"].isin(*pii.BASE))), 256).alias("h")).first()
+        whole = head + unit * (1_000_000 if len(unit) < 4 else 100_000)
+        assert time.time() - began < 60 and (not row.n or row.last.end <= len(whole))
+        if unit not in ("4 ", "1-", "A1 "):  # long matches take Python's integers or its backtracking too long
+            assert row.h == hashlib.sha256(base_spans(whole).encode()).hexdigest()
+
+
+def test_context_of_close_matches(spark):
+    """The 40 characters before a match, also where they hold other matches."""
+    rng = random.Random(9)
+    for _ in range(30):
+        text = "".join(rng.choice(["ssn ", "id ", "123-45-6789 ", "x" * rng.randrange(1, 30), " ", "no 987-65-4321,", "é𝄞 "]) for _ in range(14))
+        want = []
+        for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", text):
+            near = re.search(rf"(?<![a-z])(?:{pii.CONTEXT['national_id']})(?![a-z])", text[max(0, m.start() - pii.CONTEXT_CHARS) : m.start()].lower())
+            want += [(m.start(), m.end())] if near else []
+        assert [(s.start, s.end) for s in pii.find(table(spark, [(1, text)])).first().spans if s.kind == "national_id"] == want
+
+
+def mod97(value):
+    plain_ = value.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain_[4:] + plain_[:4])) % 97 == 1
+
+
+def test_added_kinds_by_brute_force(spark):
+    """Places, checks, scores and thresholds of the kinds beyond the base; and their recall on planted values."""
+    rng = random.Random(10)
+    patterns = {
+        "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    }
+
+    def iban():
+        body = "".join(rng.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randrange(11, 28)))
+        return next(v for k in range(100) if mod97(v := f"DE{k:02}{body}"))
+
+    planted = [("iban", f"our account {iban()}.") for _ in range(40)] + [("national_id", f"social security {rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)} ") for _ in range(40)]
+    planted += [("access_key", "AKIA" + "".join(rng.choice("ABCDEFGHIJ0123456789") for _ in range(16))) for _ in range(40)] + [("secret", f"{rng.choice(['password', 'token', 'api_key'])}{rng.choice(['=', ': '])}" + "".join(rng.choice("abcXYZ019_-") for _ in range(rng.randrange(8, 40)))) for _ in range(40)]
+    noise = [("", "DE00 1234 5678 9012 345"), ("", "no 123-45-6789"), ("", "AKIA123"), ("", "password ok"), ("", "token = short")]
+    rows = list(enumerate(planted + noise * 4))
+    got = {r.doc_id: r.spans for r in pii.find(table(spark, [(i, f"é {t} end") for i, (_, t) in rows])).collect()}
+    for i, (kind, t) in rows:
+        text = f"é {t} end"
+        want = set()
+        for k, pattern in patterns.items():
+            for m in re.finditer(pattern, text):
+                near = re.search(rf"(?<![a-z])(?:{pii.CONTEXT[k]})(?![a-z])", text[max(0, m.start() - pii.CONTEXT_CHARS) : m.start()].lower())
+                score = pii.SCORES[k] + (pii.RAISE if near else 0)
+                if (k != "iban" or mod97(m[0])) and score >= pii.LEAST_SCORE:
+                    want.add((k, m.start(), m.end(), round(score, 6)))
+        assert {(s.kind, s.start, s.end, round(s.score, 6)) for s in got[i] if s.kind in patterns} == want
+    for kind in ("iban", "national_id", "access_key", "secret"):
+        caught = [kind in {s.kind for s in got[i]} for i, (k, _) in rows if k == kind]
+        assert sum(caught) == len(caught) == 40
+    assert not any(s.kind in pii.MORE for i, (k, _) in rows if not k for s in got[i])
+
+
 # --- 7 chats -----------------------------------------------------------------------
 
 def test_chats_read_back(spark):
@@ -343,6 +377,29 @@ def test_suffix_sums_by_brute_force(spark):
     assert token_counts.suffix_sums(token_counts.histogram(docs.limit(0))).count() == 0
 
 
+def test_long_blanks_are_counted_as_the_pattern_cuts_them(spark):
+    coder = token_counts.encoder(token_counts.read_vocabulary(token_counts.VOCABULARY), token_counts.PATTERN)
+    texts = [(1, "a" + " " * 1_000_000 + "b"), (2, " " * 1_000_000), (3, "\n \t" * 400_000 + "\u3000x"), (4, "w" * 1_000_000)]
+    got = {r.doc_id: r.n_tokens for r in token_counts.with_counts(table(spark, texts)).collect()}
+    one, several = len(coder.encode_ordinary("a b")), len(coder.encode_ordinary("  "))
+    assert got[1] == one + 999_999 // 1 * len(coder._encode_single_piece(b" ")) and got[2] == 500_000 * several and got[4] == len(coder.encode_ordinary("w" * 1_000_000))
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", " x", "1", "'s", "!"]) + rng.choice(["", " ", "\n", " \t", "\xa0"]) * rng.choice([0, 1, 400]) for _ in range(5))
+        short = re.compile(token_counts.LONG_BLANK.pattern.replace("1000", "3"))
+        pieces, at = 0, 0
+        for m in short.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            pieces, at = pieces + len(coder.encode_ordinary(text[at : m.start()])) + len(coder._encode_single_piece(text[m.start() : end])), end
+        assert pieces + len(coder.encode_ordinary(text[at:])) == len(coder.encode_ordinary(text))
+
+
+def test_texts_are_encoded_once(spark, tmp_path):
+    docs = table(spark, odd_rows())
+    plan = token_counts.suffix_sums(token_counts.histogram(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
 # --- 9 urls ------------------------------------------------------------------------
 
 def test_urls(spark):
@@ -370,17 +427,71 @@ def test_joined_names_are_split_in_a_large_table(spark):
     assert got["essex.example.net"].words[0] == "essex" and got["essex.example.net"].verdict == "allow"
 
 
-# --- 10 lines ----------------------------------------------------------------------
+def cheapest(model, run):
+    """Least cost of all splits."""
+    costs = []
+    for cuts in itertools.product([False, True], repeat=max(0, len(run) - 1)):
+        parts, start = [], 0
+        for i, cut in enumerate(cuts, 1):
+            if cut:
+                parts.append(run[start:i])
+                start = i
+        parts.append(run[start:])
+        costs.append(sum(model.costs.get(p, model.unknown * (1 + len(p))) for p in parts))
+    return min(costs)
+
+
+def test_segmentation_by_brute_force():
+    rng = random.Random(12)
+    for _ in range(40):
+        counts = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))): rng.randrange(1, 60) for _ in range(12)}
+        model = url_filter.fit(counts, {"block": ["ab-c"], "allow": ["bc-a"]})
+        run = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 12)))
+        words = model.segment(run)
+        assert "".join(words) == run and sum(model.costs.get(w, model.unknown * (1 + len(w))) for w in words) == pytest.approx(cheapest(model, run))
+
+
+def test_naive_bayes_by_brute_force():
+    examples = {"block": ["cheap-pills", "cheap-casino"], "allow": ["cheap-books", "library"]}
+    model = url_filter.fit({}, examples, prior_block=0.3)
+    count = {c: collections.Counter(w for t in examples[c] for w in t.split("-")) for c in examples}
+    vocabulary = set(count["block"]) | set(count["allow"])
+    for words in (["cheap"], ["pills", "cheap"], ["books", "library", "unseen"], []):
+        joint = {c: p * math.prod((count[c][w] + 1) / (sum(count[c].values()) + len(vocabulary)) for w in words if w in vocabulary) for c, p in (("block", 0.3), ("allow", 0.7))}
+        assert model.score(words) == pytest.approx(joint["block"] / sum(joint.values()))
+
+
+def test_held_out_examples_in_one_run():
+    """Each example is left out of the fit, joined to one run and judged."""
+    right = total = 0
+    for c, texts in url_filter.EXAMPLES.items():
+        for text in texts:
+            name = text.removesuffix(".example")
+            if "-" not in name:
+                continue
+            rest = {k: [x for x in v if x != text] for k, v in url_filter.EXAMPLES.items()}
+            others = {w for v in rest.values() for x in v for w in url_filter.runs(x)}
+            if len(others & set(url_filter.runs(name))) < len(set(url_filter.runs(name))):
+                continue  # a word of it occurs nowhere else
+            model = url_filter.fit({}, rest)
+            right += (model.score(model.segment(name.replace("-", ""))) > 0.5) == (c == "block")
+            total += 1
+    assert total >= 8 and right >= 0.8 * total
+
+
+def test_names_are_split_by_words_of_page_texts(spark):
+    rng = random.Random(13)
+    common = "river stone garden market window bridge summer winter".split()
+    pages = [(i, f"https://{rng.choice(common)}{rng.choice(common)}.example.net/{i}", f"<p class='x'>{' '.join(rng.choice(common) for _ in range(60))}</p><script>var gardenmarket = 1;</script>") for i in range(60)]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), ()).collect()
+    for r in got:
+        name = r.host.split(".")[0]
+        assert "".join(r.words[:2]) == name and set(r.words[:2]) <= set(common)
+    long = "riverstone" * 3000
+    assert url_filter.fit({"river": 50, "stone": 50}).segment(long) == ["river", "stone"] * 3000
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
 
+# --- 10 lines ----------------------------------------------------------------------
 
 def test_line_dedup_by_brute_force(spark):
     rng = random.Random(10)
@@ -395,27 +506,7 @@ def test_line_dedup_by_brute_force(spark):
     texts = [(i, "\n".join(line() for _ in range(rng.randrange(1, 6)))) for i in range(30)] + [(200 + i, t) for i, (_, t) in enumerate(odd_rows()) if t is None or len(t) < 100]
     docs = table(spark, texts + [(None, pool[0])]).withColumn("n_removed", F.lit("clash")).withColumn("line", F.lit(0))
     rows = line_dedup.dedup(docs).collect()
-    lines = sorted({x for _, t in texts for x in (t or "").split("\n") if len(x) >= line_dedup.LEAST})
-    parent = list(range(len(lines)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(lines)):
-        for j in range(i):
-            if distance(lines[i], lines[j]) <= line_dedup.EDITS:
-                parent[root(i)] = root(j)
-    seen, want = set(), {}
-    for i, t in sorted(texts):
-        kept = []
-        for x in (t or "").split("\n"):
-            c = root(lines.index(x)) if len(x) >= line_dedup.LEAST else None
-            if c is None or c not in seen:
-                kept.append(x)
-            seen.add(c)
-        want[i] = None if t is None else "\n".join(kept)
+    want = plain.dedup_lines(texts, short=line_dedup.LEAST)
     got = {r.doc_id: r.text for r in rows}
     assert got.pop(None) == pool[0] and got == want
     assert line_dedup.dedup(docs.limit(0)).count() == 0
