@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 #: Depth of the prefix tree (two levels hold the root and the length), least similarity, wildcard.
 DEPTH, SIMILARITY, WILDCARD = 4, 0.5, "<*>"
-#: Lines of a leaf that one task folds; a hotter leaf is folded in parts whose templates are folded again.
-LEAF_PART = 200_000
 
 
 def similarity(template: list[str], tokens: list[str]) -> tuple[float, int]:
@@ -19,9 +18,9 @@ def similarity(template: list[str], tokens: list[str]) -> tuple[float, int]:
     return same / len(tokens) if tokens else 1.0, sum(a == WILDCARD for a in template)
 
 
-def fold(lines: list[tuple[list[str], int]], least: float = SIMILARITY) -> list[tuple[list[str], int]]:
-    """Templates of the lines of one leaf, with their counts, in the order of first lines."""
-    clusters: list[tuple[list[str], int]] = []
+def fold(lines: list[tuple[list[str], int]], least: float = SIMILARITY, clusters: list[tuple[list[str], int]] | None = None) -> list[tuple[list[str], int]]:
+    """Templates of the lines of one leaf, with their counts, in the order of first lines; clusters: those of earlier lines, which are added to."""
+    clusters = [] if clusters is None else clusters
     for tokens, count in lines:
         best = max(range(len(clusters)), key=lambda i: (*similarity(clusters[i][0], tokens), -i), default=None)
         if best is not None and similarity(clusters[best][0], tokens)[0] >= least:
@@ -40,14 +39,24 @@ def leaf(message, depth: int = DEPTH):
 
 
 def templates(lines: DataFrame, message: str = "message", least: float = SIMILARITY, depth: int = DEPTH) -> DataFrame:
-    """(leaf, template, n): equal lines are counted before the shuffle; a leaf's distinct lines are folded in order of their text, so the result does not depend on the partitioning."""
+    """(leaf, template, n): equal lines are counted before the shuffle; a leaf's distinct lines are folded in order of their text, so the result does not depend on the partitioning.
+
+    A task reads its leaves' lines as a sorted stream and holds the templates of one leaf,
+    however many lines that leaf has.
+    """
     counted = lines.where(F.col(message).isNotNull()).groupBy(F.col(message).alias("line")).agg(F.count("*").alias("n")).withColumn("leaf", leaf(F.col("line"), depth))
-    sizes = counted.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_PART).alias("parts"))
-    dealt = counted.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("line"), "parts"))
 
-    def mine(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(re.split(r"\s+", line.strip()), n) for line, n in sorted(zip(pdf["line"], pdf["n"]))]
-        return pd.DataFrame([(pdf["leaf"].iloc[0], " ".join(t), n) for t, n in fold(rows, least)], columns=["leaf", "template", "n"])
+    def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, known = None, []
+        for pdf in batches:
+            for name, rows in pdf.groupby("leaf", sort=False):
+                if name != now:
+                    yield found(now, known)
+                    now, known = name, []
+                fold([(re.split(r"\s+", line.strip()), n) for line, n in zip(rows["line"], rows["n"])], least, known)
+        yield found(now, known)
+
+    def found(name: str | None, known: list[tuple[list[str], int]]) -> pd.DataFrame:
+        return pd.DataFrame([(name, " ".join(t), n) for t, n in known], columns=["leaf", "template", "n"])
 
-    first = dealt.groupBy("leaf", "part").applyInPandas(mine, "leaf string, template string, n long")
-    return first.withColumnRenamed("template", "line").groupBy("leaf").applyInPandas(mine, "leaf string, template string, n long")
+    return counted.select("leaf", "line", "n").repartition("leaf").sortWithinPartitions("leaf", "line").mapInPandas(mine, "leaf string, template string, n long")

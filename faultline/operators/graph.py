@@ -8,7 +8,7 @@ from itertools import combinations
 import math
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _kind(df: DataFrame, c: str) -> str:
@@ -68,9 +68,57 @@ def pagerank(edges: DataFrame, personal: DataFrame, case: str, damping: float =
                 start[at[v]] = p
         return pd.DataFrame({case: left[case].iloc[0], "node": nodes, "score": page_rank(m, start, damping)})
 
+    personal = personal.select(*(F.col(c).alias(c) for c in personal.columns))  # columns of its own, also where both sides come from one table
     return edges.groupBy(case).cogroup(personal.groupBy(case)).applyInPandas(rank, f"{_kind(edges, case)}, node {edges.schema['src'].dataType.simpleString()}, score double")
 
 
+def localize(edges: DataFrame, nodes: DataFrame, corr: DataFrame, case: str, alpha: float = 0.55, quiet: float = 0.1, damping: float = 0.85) -> DataFrame:
+    """Services ranked on a case's subgraph without a trained edge model.
+
+    edges: (case, src, dst); nodes: (case, node, kind, anomalous); corr: (case, node,
+    resource, corr) of an anomalous service's response time with its own resources and,
+    as resource, with hosts.  An edge from an anomalous service weighs alpha if it leads to
+    a service and the greatest correlation if it leads to a host; other edges weigh
+    little.  Restarts go to anomalous services by mean incoming weight times greatest
+    correlation, or evenly if that is 0 everywhere.
+    """
+    best = corr.groupBy(case, F.col("node").alias("src"), F.col("resource").alias("dst")).agg(F.max("corr").alias("host_corr"))
+    of = lambda side: nodes.select(case, F.col("node").alias(side), F.col("kind").alias(f"{side}_kind"), F.col("anomalous").alias(f"{side}_odd"))
+    rows = edges.join(of("src"), [case, "src"]).join(of("dst"), [case, "dst"]).join(best, [case, "src", "dst"], "left")
+    to_service, to_host = F.col("dst_kind") == "service", F.col("dst_kind") == "host"
+    weight = F.when(~F.col("src_odd"), F.lit(quiet)).when(to_service & (F.col("src_kind") == "service"), F.lit(alpha)).when(to_host, F.coalesce("host_corr", F.lit(0.0))).otherwise(F.lit(1.0))
+    weighted = rows.select(case, "src", "dst", weight.alias("weight"))
+    own = corr.join(nodes.select(case, F.col("node").alias("resource"), "kind"), [case, "resource"], "left").where("kind is null").groupBy(case, "node").agg(F.max("corr").alias("best"))
+    incoming = weighted.groupBy(case, F.col("dst").alias("node")).agg(F.avg("weight").alias("mean"))
+    score = F.when((F.col("kind") == "service") & F.col("anomalous"), F.coalesce("mean", F.lit(0.0)) * F.greatest(F.lit(0.0), F.coalesce("best", F.lit(0.0)))).otherwise(0.0)
+    personal = nodes.join(incoming, [case, "node"], "left").join(own, [case, "node"], "left").select(case, "node", score.alias("personal"))
+    ranks = pagerank(weighted, personal, case, damping)
+    return ranks.join(nodes.where("kind = 'service'").select(case, "node"), [case, "node"])
+
+
+def latency_like(case: Column, tokens: Sequence[str] = ("delay", "latency", "slow")) -> Column:
+    """Whether a case's name has a token of a latency fault."""
+    return F.lower(case).rlike(rf"(?:^|[^a-z])(?:{'|'.join(tokens)})(?:$|[^a-z])")
+
+
+def birch_threshold(case: Column, base: float = 0.045, latency: float | None = None) -> Column:
+    """The threshold of a case: one for all, unless another is given for cases whose name tells a latency fault (which uses the label)."""
+    return F.lit(base) if latency is None else F.when(latency_like(case), F.lit(latency)).otherwise(F.lit(base))
+
+
+def impact_edges(skeleton: DataFrame, case: str) -> DataFrame:
+    """(case, effect, cause) of a partly directed graph (case, a, b, directed: a -> b): directed edges are reversed, undirected ones go both ways; nodes without an edge have no row."""
+    both = F.when(F.col("directed"), F.array(F.struct(F.col("b").alias("effect"), F.col("a").alias("cause")))).otherwise(F.array(F.struct(F.col("a").alias("effect"), F.col("b").alias("cause")), F.struct(F.col("b").alias("effect"), F.col("a").alias("cause"))))
+    return skeleton.where("a <> b").select(case, F.explode(both).alias("e")).select(case, "e.*").distinct()
+
+
+def without_lone(nodes: DataFrame, edges: DataFrame, case: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Nodes (case, node) that an edge touches, and those to keep."""
+    touched = edges.select(case, F.explode(F.array("effect", "cause")).alias("node")).distinct()
+    linked = nodes.join(touched, [case, "node"], "left_semi")
+    return linked.unionByName(nodes.where(F.col("node").isin(*keep)).join(touched, [case, "node"], "left_anti")) if keep else linked
+
+
 def _independent(corr: np.ndarray, n: int, i: int, j: int, given: tuple[int, ...], alpha: float) -> bool:
     """Fisher's z test of the partial correlation."""
     index = [i, j, *given]

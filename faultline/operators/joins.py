@@ -55,13 +55,20 @@ def wildcard_join(rows: DataFrame, table: DataFrame, key: str, also: Sequence[st
 
 
 def nearest_baseline(cases: DataFrame, baselines: DataFrame, case_key: str, case_ts: str, start: str, end: str, baseline_key: str) -> DataFrame:
-    """For each case the latest baseline that ended by then, else the one whose middle is nearest.  Baselines are few (one a run)."""
-    middle = (F.unix_micros(F.col(start).cast("timestamp")) + F.unix_micros(F.col(end).cast("timestamp"))) / 2
-    at = F.unix_micros(F.col(case_ts).cast("timestamp"))
-    before = F.col(end) <= F.col(case_ts)
-    best = Window.partitionBy(case_key).orderBy(F.when(before, 0).otherwise(1), F.when(before, -F.unix_micros(F.col(end).cast("timestamp"))).otherwise(F.abs(middle - at)), baseline_key)
-    pairs = cases.crossJoin(small(baselines))
-    return pairs.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
+    """For each case the latest baseline that ended by then, else the one whose middle is nearest; of equal ones the first by name.
+
+    Three as-of joins of a row for each case and baseline: sorted once each, never paired.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    left = cases.withColumns({"_all": F.lit(0), "_at": 2 * micros(case_ts), "_back": -2 * micros(case_ts)})
+    ends = baselines.groupBy((2 * micros(end)).alias("_end")).agg(F.min(baseline_key).alias("_ended")).withColumn("_all", F.lit(0))
+    middles = baselines.groupBy((micros(start) + micros(end)).alias("_middle")).agg(F.min(baseline_key).alias("_name")).withColumn("_all", F.lit(0))
+    found = asof_join(left, ends, ["_all"], "_at", "_end", ["_ended"])
+    found = asof_join(found, middles.withColumnRenamed("_name", "_before"), ["_all"], "_at", "_middle", ["_before"]).withColumnRenamed("_middle_asof", "_m0")
+    found = asof_join(found, middles.select("_all", F.col("_name").alias("_after"), (-F.col("_middle")).alias("_middle")), ["_all"], "_back", "_middle", ["_after"]).withColumnRenamed("_middle_asof", "_m1")
+    gap0, gap1 = F.col("_at") - F.col("_m0"), -F.col("_m1") - F.col("_at")
+    near = F.when(gap1.isNull() | (gap0 < gap1), F.col("_before")).when(gap0.isNull() | (gap1 < gap0), F.col("_after")).otherwise(F.least("_before", "_after"))
+    return found.select(*cases.columns, F.coalesce("_ended", near).alias(baseline_key)).where(F.col(baseline_key).isNotNull()).join(baselines, baseline_key)
 
 
 def exact_then_interval(events: DataFrame, spans: DataFrame, exact: Sequence[str], loose: Sequence[str], at: str, start: str, end: str, bucket: int) -> DataFrame:

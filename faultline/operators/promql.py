@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .joins import small
+
 
 def micros_of(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
@@ -93,3 +95,17 @@ def label_replace(rows: DataFrame, target: str, source: str, pattern: str, repla
 def matches(label: Column, op: str, value: str) -> Column:
     """Label matchers; regular expressions match the whole label."""
     return {"=": label == value, "!=": label != value, "=~": label.rlike(f"^(?:{value})$"), "!~": ~label.rlike(f"^(?:{value})$")}[op]
+
+
+def expanded(catalogue: DataFrame, pods: DataFrame, expr: str = "expr", mark: str = "{pod_regex}") -> DataFrame:
+    """Queries of a template catalogue (set, name, expr, for example from a CSV file) for pods (set, pod): the pods of a set, as an anchored alternative of escaped names, take the mark's place."""
+    escaped = F.regexp_replace("pod", r"([\\.^$|?*+()\[\]{}])", r"\\$1")
+    of_set = pods.groupBy("set").agg(F.array_join(F.array_sort(F.collect_set(escaped)), "|").alias("_pods"))
+    joined = catalogue.join(small(of_set), "set")
+    return joined.select("set", "name", F.replace(F.col(expr), F.lit(mark), F.concat(F.lit("^(?:"), F.col("_pods"), F.lit(")$"))).alias("query"))
+
+
+def matching(samples: DataFrame, queries: DataFrame, pod: str = "pod", name: str = "metric") -> DataFrame:
+    """Samples that a query of the metric's name selects; queries: (set, name, regex of pods)."""
+    joined = samples.join(small(queries.withColumnRenamed("name", name)), name)
+    return joined.where(F.regexp(F.col(pod), F.col("regex"))).drop("regex")

@@ -91,3 +91,18 @@ def rank_score(rows: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     n = F.count("*").over(Window.partitionBy(*keys))
     ranked = rank_average(rows, keys, score, "_rank")
     return ranked.withColumn("rank_score", F.when(n <= 1, 1.0).otherwise(1 - (F.col("_rank") - 1) / (n - 1))).drop("_rank")
+
+
+def running_total(rows: DataFrame, order: str, value: str, name: str, parts: int = 256) -> DataFrame:
+    """rows with the sum of the values up to each row in the order of a number, equal numbers together.
+
+    Quantiles of the order cut the rows into parts of about equal size; totals run inside
+    the parts, and the parts' own totals (a row each) are added, so no task sorts all rows.
+    """
+    cuts = [float(x) for x in rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 4 * parts)).first()[0] or []]
+    below = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: x < F.col(order))) if cuts else F.lit(0)
+    dealt = rows.withColumn("_part", below)
+    inside = dealt.withColumn(name, F.sum(value).over(Window.partitionBy("_part").orderBy(order)))
+    totals = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return inside.join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")

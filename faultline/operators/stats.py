@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .joins import small
+
 MEASURES = ("tarantula", "jaccard", "ochiai", "ochiai2", "zoltar", "dstar2", "op2", "wong3", "kulczynski2", "failed_only")
 
 
@@ -74,7 +76,7 @@ def _ratio(a: Column, b: Column) -> Column:
 def spectrum(coverage: DataFrame, runs: DataFrame, item: str, run: str = "run_id", label: str = "label") -> DataFrame:
     """Counts (ef, ep, nf, np) of each item over failing and passing runs, and ten suspiciousness measures.  coverage: distinct (run, item)."""
     total = runs.agg(F.count_if(F.col(label) == "fail").alias("all_f"), F.count_if(F.col(label) == "pass").alias("all_p"))
-    seen = coverage.join(F.broadcast(runs.select(run, label)), run).groupBy(item).agg(F.count_if(F.col(label) == "fail").alias("ef"), F.count_if(F.col(label) == "pass").alias("ep"))
+    seen = coverage.join(small(runs.select(run, label)), run).groupBy(item).agg(F.count_if(F.col(label) == "fail").alias("ef"), F.count_if(F.col(label) == "pass").alias("ep"))
     counts = seen.join(F.broadcast(total)).withColumns({"nf": F.col("all_f") - F.col("ef"), "np": F.col("all_p") - F.col("ep")})
     ef, ep, nf, np_ = (F.col(c).cast("double") for c in ("ef", "ep", "nf", "np"))
     fails, passes = ef + nf, ep + np_
@@ -90,13 +92,19 @@ def spectrum(coverage: DataFrame, runs: DataFrame, item: str, run: str = "run_id
     )
 
 
-def consensus(scores: DataFrame, item: str, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """Mean over the measures of the normalized average rank of each item."""
-    long = scores.select(item, F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("score")) for m in measures))).alias("x")).select(item, "x.*")
-    w, tied = Window.partitionBy("measure").orderBy(F.desc("score")), Window.partitionBy("measure", "score")
-    rank, n = F.rank().over(w) + (F.count("*").over(tied) - 1) / 2.0, F.count("*").over(Window.partitionBy("measure"))
-    ranked = long.withColumn("r", F.when(n <= 1, 1.0).otherwise(1 - (rank - 1) / (n - 1)))
-    return ranked.groupBy(item).agg(F.avg("r").alias("consensus"))
+def consensus(scores: DataFrame, item: str, measures: Sequence[str] = MEASURES, digits: int = 9) -> DataFrame:
+    """Mean over the measures of the normalized average rank of each item; scores that agree to so many digits are ties.
+
+    Equal scores are counted before they are ranked: a measure has at most as many
+    distinct scores as there are pairs of counts of runs, however many items there are.
+    """
+    long = scores.select(item, F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.round(m, digits).alias("score")) for m in measures))).alias("x")).select(item, "x.*")
+    ties = long.groupBy("measure", "score").agg(F.count("*").alias("tied"))
+    above = Window.partitionBy("measure").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    n = F.sum("tied").over(Window.partitionBy("measure"))
+    rank = F.coalesce(F.sum("tied").over(above), F.lit(0)) + (F.col("tied") + 1) / 2.0
+    ranks = ties.select("measure", "score", F.when(n <= 1, 1.0).otherwise(1 - (rank - 1) / (n - 1)).alias("r"))
+    return long.join(ranks, ["measure", "score"]).groupBy(item).agg(F.avg("r").alias("consensus"))
 
 
 def gap_clusters(rows: DataFrame, key: str, item: str, score: str, threshold: str) -> DataFrame:

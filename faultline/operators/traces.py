@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Spans between a span and its root; longer chains (or cycles) end there.
-DEPTH = 64
+from .joins import small
+from .series import running_total
 
 
 def service_edges(spans: DataFrame, duration: str = "duration_us") -> DataFrame:
@@ -19,60 +22,104 @@ def service_edges(spans: DataFrame, duration: str = "duration_us") -> DataFrame:
     return rows.groupBy("trace_id", "source", "destination", "start_us").agg(F.min_by("response_time", "span_id").alias("response_time"))
 
 
+def whole_traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole traces from batches sorted by trace (column 0)."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch.column(0)[-1]
+        cut = pc.index(batch.column(0), last).as_py()  # first row of the batch's last trace
+        if cut:
+            yield pa.Table.from_batches([*rest, batch.slice(0, cut)])
+            rest = []
+        elif rest and rest[-1].column(0)[-1].as_py() != last.as_py():
+            yield pa.Table.from_batches(rest)
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def parents(trace: np.ndarray, span: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Row of each span's parent in its trace, or -1; of repeated spans the first counts.  A cycle is cut where a walk up from its first row closes."""
+    here = pd.MultiIndex.from_arrays([trace, span])
+    first = ~here.duplicated()
+    rows = np.flatnonzero(first)
+    at = here[first].get_indexer(pd.MultiIndex.from_arrays([trace, parent]))
+    up = np.where((at >= 0) & ~pd.isna(parent), rows[at], -1)
+    far, steps = up.copy(), 1
+    while steps <= len(up) and (far >= 0).any():  # after as many steps as rows only spans that lead into a cycle are left
+        far = np.where(far >= 0, far[far], -1)
+        steps *= 2
+    inside = set(far[far >= 0].tolist())  # all on cycles
+    while inside:
+        start = i = inside.pop()
+        cycle = [i]
+        while up[i] != start:
+            i = up[i]
+            cycle.append(int(i))
+        inside -= set(cycle)
+        first = min(cycle)
+        up[next(k for k in cycle if up[k] == first)] = -1
+    return up
+
+
+def along(up: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sum of the values from each row up to its root, by pointer doubling."""
+    total, far = values.astype(np.int64), up.copy()
+    while (far >= 0).any():
+        total = total + np.where(far >= 0, total[far], 0)
+        far = np.where(far >= 0, far[far], -1)
+    return total
+
+
 def call_paths(spans: DataFrame, more: Sequence[str] = ("duration_us",)) -> DataFrame:
-    """Each span with its services from the root down, runs of one service collapsed.  A chain ends at a missing parent; a cycle ends where it closes."""
+    """Each span with its services from the root down, runs of one service collapsed, and its depth in spans.  A chain ends at a missing parent; a cycle ends where a walk up from its first span closes; spans without a trace are left out."""
     names = ["trace_id", "span_id", "service", *more]
     kinds = ", ".join(f"`{c}` {spans.schema[c].dataType.simpleString()}" for c in names)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-        for pdf in batches:  # sorted by trace, so all but a batch's last trace are whole
-            rows = pdf if rest is None else pd.concat([rest, pdf])
-            last = rows["trace_id"] == rows["trace_id"].iloc[-1]
-            rest = rows[last]
-            if not last.all():
-                yield with_paths(rows[~last], names)
-        if rest is not None:
-            yield with_paths(rest, names)
-
-    rows = spans.select("trace_id", "span_id", "parent_span_id", "service", *more).repartition("trace_id").sortWithinPartitions("trace_id")
-    return rows.mapInPandas(walk, f"{kinds}, path array<string>")
-
-
-def with_paths(pdf: pd.DataFrame, names: Sequence[str]) -> pd.DataFrame:
-    """Paths of the spans of whole traces."""
-    ids = list(zip(pdf["trace_id"], pdf["span_id"]))
-    parent = {i: (i[0], p) for i, p in zip(ids, pdf["parent_span_id"])}
-    service = dict(zip(ids, pdf["service"]))
-    known: dict = {}
-    for i in ids:
-        chain, seen = [], set()
-        while i in service and i not in known and i not in seen:
-            chain.append(i)
-            seen.add(i)
-            i = parent[i]
-        base = known.get(i, []) if i not in seen else []
-        for s in reversed(chain):
-            base = base if base and base[-1] == service[s] else [*base, service[s]]
-            known[s] = base
-    return pdf[list(names)].assign(path=[known[i] for i in ids])
-
-
-def ancestors(spans: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Number of spans from the root to each span, by pointer doubling: log2(depth) joins on the span keys."""
-    jump = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("up"), F.when(F.col("parent_span_id").isNull(), 0).otherwise(1).cast("long").alias("n"))
-    step = 1
-    while step < depth:
-        other = jump.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("n").alias("_n"))
-        jump = jump.join(other, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("_up").alias("up"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
-        step *= 2
-    return jump.select("trace_id", "span_id", (F.col("n") + 1).alias("depth"))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_traces(batches):
+            trace, span, parent, service = (table.column(c).to_pandas().to_numpy() for c in ("trace_id", "span_id", "parent_span_id", "service"))
+            up = parents(trace, span, parent)
+            known, code = np.unique(service.astype(str), return_inverse=True)
+            new = (up < 0) | (code != code[up])
+            length = along(up, new)
+            near = np.where(new, np.arange(len(up)), -1)  # nearest span above, or itself, where the service changes
+            far = up.copy()
+            while (near < 0).any():
+                near = np.where(near < 0, near[far], near)
+                far = np.where(far >= 0, far[far], -1)
+            ends = np.cumsum(length)
+            out = np.empty(int(ends[-1]), np.int64)
+            rows, at = np.arange(len(up)), near.copy()
+            place = ends - 1
+            while len(rows):
+                out[place] = code[at]
+                above = up[at]
+                rows, place, at = rows[above >= 0], place[above >= 0] - 1, near[above[above >= 0]]
+            path = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(known.tolist(), pa.string()).take(pa.array(out)))
+            depth = along(up, np.ones(len(up), np.int64))
+            yield from pa.table({**{c: table.column(c) for c in names}, "path": path, "depth": pa.array(depth)}).to_batches()
+
+    rows = spans.select("trace_id", "span_id", "parent_span_id", "service", *more).where("trace_id is not null").repartition("trace_id").sortWithinPartitions("trace_id", "span_id")
+    return rows.mapInArrow(walk, f"{kinds}, path array<string>, depth long")
+
+
+def ancestors(spans: DataFrame) -> DataFrame:
+    """Number of spans from the root to each span, of any depth."""
+    return call_paths(spans, ()).select("trace_id", "span_id", "depth")
 
 
 def path_vocabulary(paths: DataFrame) -> DataFrame:
     """Distinct (service, path) with a number in order of the path's text."""
     distinct = paths.select("service", F.array_join("path", ">").alias("path_key")).distinct()
-    return distinct.withColumn("dim", (F.row_number().over(Window.orderBy("service", "path_key")) - 1).cast("long"))
+    sizes = distinct.groupBy("service").agg(F.count("*").alias("n"))  # one row a service, so a window over all of them is small
+    before = F.coalesce(F.sum("n").over(Window.orderBy("service").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = distinct.withColumn("_n", F.row_number().over(Window.partitionBy("service").orderBy("path_key")))
+    joined = numbered.join(small(sizes.select("service", before.alias("_before"))), "service")
+    return joined.select("service", "path_key", (F.col("_before") + F.col("_n") - 1).cast("long").alias("dim"))
 
 
 def trace_vectors(paths: DataFrame, vocabulary: DataFrame, duration: str = "duration_us") -> DataFrame:
@@ -98,7 +145,7 @@ def trace_scores(vectors: DataFrame, stats: DataFrame) -> DataFrame:
     """Mean log-likelihood under independent normal dimensions, and the number of unseen paths."""
     z = (F.col("duration") - F.col("mean")) / F.col("sigma")
     like = -0.5 * (z * z + F.log(2 * F.pi() * F.col("sigma") * F.col("sigma")))
-    return vectors.join(F.broadcast(stats), "dim", "left").groupBy("trace_id").agg(F.avg(like).alias("score"), F.count_if(F.col("dim").isNull()).alias("unseen_path_count"), F.count("dim").alias("known_dim_count"))
+    return vectors.join(small(stats), "dim", "left").groupBy("trace_id").agg(F.avg(like).alias("score"), F.count_if(F.col("dim").isNull()).alias("unseen_path_count"), F.count("dim").alias("known_dim_count"))
 
 
 def flag_traces(scores: DataFrame, reference: DataFrame, quantile: float = 0.0) -> DataFrame:
@@ -111,9 +158,9 @@ def flag_traces(scores: DataFrame, reference: DataFrame, quantile: float = 0.0)
 def left_tail(scores: DataFrame, reference: DataFrame) -> DataFrame:
     """Share of reference scores at or below each score, by a running count over both."""
     both = scores.select("trace_id", "score", F.lit(0).alias("ref")).unionByName(reference.select("trace_id", "score", F.lit(1).alias("ref")))
-    steps = both.groupBy("score").agg(F.sum("ref").alias("n"))
-    upto = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    shares = steps.select("score", (F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy())).alias("p_value"))
+    steps = running_total(both.groupBy("score").agg(F.sum("ref").alias("n")), "score", "n", "_upto")
+    total = reference.agg(F.count("*").alias("_all"))
+    shares = steps.join(F.broadcast(total)).select("score", (F.col("_upto") / F.col("_all")).alias("p_value"))
     return scores.join(shares, "score")
 
 
@@ -121,27 +168,27 @@ def three_sigma(vectors: DataFrame, reference: DataFrame, limit: float = 3.0) ->
     """The most suspicious dimension of each trace: outside mean +- limit * sigma, the longest path first, then the greatest |z|."""
     sigma = F.when(F.col("sigma") <= 1e-8, 1.0).otherwise(F.col("sigma"))
     z = F.abs(F.col("duration") - F.col("mean")) / sigma
-    out = vectors.join(F.broadcast(reference), "dim").withColumn("z", z).where(F.col("z") > limit)
+    out = vectors.join(small(reference), "dim").withColumn("z", z).where(F.col("z") > limit)
     order = Window.partitionBy("trace_id").orderBy(F.desc(F.size(F.split("path_key", ">"))), F.desc("z"), "service", "path_key")
     return out.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two arrays."""
-    n = F.least(F.size(a), F.size(b))
-    same = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & F.coalesce(F.get(a, i - 1) == F.get(b, i - 1), F.lit(False)))
-    stop = F.array_position(same, False)
-    return F.when(stop > 0, stop - 1).otherwise(n).cast("long")
+def prefixes(rows: DataFrame, path: str) -> DataFrame:
+    """Each row with every prefix of its path and the prefix's length."""
+    parts = F.split(path, ">")
+    return rows.withColumn("prefix", F.explode(F.sequence(F.lit(1), F.size(parts)))).withColumn("_head", F.array_join(F.slice(parts, F.lit(1), F.col("prefix")), ">"))
 
 
 def longest_common_path(unseen: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """For each unseen path the known path that shares its longest prefix; only known paths of the same root are compared."""
-    split = lambda c: F.split(c, ">")
-    left = unseen.withColumn("_root", F.get(split("path_key"), F.lit(0)))
-    right = vocabulary.select(F.get(split("path_key"), F.lit(0)).alias("_root"), F.col("path_key").alias("known_path"))
-    pairs = left.join(F.broadcast(right), "_root").withColumn("prefix", common_prefix(split("path_key"), split("known_path")))
-    order = Window.partitionBy("trace_id", "path_key").orderBy(F.desc("prefix"), "known_path")
-    return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_root")
+    """For each unseen path the known path that shares its longest prefix (of several the first by name), if one has its root.
+
+    Prefixes meet in an equi-join, so no two paths are compared: each distinct prefix
+    keeps its first known path, and each distinct unseen path its longest known prefix.
+    """
+    first = prefixes(vocabulary.select(F.col("path_key").alias("known_path")), "known_path").groupBy("_head").agg(F.min("known_path").alias("known_path"))
+    own = prefixes(unseen.select("path_key").distinct(), "path_key").join(first, "_head")
+    best = own.groupBy("path_key").agg(F.max("prefix").cast("long").alias("prefix"), F.max_by("known_path", "prefix").alias("known_path"))
+    return unseen.join(best, "path_key")
 
 
 def event_pairs(events: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

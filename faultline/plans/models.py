@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import drain, graph, joins, ranking, series, stats, traces
-from ..sources import views
+from ..operators import drain, graph, joins, learned, ranking, series, stats, traces
+from ..sources import sinks, views
 from . import parsing
 from .registry import query
-from .telemetry import fails, r6
+from .telemetry import COVER, MEASURES, coverage, fails, r6
 
 #: Call paths in SQL: the driver's spans form a chain per trace, so a path is the trace's services so far, runs collapsed.
 PATHS = ", o as (select *, case when service is distinct from lag(service) over (partition by trace_id order by start_us, span_id) then service end as step from s), p as (select trace_id, span_id, service, duration_us, day, string_agg(step,'>') over (partition by trace_id order by start_us, span_id rows between unbounded preceding and current row) as path_key from o)"
@@ -29,7 +29,20 @@ def mlg_15(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("mlg_23_depth", "select trace_id, span_id, cast(row_number() over (partition by trace_id order by start_us, span_id) as bigint) as depth from s", "s")
 def mlg_23(spark: SparkSession, sf: str) -> DataFrame:
-    return traces.ancestors(views.spans(spark, sf), depth=64)
+    return traces.ancestors(views.spans(spark, sf))
+
+
+TREE = ", w as (select trace_id, span_id, [service] as path, service, 1 as depth from b where not exists (select 1 from b q where q.trace_id=b.trace_id and q.span_id=b.parent_span_id) union all select c.trace_id, c.span_id, case when w.service=c.service then w.path else list_append(w.path, c.service) end, c.service, w.depth+1 from b c join w on c.trace_id=w.trace_id and c.parent_span_id=w.span_id)"
+
+
+@query("mlg_15_tree_paths", TREE + " select trace_id, span_id, array_to_string(path,'>') path_key from w", "sb", recursive=True)
+def mlg_15_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return traces.call_paths(views.tree_spans(spark, sf), ()).select("trace_id", "span_id", F.array_join("path", ">").alias("path_key"))
+
+
+@query("mlg_23_tree_depth", TREE + " select trace_id, span_id, cast(depth as bigint) depth from w", "sb", recursive=True)
+def mlg_23_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return traces.ancestors(views.tree_spans(spark, sf))
 
 
 @query("agg_27_path_vocabulary", PATHS + ", v as (select distinct service, path_key from p) select service, path_key, cast(row_number() over (order by service, path_key)-1 as bigint) as dim from v", "s")
@@ -43,9 +56,9 @@ VECTORS = PATHS + ", v as (select service, path_key, row_number() over (order by
 
 def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """All traces' vectors on the even days' vocabulary, and that vocabulary."""
-    rows = paths(spark, sf)
-    vocabulary = traces.path_vocabulary(rows.where(~odd_day()))
-    return traces.trace_vectors(rows, vocabulary), vocabulary
+    rows = sinks.stored(paths(spark, sf).drop("depth"), "paths")
+    vocabulary = sinks.stored(traces.path_vocabulary(rows.where(~odd_day())), "vocabulary")
+    return sinks.stored(traces.trace_vectors(rows, vocabulary), "vectors"), vocabulary
 
 
 @query("agg_15_trace_vectors", VECTORS + " select trace_id, service, path_key, coalesce(cast(dim as bigint),-1) as dim, duration from x", "s")
@@ -81,7 +94,7 @@ TRACE_SCORES = VECTORS + STATS + ", z as (select x.trace_id, max(x.day) as day,
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = vectors(spark, sf)
-    return traces.trace_scores(rows, traces.dimension_stats(even(rows)))
+    return sinks.stored(traces.trace_scores(rows, traces.dimension_stats(even(rows))), "scores")
 
 
 @query("mlg_18_trace_scores", TRACE_SCORES + " select trace_id, round(score,5) score, cast(unseen as bigint) unseen, coalesce(unseen>0 or score < (select min(score) from z where cast(right(day,2) as int)%2=0), false) as is_anomalous from z", "s")
@@ -103,17 +116,34 @@ def mlg_19(spark: SparkSession, sf: str) -> DataFrame:
     return traces.three_sigma(rows.where("dim is not null"), traces.dimension_stats(even(rows)), limit=1.5).select("trace_id", "service", "path_key", F.round("z", 5).alias("z"))
 
 
-@query("mlg_20_longest_common_path")
+COMMON_PATH = ", hp as (select path_key as known_path, unnest(range(1, len(split(path_key,'>'))+1)) k from v), kp as (select array_to_string(split(known_path,'>')[1:k],'>') as head, min(known_path) known_path from hp group by 1), up as (select path_key, unnest(range(1, len(split(path_key,'>'))+1)) k from (select distinct path_key from x where dim is null)), bp as (select up.path_key, max(k) prefix, arg_max(kp.known_path, k) known_path from up join kp on kp.head=array_to_string(split(up.path_key,'>')[1:k],'>') group by 1)"
+
+
+@query("mlg_20_longest_common_path", VECTORS + COMMON_PATH + " select x.trace_id, x.path_key, bp.known_path, cast(bp.prefix as bigint) prefix from x join bp on x.path_key=bp.path_key where x.dim is null", "s")
 def mlg_20(spark: SparkSession, sf: str) -> DataFrame:
     rows, vocabulary = vectors(spark, sf)
-    unseen = rows.where("dim is null and size(split(path_key, '>')) <= 6").select("trace_id", "path_key")
-    known = vocabulary.where("size(split(path_key, '>')) <= 6")
-    return traces.longest_common_path(unseen, known).select("trace_id", "path_key", "known_path", "prefix")
+    return traces.longest_common_path(rows.where("dim is null").select("trace_id", "path_key"), vocabulary).select("trace_id", "path_key", "known_path", "prefix")
+
+
+@query("mlg_16_trace_model")
+def mlg_16(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of the autoencoder that is trained on the even days, as stored rows."""
+    rows, vocabulary = vectors(spark, sf)
+    known = learned.normalized(even(rows), traces.dimension_stats(even(rows)))
+    return learned.as_table(spark, learned.fit(known, vocabulary.count()))
 
 
-@query("mlg_21_split")
+@query("mlg_17_likelihoods")
+def mlg_17(spark: SparkSession, sf: str) -> DataFrame:
+    rows, vocabulary = vectors(spark, sf)
+    width, stats_ = vocabulary.count(), traces.dimension_stats(even(rows))
+    model = learned.fit(learned.normalized(even(rows), stats_), width)
+    return learned.likelihoods(learned.normalized(rows, stats_), model, width)
+
+
+@query("mlg_21_split", "select distinct trace_id, case when cast(concat('0x', substr(md5(trace_id),1,6)) as bigint)%10=0 then 'valid' else 'train' end as part from s", "s")
 def mlg_21(spark: SparkSession, sf: str) -> DataFrame:
-    valid = F.pmod(F.xxhash64("trace_id"), F.lit(10)) == 0
+    valid = F.conv(F.substring(F.md5(F.col("trace_id").cast("binary")), 1, 6), 16, 10).cast("long") % 10 == 0
     return views.spans(spark, sf).select("trace_id").distinct().select("trace_id", F.when(valid, "valid").otherwise("train").alias("part"))
 
 
@@ -157,7 +187,7 @@ ANOMALY = DAILY + ", b as (select source, destination, avg(w) m from g group by
 def weighted_edges(spark: SparkSession, sf: str) -> DataFrame:
     rows = daily_edges(spark, sf)
     means = rows.groupBy("src", "dst").agg(F.avg("w").alias("m"))
-    joined = rows.join(F.broadcast(means), ["src", "dst"]).withColumns({"anomalous": F.col("w") > 1.2 * F.col("m"), "corr": 1 - F.abs(F.col("w") - F.col("m")) / F.col("m")})
+    joined = rows.join(joins.small(means), ["src", "dst"]).withColumns({"anomalous": F.col("w") > 1.2 * F.col("m"), "corr": 1 - F.abs(F.col("w") - F.col("m")) / F.col("m")})
     return graph.edge_weights(joined, "anomalous", "corr").select("day", "src", "dst", "weight", "anomalous")
 
 
@@ -184,9 +214,10 @@ def mlg_06(spark: SparkSession, sf: str) -> DataFrame:
 @query("mlg_07_threshold_edges", DAILY + ", b as (select source, destination, avg(w) filter (cast(right(day,2) as int)%2=0) n, avg(w) filter (cast(right(day,2) as int)%2=1) f from g group by all), r as (select *, case when n<>0 then f/n when f=0 then 1.0 else cast('inf' as double) end ratio from b where n is not null and f is not null), k as (select *, row_number() over (order by round(ratio,9) desc, source, destination) i, count(*) filter (ratio>1.05) over () c from r) select source as src, destination as dst, round(ratio,6) ratio from k where ratio>1.05 or (c=0 and i<=5)", "s")
 def mlg_07(spark: SparkSession, sf: str) -> DataFrame:
     ratio = joins.window_ratio(daily_edges(spark, sf), ["src", "dst"], odd_day(), "w").withColumn("_r", F.round("ratio", 9))
-    over = F.count_if(F.col("ratio") > 1.05).over(Window.partitionBy())
-    ranked = ranking.ranked(ratio.withColumn("_over", over), [], F.desc("_r"), F.asc("src"), F.asc("dst"))
-    return ranked.where((F.col("ratio") > 1.05) | ((F.col("_over") == 0) & (F.col("rank") <= 5))).select("src", "dst", r6("ratio"))
+    some = ratio.where("ratio > 1.05")
+    none = some.agg(F.count("*").alias("_over")).where("_over = 0")
+    first = ratio.orderBy(F.desc("_r"), "src", "dst").limit(5).join(F.broadcast(none)).drop("_over")  # the five greatest where no edge exceeds the limit
+    return some.unionByName(first).select("src", "dst", r6("ratio"))
 
 
 @query("mlg_02_birch_test")
@@ -224,30 +255,35 @@ def service_scores(spark: SparkSession, sf: str) -> DataFrame:
     return views.metrics(spark, sf).groupBy("metric", "service").agg(F.round(F.avg("value"), 6).alias("score"))
 
 
-@query("mlg_14_score_clusters")
+#: Complete linkage on a line in SQL: each step merges the adjacent runs of least diameter, while it is within the deviation.
+LINKS = ", a as (select metric, service, round(avg(value),6) score from m group by all), st as (select metric, list([score] order by score desc) runs, any_value(cut) cut, 0 step from (select distinct metric, score from a) join (select metric, stddev_pop(score) cut from a group by metric) using (metric) group by metric union all select metric, list_concat(list_concat(runs[1:k-1], [list_concat(runs[k], runs[k+1])]), runs[k+2:]), cut, step+1 from (select *, list_position(sp, list_min(sp)) k from (select *, list_transform(range(1, len(runs)), lambda i: runs[i][1]-runs[i+1][len(runs[i+1])]) sp from st where len(runs)>1)) where list_min(sp)<=cut and cut>0), fin as (select metric, arg_max(runs, step) runs from st group by metric), cl as (select metric, runs, unnest(range(1, len(runs)+1)) c from fin), sc as (select metric, c as cluster, unnest(runs[c]) score from cl), lk as (select a.metric, a.service, a.score, cast(sc.cluster as bigint) as cluster from a join sc on a.metric=sc.metric and a.score=sc.score)"
+
+
+@query("mlg_14_score_clusters", LINKS + " select metric, service, score, cluster from lk", "m", recursive=True)
 def mlg_14(spark: SparkSession, sf: str) -> DataFrame:
     return stats.score_clusters(service_scores(spark, sf), "metric", "service", "score")
 
 
-@query("agg_12_cluster_ranks")
+@query("agg_12_cluster_ranks", LINKS + ", g as (select metric, cluster, round(avg(score),6) mean_score, max(score) max_score, count(*) events from lk group by all) select metric, cluster, mean_score, max_score, cast(events as bigint) events, cast(row_number() over (partition by metric order by mean_score desc, max_score desc, events desc, cluster) as bigint) as rank from g", "m", recursive=True)
 def agg_12(spark: SparkSession, sf: str) -> DataFrame:
     rows = stats.score_clusters(service_scores(spark, sf), "metric", "service", "score")
-    table = rows.groupBy("metric", "cluster").agg(F.avg("score").alias("mean_score"), F.max("score").alias("max_score"), F.count("*").alias("events"))
+    table = rows.groupBy("metric", "cluster").agg(r6(F.avg("score"), "mean_score"), F.max("score").alias("max_score"), F.count("*").alias("events"))
     return ranking.ranked(table, ["metric"], F.desc("mean_score"), F.desc("max_score"), F.desc("events"), F.asc("cluster"))
 
 
-@query("agg_13_services_by_cluster")
+@query("agg_13_services_by_cluster", LINKS + ", g as (select service, min(cluster) first_cluster, round(sum(score),6) weight from lk group by service) select *, cast(row_number() over (order by first_cluster, weight desc, service) as bigint) as rank from g", "m", recursive=True)
 def agg_13(spark: SparkSession, sf: str) -> DataFrame:
     rows = stats.score_clusters(service_scores(spark, sf), "metric", "service", "score")
-    first = rows.groupBy("service").agg(F.min("cluster").alias("first_cluster"), F.sum("score").alias("weight"))
+    first = rows.groupBy("service").agg(F.min("cluster").alias("first_cluster"), r6(F.sum("score"), "weight"))
     return ranking.ranked(first, [], F.asc("first_cluster"), F.desc("weight"), F.asc("service"))
 
 
-@query("win_02_consensus")
-def win_02_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    from .telemetry import coverage
+SCORES = ", q as (select item, round(coalesce(rf/nullif(rf+rp,0),0),9) tarantula, " + ", ".join(f"round({m},9) {m}" for m in stats.MEASURES[1:]) + " from z), lq as (unpivot q on " + ", ".join(stats.MEASURES) + " into name measure value score), rq as (select item, rank() over (partition by measure order by score desc)+(count(*) over (partition by measure, score)-1)/2.0 r, count(*) over (partition by measure) n from lq)"
+
 
-    return stats.consensus(stats.spectrum(coverage(spark, sf), views.runs(spark), "item"), "item")
+@query("win_02_consensus", COVER + MEASURES + SCORES + " select item, round(avg(case when n<=1 then 1.0 else 1-(r-1)/(n-1) end),6) consensus from rq group by item", "mr")
+def win_02_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.consensus(stats.spectrum(coverage(spark, sf), views.runs(spark), "item"), "item").select("item", r6("consensus"))
 
 
 @query("agg_19_votes", PATHS + ", k as (select trace_id, service, duration_us, row_number() over (partition by trace_id order by duration_us desc, span_id) n from s), d as (select trace_id, service, min(n) n from k group by all), e as (select *, row_number() over (partition by trace_id order by n) r from d) select service, round(sum(case when r=1 then 1.0 when r<=6 then 0.5 else 0 end),6) votes, cast(count(*) filter (r=1) as bigint) chosen from e group by service", "s")
@@ -278,6 +314,15 @@ def top_03(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.fill_from_paths(last, "ranked", "path").select("trace_id", F.array_join("filled", ">").alias("filled"))
 
 
+@query("top_03_fill_ranked", PATHS + ", l as (select trace_id, arg_max(path_key, span_id) path_key from p group by trace_id), k as (select trace_id, service, max(duration_us) v from s group by all), q as (select *, row_number() over (partition by trace_id order by v desc, service) r from k), t as (select trace_id, list(service order by r) ranked from q where r<=2 group by trace_id), u as (select l.trace_id, list_concat(ranked, list_reverse(split(path_key,'>'))) every from l join t on l.trace_id=t.trace_id) select trace_id, array_to_string(list_filter(every, lambda x, i: list_position(every, x)=i)[1:5], '>') filled from u", "s")
+def top_03_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """The two services of the longest spans, then the ancestors of the trace's last span."""
+    last = paths(spark, sf).groupBy("trace_id").agg(F.max_by("path", "span_id").alias("path"))
+    best = ranking.top(views.spans(spark, sf).groupBy("trace_id", "service").agg(F.max("duration_us").alias("v")), ["trace_id"], 2, F.desc("v"), F.asc("service"))
+    first = best.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("rank", "service")))["service"].alias("ranked"))
+    return ranking.fill_from_paths(last.join(first, "trace_id"), "ranked", "path").select("trace_id", F.array_join("filled", ">").alias("filled"))
+
+
 @query("top_04_trace_candidates", ", k as (select trace_id, service, max(duration_us) v from s group by all), q as (select *, row_number() over (partition by trace_id order by v desc, service) r from k) select trace_id, string_agg(service, ',' order by r) services from q where r<=6 group by trace_id", "s")
 def top_04(spark: SparkSession, sf: str) -> DataFrame:
     table = views.spans(spark, sf).groupBy("trace_id", "service").agg(F.max("duration_us").alias("v"))

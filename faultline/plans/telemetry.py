@@ -93,9 +93,8 @@ def flt_05(spark: SparkSession, sf: str) -> DataFrame:
 @query("flt_06_known_services", "select service, cast(min(rk) as bigint) as rank from (select concat('svc', cast(user_id % 20 as varchar)) service, row_number() over (order by event_id) rk from events) x where service in (select service from m) group by service", "m")
 def flt_06(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.table(spark, sf, "events").groupBy(F.concat(F.lit("svc"), (F.col("user_id") % 20).cast("string")).alias("service")).agg(F.min("event_id").alias("e"))
-    ids = views.table(spark, sf, "events").select("event_id")
-    ranked = rows.join(F.broadcast(rows.select(F.col("e").alias("x"))), F.col("x") == F.col("e")).drop("x")
-    ranked = ids.alias("i").join(F.broadcast(ranked.alias("r")), F.col("i.event_id") <= F.col("r.e")).groupBy("r.service").agg(F.count("*").alias("rank"))
+    numbered = series.running_total(views.table(spark, sf, "events").groupBy("event_id").agg(F.count("*").alias("n")), "event_id", "n", "rank")
+    ranked = rows.join(numbered, F.col("e") == F.col("event_id")).select("service", "rank")
     return ranking.known_in_order(ranked, views.metrics(spark, sf), [], "service")
 
 
@@ -411,7 +410,7 @@ def win_05(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.ranked(views.spans(spark, sf), ["trace_id"], F.desc("duration_us"), F.asc("span_id")).select("trace_id", "span_id", "rank")
 
 
-@query("win_06_gap_clusters")
+@query("win_06_gap_clusters", ", a as (select metric, service, round(avg(value),6) score from m group by all), k as (select *, row_number() over (partition by metric order by score desc, service) n from a), w as (select metric, service, score, n, score as top, 1 as cluster from k where n=1 union all select k.metric, k.service, k.score, k.n, case when w.top-k.score>0.5 then k.score else w.top end, w.cluster+case when w.top-k.score>0.5 then 1 else 0 end from w join k on k.metric=w.metric and k.n=w.n+1) select metric, service, score, cast(cluster as integer) as cluster from w", "m", recursive=True)
 def win_06(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.metrics(spark, sf).groupBy("metric", "service").agg(F.round(F.avg("value"), 6).alias("score")).withColumn("limit", F.lit(0.5))
     return stats.gap_clusters(rows, "metric", "service", "score", "limit")

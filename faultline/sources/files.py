@@ -1,4 +1,4 @@
-"""Readers of telemetry and metadata files, all with fixed schemas and no inference."""
+"""Readers of telemetry and metadata files, all with fixed schemas and no inference.  lines: a file holds one JSON document a line."""
 
 from __future__ import annotations
 
@@ -40,12 +40,12 @@ def pruned(rows: DataFrame, windows: DataFrame, start: str = "window_start", end
 
 def file_ranges(rows: DataFrame, ts: str = "ts") -> DataFrame:
     """First and last time in each file."""
-    return rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n"))
+    return rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n"))
 
 
-def prometheus_json(spark: SparkSession, path: str) -> DataFrame:
+def prometheus_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Saved range answers as (labels, ts, value); answers without success give no rows."""
-    raw = spark.read.schema(PROMETHEUS).option("multiLine", True).json(path).where("status = 'success'")
+    raw = spark.read.schema(PROMETHEUS).option("multiLine", not lines).json(path).where("status = 'success'")
     series = raw.select(F.explode("data.result").alias("r")).select(F.col("r.metric").alias("labels"), F.explode("r.values").alias("v"))
     return series.select("labels", F.timestamp_seconds(F.get("v", F.lit(0)).try_cast("double")).alias("ts"), F.get("v", F.lit(1)).try_cast("double").alias("value"))
 
@@ -71,18 +71,23 @@ def pods(samples: DataFrame, without: Sequence[str] = ("prometheus", "grafana"))
     return named.groupBy("pod").agg(F.min("pos").alias("pos")).orderBy("pos").select("pod")
 
 
-def loki_json(spark: SparkSession, path: str) -> DataFrame:
+def loki_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Saved log answers as (ts_ns, node, pod, container, log), equal rows once over all slices."""
-    raw = spark.read.schema(LOKI).option("multiLine", True).json(path)
+    raw = spark.read.schema(LOKI).option("multiLine", not lines).json(path)
     rows = raw.select(F.explode("data.result").alias("r")).select("r.stream", F.explode("r.values").alias("v"))
     label = lambda k: F.coalesce(F.try_element_at("stream", F.lit(k)), F.lit("")).alias(k.removesuffix("_name"))
     return rows.select(F.get("v", F.lit(0)).try_cast("bigint").alias("ts_ns"), label("node_name"), label("pod"), label("container"), F.get("v", F.lit(1)).alias("log")).dropDuplicates()
 
 
-def jaeger_json(spark: SparkSession, path: str, fallback: str = "") -> DataFrame:
+def jaeger_json(spark: SparkSession, path: str, fallback: str = "", lines: bool = False) -> DataFrame:
     """Saved traces as span rows, each (trace, span) once."""
-    raw = spark.read.schema(JAEGER).option("multiLine", True).json(path).select(F.explode("data").alias("t"))
-    rows = raw.select("t.traceID", "t.processes", F.explode("t.spans").alias("s"))
+    return spans_of(spark.read.schema(JAEGER).option("multiLine", not lines).json(path), fallback)
+
+
+def spans_of(answers: DataFrame, fallback: str = "") -> DataFrame:
+    """Span rows of answers; a column ``value`` holds them as JSON text, else they are parsed already."""
+    raw = answers.select(F.from_json("value", JAEGER).alias("v")).select("v.*") if answers.columns == ["value"] else answers
+    rows = raw.select(F.explode("data").alias("t")).select("t.traceID", "t.processes", F.explode("t.spans").alias("s"))
     service = F.coalesce(F.try_element_at("processes", F.col("s.processID"))["serviceName"], F.lit(fallback))
     return rows.select(
         F.col("s.startTime").alias("start_time"), F.col("traceID").alias("trace_id"), F.col("s.spanID").alias("span_id"), service.alias("service"), F.col("s.operationName").alias("operation"),
@@ -90,9 +95,42 @@ def jaeger_json(spark: SparkSession, path: str, fallback: str = "") -> DataFrame
     ).dropDuplicates(["trace_id", "span_id"])
 
 
-def runs_json(spark: SparkSession, path: str, before_minutes: int = 5, length_minutes: int = 5) -> DataFrame:
+#: Columns of a parsed span and the tags they come from, the first that is there; status is SUCCESS where no tag says otherwise (fixed values).
+SPAN_TAGS = {
+    "span_kind": ("span.kind",), "status_code": ("http.status_code", "status.code"), "status": ("otel.status_code", "status"), "peer_service": ("peer.service",), "http_method": ("http.method",),
+    "http_url": ("http.url",), "exception_type": ("exception.type",), "exception_message": ("exception.message",), "pod": ("pod", "k8s.pod.name"), "container": ("container", "k8s.container.name"), "node": ("node", "k8s.node.name"),
+}
+
+
+def parsed_spans(rows: DataFrame) -> DataFrame:
+    """The 19 columns of a span: parent, timing, tags by name (empty where absent) and all tags as JSON."""
+    tags = F.map_from_entries(F.transform(F.array_distinct(F.transform("tags", lambda x: x["key"])), lambda k: F.struct(k.alias("key"), F.get(F.filter("tags", lambda x: x["key"] == k), F.lit(0))["value"].alias("value"))))
+    child = F.get(F.filter("references", lambda r: r["refType"] == "CHILD_OF"), F.lit(0))["spanID"]
+    tagged = rows.withColumn("_tags", F.coalesce(tags, F.create_map().cast("map<string,string>")))
+    found = {c: F.coalesce(*(F.try_element_at("_tags", F.lit(k)) for k in keys), F.lit("SUCCESS" if c == "status" else "")) for c, keys in SPAN_TAGS.items()}
+    return tagged.select(F.col("start_time").alias("timestamp"), "trace_id", "span_id", F.coalesce(child, F.lit("")).alias("parent_span_id"), "service", "operation", "duration", *(v.alias(c) for c, v in found.items()), F.to_json("_tags").alias("tags_json"))
+
+
+def tolerant_list(value: Column, kind: str) -> Column:
+    """A JSON list, empty where the text is null, empty or does not parse."""
+    return F.coalesce(F.from_json(value, f"array<{kind}>", {"mode": "PERMISSIVE"}), F.array().cast(f"array<{kind}>"))
+
+
+def normalized_fault(metadata: Column) -> Column:
+    """Fault metadata as JSON in one shape: the target service inside injection_info, no blank pod, the leading keys in order."""
+    top = F.from_json(metadata, "map<string,string>")
+    info = F.coalesce(F.from_json(top["injection_info"], "map<string,string>"), F.create_map().cast("map<string,string>"))
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    service, pod = F.coalesce(F.nullif(F.try_element_at(info, F.lit("service")), F.lit("")), F.try_element_at(top, F.lit("target_service"))), blank(F.try_element_at(info, F.lit("pod")))
+    first = F.struct(F.try_element_at(info, F.lit("fault_type")).alias("fault_type"), F.try_element_at(info, F.lit("inject_start")).alias("inject_start"), service.alias("service"), pod.alias("pod"))
+    named = ("fault_type", "inject_start", "service", "pod")
+    rest = F.map_filter(info, lambda k, v: ~k.isin(*named) & v.isNotNull())
+    return F.to_json(F.struct(F.try_element_at(top, F.lit("fault_id")).alias("fault_id"), F.try_element_at(top, F.lit("injection_tool")).alias("injection_tool"), first.alias("injection_info"), F.when(F.size(rest) > 0, rest).alias("parameters")))
+
+
+def runs_json(spark: SparkSession, path: str, before_minutes: int = 5, length_minutes: int = 5, lines: bool = False) -> DataFrame:
     """Run and fault metadata with the analysis window; the run id is the folder's name."""
-    raw = spark.read.schema(RUN_FIELDS).option("multiLine", True).json(path)
+    raw = spark.read.schema(RUN_FIELDS).option("multiLine", not lines).json(path)
     time = lambda c: F.try_to_timestamp(F.col(c)).cast("timestamp")
     inject, start, end = time("injection_info.inject_start"), time("workload_start_time"), time("workload_end_time")
     begin = F.coalesce(inject, start + F.make_interval(mins=F.lit(before_minutes)))
@@ -104,9 +142,9 @@ def runs_json(spark: SparkSession, path: str, before_minutes: int = 5, length_mi
     )
 
 
-def plan_json(spark: SparkSession, path: str) -> DataFrame:
+def plan_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Fault experiments of a batch plan, each once, in order."""
-    raw = spark.read.schema(PLAN).option("multiLine", True).json(path).withColumn("pos", F.monotonically_increasing_id())
+    raw = spark.read.schema(PLAN).option("multiLine", not lines).json(path).withColumn("pos", F.monotonically_increasing_id())
     return raw.where(F.lower(F.trim("task")) == "fault").groupBy("exp_id").agg(F.min("pos").alias("pos")).orderBy("pos")
 
 
@@ -114,13 +152,13 @@ def inventory_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("metric_name string").option("header", True).csv(path).select(F.trim("metric_name").alias("metric")).where("metric <> ''").distinct()
 
 
-def topology_json(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(TOPOLOGY).option("multiLine", True).json(path).select(F.explode("services").alias("s"))
+def topology_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    raw = spark.read.schema(TOPOLOGY).option("multiLine", not lines).json(path).select(F.explode("services").alias("s"))
     return raw.select(F.col("s.name").alias("src"), F.explode_outer("s.depends_on").alias("dst"))
 
 
-def locust_json(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(LOCUST + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def locust_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    raw = spark.read.schema(LOCUST + ", _corrupt_record string").option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
     return raw.select(F.explode_outer("stats").alias("s"), F.col("_corrupt_record").isNotNull().alias("failed")).select("s.*", "failed")
 
 
@@ -134,7 +172,7 @@ def litmus_results(manifests: DataFrame, column: str = "execution_data") -> Data
 
 def fault_specs(spark: SparkSession, path: str) -> DataFrame:
     """Kind, name, namespace and the flat parameters of fault specifications (YAML of nested maps with scalar leaves; list items join by commas)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "value")
+    lines = spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "value")
 
     def parse(batches):
         for batch in batches:

@@ -4,8 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import atexit
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that executors share: below spark.checkpoint.dir, or a temporary one where that is unset in a local session.  It goes at the end of the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "faultline")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _SCRATCH:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001, S112  the session may be gone already
+            continue
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once and reread, for plans that use it several times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_graph(edges: DataFrame, path: str, case: str) -> None:
+    """Edges of all cases as one table, by case; read_graph() gives them back."""
+    edges.repartition(case).write.mode("overwrite").partitionBy(case).parquet(path)
+
+
+def read_graph(spark: SparkSession, path: str, kinds: str) -> DataFrame:
+    return spark.read.schema(kinds).parquet(path)
+
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """CSV with the given header, also when there are no rows."""

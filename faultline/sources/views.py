@@ -39,6 +39,15 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tree_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same spans as branching traces: a span's parent is the one at half its place; each eleventh has a parent that is missing."""
+    in_trace = Window.partitionBy("trace_id").orderBy("start_us", "span_id")
+    rows = spans(spark, sf_dir).drop("parent_span_id").withColumn("rn", F.row_number().over(in_trace))
+    up = rows.select("trace_id", F.col("rn").alias("half"), F.col("span_id").alias("up"))
+    joined = rows.withColumn("half", F.floor(F.col("rn") / 2).cast("int")).join(up, ["trace_id", "half"], "left")
+    return joined.withColumn("parent_span_id", F.when(F.col("rn") % 11 == 0, -F.col("span_id")).otherwise(F.col("up"))).drop("rn", "half", "up")
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as log messages."""
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("span_id"), F.col("role").alias("service"), F.col("text").alias("message"))

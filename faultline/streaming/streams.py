@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.drain import SIMILARITY, fold, leaf
+from ..operators.joins import small
 
 LATE = "10 minutes"
-#: Templates that the state of a leaf holds at most; the rarest give way.
-STATE_TEMPLATES = 1000
 
 
 def bucket_stats(rows: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "value", size: str = "5 seconds", slide: str | None = None, late: str = LATE) -> DataFrame:
@@ -34,7 +33,7 @@ def unique_spans(rows: DataFrame, keys: Sequence[str] = ("trace_id", "span_id"),
 def alarms(rows: DataFrame, base: DataFrame, keys: Sequence[str], value: str = "value", limit: float = 3.0) -> DataFrame:
     """Stream rows further than limit deviations from a static baseline."""
     z = F.abs(F.col(value) - F.col("mean")) / F.col("sigma")
-    return rows.join(F.broadcast(base.where("sigma > 1e-8")), list(keys)).withColumn("z", z).where(F.col("z") > limit)
+    return rows.join(small(base.where("sigma > 1e-8")), list(keys)).withColumn("z", z).where(F.col("z") > limit)
 
 
 def online_templates(lines: DataFrame, message: str = "message", least: float = SIMILARITY) -> DataFrame:
@@ -44,7 +43,6 @@ def online_templates(lines: DataFrame, message: str = "message", least: float =
         known = [(t.split(" "), n) for t, n in zip(*state.get)] if state.exists else []
         for pdf in batches:
             known = fold(known + [(m.split(), 1) for m in pdf[message]], least)
-        known = sorted(known, key=lambda x: -x[1])[:STATE_TEMPLATES]
         state.update(([" ".join(t) for t, _ in known], [n for _, n in known]))
         yield pd.DataFrame({"leaf": key[0], "template": [" ".join(t) for t, _ in known], "n": [n for _, n in known]})
 

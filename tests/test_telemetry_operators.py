@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import http.server
+import json
 import math
+import threading
+import urllib.parse
 from itertools import combinations
 
 import numpy as np
@@ -10,8 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import text
-from faultline.operators import drain, graph, joins, promql, ranking, series, stats, traces
-from faultline.sources import files, sinks
+from faultline.operators import drain, driver, graph, joins, learned, promql, ranking, series, stats, traces
+from faultline.sources import files, paged, sinks
 from faultline.streaming import streams
 
 
@@ -100,6 +104,175 @@ def test_call_paths_end_at_orphans_and_cycles(spark):
     assert traces.call_paths(df.limit(0)).count() == 0
 
 
+def test_deep_and_branching_traces_by_plain_python(spark):
+    rng = np.random.default_rng(4)
+    rows = [("deep", i, i - 1 if i else None, "ab"[i // 3 % 2], 1) for i in range(500)]
+    for t in range(12):
+        for i in range(30):
+            rows.append((f"t{t}", i, int(rng.integers(0, 34)) if i else None, "abc"[int(rng.integers(0, 3))], 1))
+    known = {(t, i): (p, s) for t, i, p, s, _ in rows}
+
+    def walk(t, i):
+        """Chain from a span up; None if it leads into a cycle."""
+        chain = []
+        while (t, i) in known:
+            if i in chain:
+                return None
+            chain.append(i)
+            i = known[t, i][0]
+        return chain
+
+    df = spark.createDataFrame(rows, "trace_id string, span_id long, parent_span_id long, service string, duration_us long").repartition(5)
+    got = {(r.trace_id, r.span_id): (r.path, r.depth) for r in traces.call_paths(df).collect()}
+    assert got.keys() == known.keys()
+    for (t, i), (path, depth) in got.items():
+        chain = walk(t, i)
+        if chain is not None:
+            services = [known[t, k][1] for k in reversed(chain)]
+            assert depth == len(chain) and path == [s for k, s in enumerate(services) if not k or services[k - 1] != s]
+        assert len(path) >= 1 and path[-1] == known[t, i][1]
+    assert {r.depth for r in traces.ancestors(df.where("trace_id = 'deep'")).collect()} == set(range(1, 501))
+
+
+def test_running_total_and_left_tail(spark):
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 400, 1000) / 4
+    rows = spark.createDataFrame([(float(v), int(n)) for v, n in zip(values, rng.integers(0, 9, 1000))], "v double, n long")
+    pairs = [(r.v, r.n) for r in rows.collect()]
+    for r in series.running_total(rows, "v", "n", "upto", parts=7).collect():
+        assert r.upto == sum(n for v, n in pairs if v <= r.v)
+    assert series.running_total(rows.limit(0), "v", "n", "upto").count() == 0
+
+
+def test_paged_logs_lose_and_repeat_nothing():
+    rng = np.random.default_rng(7)
+    times = sorted(int(t) for t in rng.integers(0, 200, 700)) + [77] * 40
+    store = sorted(((t, {"pod": f"p{i % 3}"}, f"line {i % 90}") for i, t in enumerate(times)), key=lambda r: (r[0], r[1]["pod"], r[2]))
+    asked = []
+
+    def fetch(start, end, limit):
+        asked.append(limit)
+        return [r for r in store if start <= r[0] <= end][:limit]
+
+    key = lambda r: (r[0], r[1]["pod"], r[2])
+    for page in (10, 64, 5000):
+        got = [key(r) for a, b in paged.slices(0, 220, 50) for r in paged.logs_of(fetch, a, b, page)]
+        assert len(got) == len(set(got)) and set(got) == {key(r) for r in store}
+
+
+def test_trace_windows_split_until_answers_are_whole():
+    rng = np.random.default_rng(8)
+    store = [{"traceID": str(i), "at": int(t)} for i, t in enumerate(rng.integers(0, 10**9, 900))]
+    fetch = lambda a, b, limit: [t for t in store if a <= t["at"] <= b][:limit]
+    got = [t["traceID"] for t in paged.traces_of(fetch, 0, 10**9, limit=20, least=10)]
+    assert sorted(got) == sorted(t["traceID"] for t in store)
+
+
+def test_paged_sources_over_http(spark):
+    """Both data sources against a server that answers in pages."""
+    lines = [(i * 10**9, f"line {i}") for i in range(120)]
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            url = urllib.parse.urlparse(self.path)
+            o = {k: v[0] for k, v in urllib.parse.parse_qs(url.query).items()}
+            a, b, limit = int(o["start"]), int(o["end"]), int(o["limit"])
+            if "loki" in url.path:
+                values = [[str(t), x] for t, x in lines if a <= t <= b][:limit]
+                body = {"status": "success", "data": {"result": [{"stream": {"pod": "p", "node_name": "n"}, "values": values}]}}
+            else:
+                body = {"data": [{"traceID": str(i), "processes": {"p": {"serviceName": "s"}}, "spans": [{"spanID": "1", "processID": "p", "operationName": "op", "startTime": t // 1000, "duration": 5}]} for i, (t, _) in enumerate(lines) if a <= t // 1000 <= b][:limit]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        paged.register(spark)
+        url = f"http://127.0.0.1:{server.server_port}"
+        logs = spark.read.format("paged_logs").options(url=url, start=0, end=119 * 10**9, slice=30 * 10**9, page=7).load()
+        assert sorted((r.ts_ns, r.node, r.pod, r.log) for r in logs.collect()) == [(t, "n", "p", x) for t, x in lines]
+        answers = spark.read.format("split_traces").options(url=url, service="s", start=0, end=119 * 10**6, slice=60 * 10**6, limit=10).load()
+        assert {(r.trace_id, r.service) for r in files.spans_of(answers).collect()} == {(str(i), "s") for i in range(120)}
+    finally:
+        server.shutdown()
+
+
+def test_trace_model_gradients_and_likelihood():
+    rng = np.random.default_rng(9)
+    model = learned.Model.random(5, rng, hidden=6, latent=2)
+    x, mask, eps = rng.normal(size=(8, 5)), (rng.random((8, 5)) < 0.8) * 1.0, rng.normal(size=(8, 2))
+    x *= mask
+    _, grads = model.step(x, mask, eps)
+    for w, g in zip(model.weights, grads):
+        i = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        old = w[i]
+        w[i] = old + 1e-5
+        up, _ = model.step(x, mask, eps)
+        w[i] = old - 1e-5
+        down, _ = model.step(x, mask, eps)
+        w[i] = old
+        assert (up - down) / 2e-5 == pytest.approx(g[i], rel=1e-3, abs=1e-6)
+    # one latent unit and a flat grid give the same likelihood as the samples
+    model = learned.Model.random(3, rng, hidden=4, latent=1)
+    x, mask = rng.normal(size=(4, 3)), np.ones((4, 3))
+    z = np.linspace(-8, 8, 4001)[:, None]
+    _, mean, raw = model.decode(z)
+    var = 1e-4 + learned.soft(raw)
+    for k in range(4):
+        log_px = -0.5 * (learned.LOG_2PI + np.log(var) + (x[k] - mean) ** 2 / var).sum(1) - 0.5 * (learned.LOG_2PI + z[:, 0] ** 2)
+        want = np.log(np.exp(log_px).sum() * (z[1, 0] - z[0, 0]))
+        got = model.log_likelihood(x[k : k + 1], mask[k : k + 1], np.random.default_rng(k), 4000)[0]
+        assert got == pytest.approx(want, abs=0.1)
+
+
+def test_trace_model_tells_odd_vectors(spark):
+    rng = np.random.default_rng(10)
+    usual = [(f"n{i}", d, float(v)) for i in range(300) for d, v in enumerate(rng.normal() * np.array([1, -1, 0.5]) + rng.normal(0, 0.1, 3))]
+    odd = [(f"x{i}", d, float(v)) for i in range(30) for d, v in enumerate(rng.normal(0, 4, 3))]
+    stats_ = spark.createDataFrame([(d, 0.0, 1.0) for d in range(3)], "dim long, mean double, sigma double")
+    rows = lambda x: learned.normalized(spark.createDataFrame(x, "trace_id string, dim long, duration double"), stats_)
+    model = learned.fit(rows(usual), 3)
+    back = learned.from_table(learned.as_table(spark, model))
+    assert all((a == b).all() for a, b in zip(model.weights, back.weights))
+    score = {r.trace_id: r.score for r in learned.likelihoods(rows(usual + odd), model, 3).collect()}
+    limit = np.quantile([s for t, s in score.items() if t[0] == "n"], 0.05)
+    assert np.mean([s < limit for t, s in score.items() if t[0] == "x"]) > 0.8
+    again = {r.trace_id: r.score for r in learned.likelihoods(rows(usual + odd).repartition(9), model, 3).collect()}
+    assert again == score
+
+
+def test_localization_prefers_the_anomalous_service(spark):
+    edges = [("c", "front", "cart"), ("c", "cart", "db"), ("c", "cart", "h"), ("c", "front", "h")]
+    nodes = [("c", "front", "service", True), ("c", "cart", "service", True), ("c", "db", "service", False), ("c", "h", "host", False)]
+    corr = [("c", "cart", "cpu", 0.9), ("c", "front", "cpu", 0.1), ("c", "cart", "h", 0.4)]
+    frame = lambda x, k: spark.createDataFrame(x, k)
+    args = frame(edges, "case string, src string, dst string"), frame(nodes, "case string, node string, kind string, anomalous boolean"), frame(corr, "case string, node string, resource string, corr double")
+    got = {r.node: r.score for r in graph.localize(*args, "case").collect()}
+    # by hand: weights front-cart .55, cart-db .55, cart-h .4, front-h 0; restart to cart alone (.55 * .9), as front has no caller
+    at = {v: i for i, v in enumerate(["cart", "db", "front", "h"])}
+    m = np.zeros((4, 4))
+    for s, d, w in (("front", "cart", 0.55), ("cart", "db", 0.55), ("cart", "h", 0.4)):
+        m[at[d], at[s]] = w
+    want = graph.page_rank(m, np.array([1.0, 0, 0, 0]))
+    assert got == pytest.approx({v: want[at[v]] for v in ("cart", "db", "front")}) and max(got, key=got.get) == "cart"
+    none = graph.localize(args[0], frame([(*n[:3], False) for n in nodes], "case string, node string, kind string, anomalous boolean"), args[2], "case")
+    assert none.count() == 3
+
+
+def test_driver_runs_days_alone_only_after_a_failure(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 0), ("c", 2)], "day string, v int")
+    whole, failed = driver.by_day(rows, "day", lambda d: d.select("day", (F.col("v") + 1).alias("v")), "t")
+    assert failed == [] and whole.count() == 3
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    done, failed = driver.by_day(rows, "day", lambda d: d.select("day", F.expr("10 div v").alias("v")), "t")
+    assert {r.day for r in done.collect()} == {"a", "c"} and [f[:2] for f in failed] == [("b", "error")]
+
+
 def test_asof_takes_the_latest_before(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9)], "k string, t int")
     right = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), ("a", 6, 60)], "k string, u int, v int")
