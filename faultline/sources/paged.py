@@ -34,24 +34,28 @@ def logs_of(fetch: LogPage, start: int, end: int, page: int = PAGE) -> Iterator[
     a doubled limit until all its rows are there.
     """
     at, seen = start, set()
-    while at <= end:
-        rows = fetch(at, end, page)
+
+    def new(rows: list[tuple[int, dict[str, str], str]]) -> Iterator[tuple[int, dict[str, str], str]]:
         for row in rows:
             key = (row[0], tuple(sorted(row[1].items())), row[2])
             if key not in seen:
                 seen.add(key)
                 yield row
+
+    while at <= end:
+        rows = fetch(at, end, page)
+        yield from new(rows)
         if len(rows) < page:
             return
         last = max(r[0] for r in rows)
-        seen = {k for k in seen if k[0] >= last}
         if last == at:  # the page holds one time only
             limit = page
             while len(rows) >= limit:
                 limit *= 2
                 rows = fetch(at, at, limit)
-            yield from (r for r in rows if (r[0], tuple(sorted(r[1].items())), r[2]) not in seen)
+            yield from new(rows)
             last += 1
+        seen = {k for k in seen if k[0] >= last}
         at = last
 
 
