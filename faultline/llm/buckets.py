@@ -28,7 +28,7 @@ PARTS_EACH, PART_BYTES = 4, 32 << 20
 #: Rows of a bucket in a block, pairs of one id in a verification cell, pairs of a part of the cells.
 BLOCK, CELL, PART_PAIRS = 4096, 64, 4096
 #: Bits of the table that keeps most texts without a pair from being sent: so many for each pair, between these bounds.
-BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 28
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 27
 
 Columns = dict[str, np.ndarray]
 #: (left, right), each a function of a column's name -> whether a pair can be a link
@@ -188,18 +188,30 @@ class Buckets:
 
 
 def bit_table(ids: DataFrame, bits: int) -> DataFrame:
-    """Bits of ids (column id, long) as words: a table of a size that the caller sets, which is broadcast."""
-    bit, one = F.pmod(F.xxhash64("id"), F.lit(bits)), F.lit(1).cast("long")
+    """Bits of ids (column id: hashes, of which the low bits are taken) as words: a table of a size that the caller sets, which is broadcast."""
+    bit, one = F.col("id").bitwiseAND(bits - 1), F.lit(1).cast("long")
     return ids.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", one, (F.col("_bit") % 64).cast("int"))).alias("_bits"))
 
 
 def marked(rows: DataFrame, key: Column, table: DataFrame, bits: int) -> tuple[DataFrame, Column]:
     """rows with the bit table's words, and whether a row's bit is set."""
-    bit, one = F.pmod(F.xxhash64(key), F.lit(bits)), F.lit(1).cast("long")
+    bit, one = key.bitwiseAND(bits - 1), F.lit(1).cast("long")
     seen = rows.withColumn("_word", F.shiftright(bit, 6)).join(F.broadcast(table), "_word", "left")
     return seen, F.coalesce(F.call_function("shiftright", F.col("_bits"), (bit % 64).cast("int")).bitwiseAND(one) == 1, F.lit(False))
 
 
+def bit_words(table: DataFrame, bits: int) -> np.ndarray:
+    """A bit table as an array, for Python workers."""
+    rows, words = table.toArrow(), np.zeros(bits // 64, np.uint64)
+    words[rows.column("_word").to_numpy()] = rows.column("_bits").to_numpy().view(np.uint64)
+    return words
+
+
+def has_bit(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    bit = ids.view(np.uint64) & np.uint64(64 * len(words) - 1)
+    return (words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def bits_for(n: int) -> int:
     """Size of a bit table for n ids; beyond MOST_BITS full tables only let more rows pass."""
     bits = LEAST_BITS
@@ -208,8 +220,12 @@ def bits_for(n: int) -> int:
     return bits
 
 
-def verify(pairs: DataFrame, texts: DataFrame, test: Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray], place: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) that pass the test on their texts; texts: (id, text).
+#: Texts (id, text), or a function that makes those whose bit is set in an array.
+Texts = DataFrame | Callable[[np.ndarray], DataFrame]
+
+
+def verify(pairs: DataFrame, texts: Texts, test: Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray], place: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) that pass the test on their texts.
 
     Pairs meet their texts in cells, by their lesser id; an id of many pairs has several
     cells.  A text is sent once to each part of the cells that needs it, and the number of
@@ -225,8 +241,13 @@ def verify(pairs: DataFrame, texts: DataFrame, test: Callable[[pa.Array, np.ndar
     cells = place.table(f"{name}-cells", salted.select("a", "b", F.pmod(cell, F.lit(parts)).cast("int").alias("part")))
     wanted = cells.select(F.col("a").alias("id"), "part").unionByName(cells.select(F.col("b").alias("id"), "part")).distinct()
     bits = bits_for(2 * n)
-    seen, may = marked(texts, F.col("id"), place.table(f"{name}-bits", bit_table(wanted, bits)), bits)
-    sent = wanted.join(seen.where(may).select("id", "text"), "id").select("part", "id", "text")
+    table = place.table(f"{name}-bits", bit_table(wanted, bits))
+    if callable(texts):
+        few = texts(bit_words(table, bits))
+    else:
+        seen, may = marked(texts, F.col("id"), table, bits)
+        few = seen.where(may).select("id", "text")
+    sent = wanted.join(few, "id").select("part", "id", "text")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = right.column("id").to_numpy()
@@ -245,7 +266,7 @@ def verify(pairs: DataFrame, texts: DataFrame, test: Callable[[pa.Array, np.ndar
     return found
 
 
-def linked(buckets: Buckets, texts: DataFrame, test: Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray], place: Workspace, given: DataFrame | None = None) -> DataFrame:
+def linked(buckets: Buckets, texts: Texts, test: Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray], place: Workspace, given: DataFrame | None = None) -> DataFrame:
     """(node, component) over all links of the buckets' members; given: links (a, b) that need no test."""
     links = verify(buckets.star(), texts, test, place, "star")
     early = components(links if given is None else links.unionByName(given), place, "early")

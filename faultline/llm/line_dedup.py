@@ -23,7 +23,7 @@ rows that share an id but not the text are documents of their own, in order of t
 and rows equal in both are one document and lose the same lines; a document may lose all
 lines and is then empty; an empty table gives an empty result; other columns pass
 unchanged, n_lines and n_removed are replaced.
-A line is named by a 64-bit hash of its code points and length.
+A line is named by a 64-bit hash of its bytes.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ KEY_BYTES = 1.5
 _CODES = ts.mix(np.arange(1 << 16, dtype=np.uint64)) | np.uint64(1)
 _CLASSES = (_CODES >> np.uint64(61)).astype(np.int64)
 _BLANK = np.array([chr(c).isspace() for c in range(1 << 16)])
+#: True for ASCII bytes that are no white space.
+_FILLED = np.concatenate([~_BLANK[:128], np.zeros(128, bool)])
 
 KINDS = (("key", np.uint64), ("id", np.int64), ("size", np.int32), ("look", np.uint8), ("mark", np.uint32))
 
@@ -112,16 +114,25 @@ def line_keys(prefix: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids:
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-def long_lines(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(code points, hash prefix, start, length, id, text, line number) of the lines that take part."""
-    codes, first = code_points(data, offsets)
-    starts, ends, line_first = ts.lines(codes, first)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(line_first))
-    number = np.arange(len(starts)) - line_first[text]
-    keep = ends - starts >= least
-    starts, ends, text, number = starts[keep], ends[keep], text[keep], number[keep]
-    prefix = ts.prefix_hashes(code_values(codes))
-    return codes, prefix, starts, ends - starts, ts.range_hashes(prefix, starts, ends).view(np.int64), text, number
+def line_spans(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(start, end, code points, id, text, line number) of the lines of at least so many code points, in bytes; and the code points before each byte."""
+    starts, ends, first = ts.lines(data, offsets)
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=before[1:])
+    length = before[ends] - before[starts]
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    number = np.arange(len(starts)) - first[text]
+    keep = length >= least
+    starts, ends, length, text, number = starts[keep], ends[keep], length[keep], text[keep], number[keep]
+    ids = ts.range_hashes(ts.prefix_hashes(ts.BYTE_VALUES[data]), starts, ends).view(np.int64)
+    return starts, ends, length, ids, text, number, before
+
+
+def new_lines(ids: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each id that is not seen yet, and all seen ids."""
+    ids, at = np.unique(ids, return_index=True)
+    new = ~np.isin(ids, seen, assume_unique=True)
+    return at[new], np.concatenate([seen, ids[new]])
 
 
 def keys_of(docs: DataFrame, edits: int, least: int, parts: int) -> DataFrame:
@@ -132,12 +143,11 @@ def keys_of(docs: DataFrame, edits: int, least: int, parts: int) -> DataFrame:
             seen = np.zeros(0, np.int64)
             got: dict[str, list[np.ndarray]] = {k: [] for k, _ in KINDS}
             for _, data, offsets in ts.blocks(batch.column(0)):
-                codes, prefix, starts, lengths, ids, _, _ = long_lines(data, offsets, least)
-                ids, at = np.unique(ids, return_index=True)
-                new = ~np.isin(ids, seen, assume_unique=True)
-                ids, at = ids[new], at[new]
-                seen = np.concatenate([seen, ids])
-                for k, v in line_keys(prefix, starts[at], lengths[at], ids, edits, least, marks(codes, starts[at], lengths[at])).items():
+                starts, _, lengths, ids, _, _, before = line_spans(data, offsets, least)
+                at, seen = new_lines(ids, seen)
+                codes, _ = code_points(data, offsets)
+                prefix, first, lengths = ts.prefix_hashes(code_values(codes)), before[starts[at]], lengths[at]
+                for k, v in line_keys(prefix, first, lengths, ids[at], edits, least, marks(codes, first, lengths)).items():
                     got[k].append(v)
             if got["key"]:
                 yield bk.packed_batch({k: np.concatenate(v) for k, v in got.items()}, parts)
@@ -145,33 +155,38 @@ def keys_of(docs: DataFrame, edits: int, least: int, parts: int) -> DataFrame:
     return docs.mapInArrow(spread, "part int, rows binary")
 
 
-def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """(id, text) of all lines that take part; a line that repeats inside a batch comes once."""
+def lines_of(docs: DataFrame, least: int, words: np.ndarray | None = None) -> DataFrame:
+    """(id, text) of the lines that take part, or of those whose bit is set; a line that repeats inside a batch comes once."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for batch in batches:
             seen = np.zeros(0, np.int64)
             for _, data, offsets in ts.blocks(batch.column(0)):
-                codes, _, starts, lengths, ids, _, _ = long_lines(data, offsets, least)
-                ids, at = np.unique(ids, return_index=True)
-                new = ~np.isin(ids, seen, assume_unique=True)
-                ids, at = ids[new], at[new]
-                seen = np.concatenate([seen, ids])
-                byte = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])
-                a, b = byte[starts[at]], byte[starts[at] + lengths[at]]
+                starts, ends, _, ids, _, _, _ = line_spans(data, offsets, least)
+                if words is not None:
+                    use = bk.has_bit(words, ids)
+                    starts, ends, ids = starts[use], ends[use], ids[use]
+                at, seen = new_lines(ids, seen)
+                a, b = starts[at], ends[at]
                 body = data[ts.ragged(a, b - a)].tobytes()
-                ends = np.concatenate([[0], np.cumsum(b - a)])
-                column = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(body)).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), column], names=["id", "text"])
+                bounds = np.concatenate([[0], np.cumsum(b - a)])
+                column = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(body)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), column], names=["id", "text"])
 
     return docs.mapInArrow(texts, "id long, text string")
 
 
 def all_lines(data: np.ndarray, offsets: np.ndarray, least: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, text, line number) of the lines that take part, short ones with them."""
-    codes, prefix, starts, lengths, ids, text, number = long_lines(data, offsets, short)
-    filled = np.concatenate([[0], np.cumsum((codes > 0xFFFF) | ~_BLANK[codes & 0xFFFF])])
-    keep = (lengths >= least) | (filled[starts + lengths] > filled[starts])
+    """(id, text, line number) of the lines that take part, short ones with them unless they are blank."""
+    starts, ends, lengths, ids, text, number, before = line_spans(data, offsets, short)
+    filled = np.concatenate([[0], np.cumsum(_FILLED[data])])
+    keep = (lengths >= least) | (filled[ends] > filled[starts])
+    if not keep.all():  # lines of other than ASCII characters
+        codes, _ = code_points(data, offsets)
+        wide = np.concatenate([[0], np.cumsum((codes > 0xFFFF) | ~_BLANK[codes & 0xFFFF])])
+        keep |= wide[before[ends]] > wide[before[starts]]
     return ids[keep], text[keep], number[keep]
 
 
@@ -265,7 +280,7 @@ def repeated(docs: DataFrame, place: Workspace, edits: int = EDITS, least: int =
     total = bodies.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = bk.parts_of(spark, KEY_BYTES * total)
     index = bk.Buckets(place, "index", keys_of(bodies.select("t"), edits, least, parts), KINDS, ["look"], near_size(edits), parts, sided=True)
-    linked = bk.linked(index, lines_of(bodies.select("t"), least), alike(edits), place)
+    linked = bk.linked(index, lambda words: lines_of(bodies.select("t"), least, words), alike(edits), place)
     for name in ("index", "index-hubs", "index-mixed", "index-live"):
         place.drop(name)
     place.release()

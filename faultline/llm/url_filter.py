@@ -38,10 +38,16 @@ EXAMPLES = {
     "block": (
         "casino-win.example", "cheap-pills.example", "spam-farm.example", "free-casino-bonus.example", "online-casino-poker.example", "win-money-fast.example", "buy-cheap-pills-online.example",
         "adult-porn-videos.example", "hot-sex-cams.example", "pharmacy-discount-pills.example", "viagra-cialis-cheap.example", "lottery-prize-winner.example", "payday-loans-fast-cash.example", "ads-track.example", "ad-tracker-banner-ads.example", "free-bets-odds.example", "sports-bets-win.example", "adult-x.example", "cheap-meds-online.example", "free-prizes-win.example",
+        "free-casino.example", "online-poker-bonus.example", "casino-slots-jackpot.example", "bet-online-casino.example", "poker-slots-free-bets.example", "sports-betting-odds.example", "bet-win-odds.example", "jackpot-lottery-win.example", "lottery-cash-prize.example",
+        "win-cash-prizes.example", "fast-cash-payday-loans.example", "instant-payday-cash.example", "easy-money-fast-win.example", "cheap-viagra-pharmacy.example", "discount-cialis-pills.example", "pharmacy-meds-discount.example", "buy-viagra-pills.example", "miracle-diet-pills.example",
+        "weight-loss-diet-pills.example", "adult-sex-videos.example", "hot-adult-cams.example", "xxx-porn-videos.example", "sex-cams-xxx.example", "porn-cams-free.example", "fake-watches-cheap.example", "replica-watches-discount.example", "replica-fake-bags-cheap.example",
+        "crack-warez-download.example", "keygen-crack-warez.example", "warez-keygen-free-download.example", "seo-link-spam.example", "spam-seo-link-farm.example", "click-bait-ads.example", "banner-ads-click.example", "popup-ads-banner-tracker.example", "ad-click-tracker.example",
         "link-farm-seo-spam.example", "click-bait-farm.example", "free-download-crack-warez.example", "fake-replica-watches.example", "bet-slots-jackpot.example", "miracle-weight-loss-pills.example", "xxx-adult-chat.example",
     ),
     "allow": (
         "news.example", "docs.example", "free-library-books.example", "cycle-track-club.example", "wiki.example", "library.example", "university-press.example", "school.example", "science-journal.example",
+        "library-books-archive.example", "history-books-review.example", "science-news-review.example", "university-science-library.example", "school-history-project.example", "open-science-journal.example", "city-library-news.example", "travel-weather-guide.example", "city-travel-guide.example",
+        "food-health-guide.example", "health-news-report.example", "music-school-course.example", "online-school-course.example", "museum-archive-guide.example", "bank-service-help.example", "farm-food-market.example", "world-history-museum.example", "software-project-docs.example", "free-online-course.example", "sports-club-news.example",
         "city-council.example", "open-source-project.example", "museum-history.example", "weather-report.example", "travel-guide.example", "food-recipes.example", "health-service.example", "bank-account-help.example",
         "farm-equipment-supply.example", "free-software-foundation.example", "world-cup-winner-report.example", "online-course.example", "book-review.example", "music-archive.example", "index.html", "page/article", "about/contact",
     ),
