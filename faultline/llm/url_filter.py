@@ -8,9 +8,10 @@ up the words' log odds.
 Word frequencies come half from the labelled examples and half from delimited words of
 the whole table: words of the pages' text, where there is one, segments of paths, and
 parts of names with a hyphen.  A name in one run is never a word because it is a name,
-so it is split unless its whole is used as a word elsewhere.  A word counts from
-``LEAST_HOSTS`` hosts and a share of ``LEAST_SHARE`` of all words on, which bounds the
-table by 1 / LEAST_SHARE words at any size.  A word that reads as labelled words, and
+and its own entry does not count where words of ``LEAST_PART`` letters or more, each at
+least as frequent, make it up.  A word counts from
+two hosts and a share of ``LEAST_SHARE`` of all words on, which bounds the table by
+1 / LEAST_SHARE words at any size.  A word that reads as labelled words, and
 others at least as frequent as itself, is split however often it is used.  The classes
 come from the labelled examples, a bounded parameter.
 
@@ -25,12 +26,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import textscan as ts
 from .workspace import Workspace
 
 #: Labelled examples (fixed values): hosts and paths of each class.
@@ -52,8 +55,17 @@ EXAMPLES = {
         "farm-equipment-supply.example", "free-software-foundation.example", "world-cup-winner-report.example", "online-course.example", "book-review.example", "music-archive.example", "index.html", "page/article", "about/contact",
     ),
 }
-#: Hosts that use a word of the frequency table, a word's least share of all words, the examples' share of the table, smoothing of the model, prior of blocking, shortest part of a compound.
-LEAST_HOSTS, LEAST_SHARE, EXAMPLE_SHARE, SMOOTHING, PRIOR_BLOCK, LEAST_PART = 3, 1e-6, 0.5, 1.0, 0.2, 3
+#: A word's least share of all words, the examples' share of the table, smoothing of the model, prior of blocking, shortest part of a compound.
+LEAST_SHARE, EXAMPLE_SHARE, SMOOTHING, PRIOR_BLOCK, LEAST_PART = 1e-6, 0.5, 1.0, 0.2, 3
+#: Pages whose text is cleaned at once.
+PAGES = 256
+#: Markup and urls of a page; every alternative ends at the next opening bracket or at the text's end, so no text is read twice.
+MARKUP = re.compile(rb"(?is)<(script|style)\b[^<>]*>.*?(?:</\1>|\Z)|<[^<>]*>|https?://\S*")
+NO_LETTER = re.compile(rb"[^a-z]+")
+#: True for bytes that words of letters must not touch, and for those of the words.
+_JOINED, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[0x61:0x7B] = True
+_JOINED[[0x2D, 0x5F, *range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Words that say nothing about the class (fixed values).
 NEUTRAL = frozenset(("www", "m", "blog", "x", "example", "com", "net", "org", "html", "htm", "php", "index", "http", "https"))
 
@@ -109,21 +121,33 @@ class Model:
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.costs), default=0)
 
-    def segment(self, run: str) -> list[str]:
-        """Cheapest split of a run of letters; an unknown sequence of n letters costs unknown * (1 + n)."""
+    def segment(self, run: str, name: bool = False) -> list[str]:
+        """Cheapest split of a run of letters; an unknown sequence of n letters costs unknown * (1 + n).  name: the run is part of a host, and more frequent words that make it up go before its own entry."""
+        own = self.costs.get(run)
+        if name and own is not None:
+            parts = self._cheapest(run, lambda w: self.costs.get(w, math.inf) if LEAST_PART <= len(w) < len(run) and self.costs.get(w, math.inf) <= own else None, math.inf)
+            if parts:
+                return parts
+        return self._cheapest(run, self.costs.get, self.unknown)
+
+    def _cheapest(self, run: str, cost_of: Callable[[str], float | None], unknown: float) -> list[str]:
+        """Viterbi search; no split where known words don't cover the run and unknown ones cost without end."""
         best, back = [0.0], [0]
         start = 0  # of the best unknown sequence that ends here
+        free = math.isfinite(unknown)
         for i in range(1, len(run) + 1):
-            if best[i - 1] - self.unknown * (i - 1) < best[start] - self.unknown * start:
-                start = i - 1
-            cost, at = best[start] + self.unknown * (1 + i - start), start
+            cost, at = math.inf, 0
+            if free:
+                if best[i - 1] - unknown * (i - 1) < best[start] - unknown * start:
+                    start = i - 1
+                cost, at = best[start] + unknown * (1 + i - start), start
             for j in range(max(0, i - self.longest), i):
-                known = self.costs.get(run[j:i])
+                known = cost_of(run[j:i])
                 if known is not None and best[j] + known < cost:
                     cost, at = best[j] + known, j
             best.append(cost)
             back.append(at)
-        words, i = [], len(run)
+        words, i = [], len(run) if math.isfinite(best[-1]) else 0
         while i:
             words.append(run[back[i] : i])
             i = back[i]
@@ -174,19 +198,45 @@ def fit(counts: dict[str, int], examples: dict[str, Sequence[str]] = EXAMPLES, p
     return Model(costs, math.log(total + size + 1) / 2 + 1, odds, math.log(prior_block / (1 - prior_block)))
 
 
-def word_counts(pages: DataFrame, url: str = "url", text: str = "html", least_hosts: int = LEAST_HOSTS, least_share: float = LEAST_SHARE) -> dict[str, int]:
-    """Occurrences of delimited words that several hosts use, over the whole table."""
-    host, path, apart = host_of(F.col(url)), F.lower(path_of(F.col(url))), "(?<![\\p{L}\\p{N}_-])[a-z]+(?![\\p{L}\\p{N}_-])"
-    of_names = F.flatten(F.transform(F.filter(F.split(host, "[.]"), lambda x: F.contains(x, F.lit("-"))), lambda x: F.regexp_extract_all(x, F.lit("[a-z]+"), F.lit(0))))
-    sources = [of_names, F.regexp_extract_all(path, F.lit("[a-z]+"), F.lit(0))]
-    if text in pages.columns:
-        bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "(?is)<(script|style)[^>]*>.*?</\\1>|<[^>]*>|https?://\\S*", " ")
-        sources.append(F.regexp_extract_all(F.lower(bare), F.lit(apart), F.lit(0)))
-    words = pages.select(host.alias("h"), F.explode(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in sources))).alias("w"))
-    used = words.groupBy("w", "h").agg(F.count("*").alias("n")).groupBy("w").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"))
+def page_words(host: str | None, path: str | None, text: str | None) -> bytes:
+    """Delimited words of a page: of its text without markup and urls, of its path, and of names with a hyphen."""
+    names = " ".join(x for x in (host or "").split(".") if "-" in x)
+    return b" ".join((NO_LETTER.sub(b" ", f"{names} {path or ''}".lower().encode()), MARKUP.sub(b" ", (text or "").encode()).lower()))
+
+
+def word_counts(pages: DataFrame, url: str = "url", text: str = "html", least_share: float = LEAST_SHARE) -> dict[str, int]:
+    """Occurrences of delimited words that two hosts or more use, over the whole table.
+
+    Words are counted in each block before the shuffle, with the least and the greatest
+    hash of a host, which differ where a word has several hosts.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, PAGES) for b in batches for k in range(0, b.num_rows, PAGES)):
+            hosts = batch.column(3).to_numpy()
+            bodies = pa.array([page_words(*row) for row in zip(*(batch.column(k).to_pylist() for k in range(3)))], pa.large_binary()).view(pa.large_string())
+            for row, data, offsets in ts.blocks(bodies):
+                starts, ends, first = ts.words(data, offsets, _JOINED)
+                other = np.concatenate([[0], np.cumsum(~_LETTER[data])])
+                plain = other[starts] == other[ends]
+                owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))[plain] + row
+                starts, ends = starts[plain], ends[plain]
+                key, at, place, n = np.unique(ts.range_hashes(ts.prefix_hashes(ts.BYTE_VALUES[data]), starts, ends), return_index=True, return_inverse=True, return_counts=True)
+                order = np.argsort(place, kind="stable")
+                edges = np.searchsorted(place[order], np.arange(len(key)))
+                mine = hosts[owner[order]]
+                low, high = (f.reduceat(mine, edges) if len(key) else mine for f in (np.minimum, np.maximum))
+                a, b = starts[at], ends[at]
+                bounds = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int64)
+                words = pa.LargeStringArray.from_buffers(len(key), pa.py_buffer(bounds.tobytes()), pa.py_buffer(data[ts.ragged(a, b - a)].tobytes())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64)), pa.array(low), pa.array(high)], names=["w", "n", "low", "high"])
+
+    body = F.col(text) if text in pages.columns else F.lit(None).cast("string")
+    rows = pages.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)), body).select("*", F.xxhash64("host"))
+    used = rows.mapInArrow(tally, "w string, n long, low long, high long").groupBy("w").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     used = Workspace(pages.sparkSession, "url-filter").table("words", used)
     total = used.agg(F.sum("n")).first()[0] or 0
-    got = used.where((F.col("hosts") >= least_hosts) & (F.col("n") >= least_share * total)).select("w", "n").toArrow()
+    got = used.where((F.col("low") != F.col("high")) & (F.col("n") >= least_share * total)).select("w", "n").toArrow()
     return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
 
 
@@ -200,17 +250,17 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "page_i
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rules = shared.value
         for batch in batches:
-            known: dict[str, list[str]] = {}
+            known: dict[tuple[str, bool], list[str]] = {}
             fitting: dict[str, list[tuple[str, str, str]]] = {}
             out: list[tuple] = []
             for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if host not in fitting:
                     fitting[host] = rules.candidates(host)
                 words: list[str] = []
-                for run in runs(host) + runs(path):
-                    if run not in known:
-                        known[run] = model.segment(run)
-                    words += known[run]
+                for run, name in [(r, True) for r in runs(host)] + [(r, False) for r in runs(path)]:
+                    if (run, name) not in known:
+                        known[run, name] = model.segment(run, name)
+                    words += known[run, name]
                 score = model.score(words)
                 _, rule, verdict = next((r for r in fitting[host] if path.startswith(r[0])), (None, None, "block" if score > 0.5 else "allow"))
                 out.append((rule, verdict, score, words))
