@@ -33,7 +33,7 @@ from .workspace import Workspace
 #: Permitted sequence lengths, and the cost of a sequence of each besides its tokens.
 SIZES, OVERHEAD = (2048, 4096, 8192, 16384), 64
 #: Items of a length that are ranked together, about; items looked at to price a new bin.
-RANKED, LOOK_AHEAD = 1 << 14, 12
+RANKED, LOOK_AHEAD = 512, 12
 
 PACKED = "doc_id long, piece long, start long, n_tokens long, bin_id long, bin_size long, bin_offset long"
 
