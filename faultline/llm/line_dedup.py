@@ -280,8 +280,12 @@ def repeated(docs: DataFrame, place: Workspace, edits: int = EDITS, least: int =
     total = bodies.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = bk.parts_of(spark, KEY_BYTES * total)
     index = bk.Buckets(place, "index", keys_of(bodies.select("t"), edits, least, parts), KINDS, ["look"], near_size(edits), parts, sided=True)
-    linked = bk.linked(index, lambda words: lines_of(bodies.select("t"), least, words), alike(edits), place)
-    for name in ("index", "index-hubs", "index-mixed", "index-live"):
+    # only lines of the index can be in a pair: one pass over the texts fetches them
+    bits = bk.bits_for(index.rows.count())
+    words = bk.bit_words(place.table("bits", bk.bit_table(index.rows.select("id"), bits)), bits)
+    texts = place.table("texts", lines_of(bodies.select("t"), least, words).dropDuplicates(["id"]))
+    linked = bk.linked(index, texts, alike(edits), place)
+    for name in ("bits", "texts", "index", "index-hubs", "index-mixed", "index-live"):
         place.drop(name)
     place.release()
     found = places_of(bodies, least, least if short is None else min(short, least)).join(linked.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
