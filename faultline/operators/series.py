@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .joins import small
+
 
 def bucket(ts: str | Column, seconds: int) -> Column:
     """Start of the bucket, in seconds since 1970."""
@@ -15,7 +17,7 @@ def bucket(ts: str | Column, seconds: int) -> Column:
 def grid(bounds: DataFrame, keys: DataFrame, seconds: int, first: str = "first", last: str = "last") -> DataFrame:
     """Every bucket of every key; bounds: (on columns, first, last) in seconds, joined to keys on their shared columns."""
     shared = [c for c in bounds.columns if c in keys.columns]
-    return keys.join(F.broadcast(bounds), shared).withColumn("bucket", F.explode(F.sequence(F.col(first), F.col(last), F.lit(seconds).cast("long")))).drop(first, last)
+    return keys.join(small(bounds), shared).withColumn("bucket", F.explode(F.sequence(F.col(first), F.col(last), F.lit(seconds).cast("long")))).drop(first, last)
 
 
 def bucketed(rows: DataFrame, keys: Sequence[str], ts: str, value: str, seconds: int, how: str = "median") -> DataFrame:

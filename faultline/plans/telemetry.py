@@ -232,7 +232,7 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
     values = series.bucketed(views.metrics(spark, sf).where("metric = 'click'"), ["service"], "ts", "value", HOUR)
     bounds = values.agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
     keys = values.select("service").distinct()
-    full = keys.join(F.broadcast(bounds)).withColumn("bucket", F.explode(F.sequence("first", "last", F.lit(HOUR).cast("long")))).drop("first", "last")
+    full = keys.join(joins.small(bounds)).withColumn("bucket", F.explode(F.sequence("first", "last", F.lit(HOUR).cast("long")))).drop("first", "last")
     return series.on_grid(values, full, ["service"])
 
 
