@@ -89,6 +89,77 @@ def test_birch_counts_levels():
     assert graph.birch_count(np.array([0.1] * 20 + [0.5] * 5), 0.045) == 2
 
 
+def test_birch_by_hand():
+    """Radii after each point: .02 (joins), .0411 (joins), far (new), .01 (joins), .0357 (joins), .0697 with the first cluster (new)."""
+    values = [0.0, 0.04, 0.1, 0.5, 0.52, 0.04, 0.2]
+    assert [graph.birch_count(np.array(values[:k]), 0.045) for k in range(1, 8)] == [1, 1, 1, 2, 2, 2, 3]
+
+
+def test_pc_of_chains_forks_and_colliders():
+    """Chains and forks share a skeleton without direction; a collider is directed, and so is what follows from it."""
+    rng = np.random.default_rng(11)
+    noise = lambda: rng.normal(size=4000)
+    a = noise()
+    b = a + noise()
+    c = b + noise()
+    arrow, open_ = graph.pc_graph(np.stack([a, b, c], 1), 0.001)
+    assert not arrow.any() and sorted(zip(*np.nonzero(open_))) == [(0, 1), (1, 0), (1, 2), (2, 1)]
+    b = noise()
+    a, c = b + noise(), b + noise()
+    arrow, open_ = graph.pc_graph(np.stack([a, b, c], 1), 0.001)
+    assert not arrow.any() and sorted(zip(*np.nonzero(open_))) == [(0, 1), (1, 0), (1, 2), (2, 1)]
+    a, c = noise(), noise()
+    b = a + c + noise()
+    d = b + noise()
+    arrow, open_ = graph.pc_graph(np.stack([a, b, c, d], 1), 0.001)
+    assert sorted(zip(*np.nonzero(arrow))) == [(0, 1), (1, 3), (2, 1)] and not open_.any()
+
+
+def test_permutation_test_against_all_permutations(spark):
+    rng = np.random.default_rng(12)
+    for shift in (0.0, 1.0, 3.0):
+        values = np.concatenate([rng.normal(shift, 1, 5), rng.normal(0, 1, 6)])
+        own = stats._energy(values[:5], values[5:])
+        every = [stats._energy(values[list(x)], np.delete(values, list(x))) for x in combinations(range(11), 5)]
+        exact = np.mean([e >= own - 1e-12 for e in every])
+        rows = spark.createDataFrame([("k", float(v), int(i < 5)) for i, v in enumerate(values)], "k string, value double, fail int")
+        got = stats.permutation_test(rows, ["k"], "value", "fail", permutations=3000).first()
+        assert got.epsilon == pytest.approx(own) and got.p_value == pytest.approx(exact, abs=0.04)
+
+
+def test_walk_shares_match_the_stationary_chain():
+    """Two services that blame each other: the chain over (before, now) solved exactly."""
+    adjacency, corr = np.array([[0, 1, 1], [0, 0, 1], [1, 0, 0]], float), np.array([0.2, 0.5, 0.9])
+    shares = graph.walk_shares(adjacency, corr, 0, steps=60_000)
+    pull = adjacency * corr
+    first = pull / pull.sum(1, keepdims=True)
+
+    def step(before, now):
+        q = first[before, now] if before != now and first[before, now] > 0 else corr[now]
+        w = np.where(adjacency[now] > 0, 0.5 * q + 0.5 * first[now], 0) + np.where((adjacency[:, now] > 0) & (adjacency[now] == 0), 0.5 * (0.5 * q + 0.5 * corr), 0)
+        w[now] = max(0.0, 0.5 * q + 0.5 * corr[now] - w.max())
+        return w / w.sum()
+
+    chain = np.zeros((9, 9))
+    for b in range(3):
+        for n in range(3):
+            for k, p in enumerate(step(b, n)):
+                chain[3 * b + n, 3 * n + k] += p
+    state = np.full(9, 1 / 9)
+    for _ in range(4000):
+        state = 0.5 * state + 0.5 * state @ chain
+    assert shares == pytest.approx([state[[k, 3 + k, 6 + k]].sum() for k in range(3)], abs=0.02)
+
+
+def test_drain_by_hand(spark):
+    """Leaves by length and first two tokens (tokens with a digit are one kind); half of the tokens must agree; lines in order of text."""
+    lines = ["get user 1 ok", "get user 2 ok", "get user 2 ok", "get user x failed badly", "put user 1 ok", "get item a b", "get item c d", "get 7 a b", "get 8 a c", "  get user 3 ok ", None]
+    want = {("get user <*> ok", 4), ("get user x failed badly", 1), ("put user 1 ok", 1), ("get item <*> <*>", 2), ("get <*> a <*>", 2)}
+    for parts in (1, 7):
+        got = {(r.template, r.n) for r in drain.templates(spark.createDataFrame([(x,) for x in lines], "message string").repartition(parts)).collect()}
+        assert got == want
+
+
 def test_drain_templates(spark):
     lines = [f"user {n} logged in from host{n}" for n in range(6)] + ["disk full on sda", "disk full on sdb", None, "  "]
     got = {(r.template, r.n) for r in drain.templates(spark.createDataFrame([(x,) for x in lines], "message string")).collect()}
