@@ -307,12 +307,12 @@ def orc_01_days(spark: SparkSession, sf: str) -> DataFrame:
     return driver.hour_windows(views.table(spark, sf, "events").select(F.to_date("ts").alias("d")).distinct(), "d", (0, 5, 23))
 
 
-@query("orc_02_days", ", x as (select strftime(d,'%Y-%m-%d') as day, service, round(avg(value),4) score from m group by all) select day, service, score, cast(row_number() over (partition by day order by score desc, service) as bigint) as rank, 'ok' as status from x", "m")
+@query("orc_02_days", ", x as (select strftime(d,'%Y-%m-%d') as day, service, round(sum(value),4) score from m group by all) select day, service, score, cast(row_number() over (partition by day order by score desc, service) as bigint) as rank, 'ok' as status from x", "m")
 def orc_02(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.metrics(spark, sf).withColumn("day", F.date_format("d", "yyyy-MM-dd"))
 
     def method(part: DataFrame) -> DataFrame:
-        scored = part.groupBy("day", "service").agg(F.round(F.avg("value"), 4).alias("score"))
+        scored = part.groupBy("day", "service").agg(F.round(F.sum("value"), 4).alias("score"))
         return ranking.ranked(scored, ["day"], F.desc("score"), F.asc("service"))
 
     return driver.by_day(rows, "day", method, "orc-02")[0].withColumn("status", F.lit("ok"))
