@@ -43,15 +43,14 @@ EDITS, LEAST, SHORT = 2, 24, 1
 #: Columns that dedup() adds.
 ADDED = ("n_lines", "n_removed")
 #: Bytes of segment keys for each byte of text, about.
-KEY_BYTES = 1.5
+KEY_BYTES = 2
 
 _CODES = ts.mix(np.arange(1 << 16, dtype=np.uint64)) | np.uint64(1)
-_CLASSES = (_CODES >> np.uint64(61)).astype(np.int64)
 _BLANK = np.array([chr(c).isspace() for c in range(1 << 16)])
 #: True for ASCII bytes that are no white space.
 _FILLED = np.concatenate([~_BLANK[:128], np.zeros(128, bool)])
 
-KINDS = (("key", np.uint64), ("id", np.int64), ("size", np.int32), ("look", np.uint8), ("mark", np.uint32))
+KINDS = (("key", np.uint64), ("id", np.int64), ("size", np.int32), ("look", np.uint8), ("mark", np.uint64))
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,16 +76,23 @@ def segment(length: np.ndarray, number: int, count: int) -> tuple[np.ndarray, np
 
 
 def marks(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Eight counts of code points by class, each modulo 16, in 32 bits."""
-    line = np.repeat(np.arange(len(starts)), lengths)
-    kind = _CLASSES[codes[ts.ragged(starts, lengths)] & 0xFFFF]
-    counts = np.bincount(line * 8 + kind, minlength=8 * len(starts)).reshape(-1, 8) & 15
-    return (counts.astype(np.uint32) << np.arange(0, 32, 4, dtype=np.uint32)).sum(1, dtype=np.uint32)
+    """64 bits of each line: which of 64 classes hold an odd number of its pairs of neighbouring code points."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    pair = code_values(codes)
+    pair = ts.mix(pair[:-1] * np.uint64(3) + pair[1:]) >> np.uint64(58) if len(pair) > 1 else pair[:0]
+    several = lengths > 1
+    out = np.zeros(len(starts), np.uint64)
+    counts = lengths[several] - 1
+    if len(counts):
+        bits = np.uint64(1) << pair[ts.ragged(starts[several], counts)]
+        out[several] = np.bitwise_xor.reduceat(bits, np.cumsum(counts) - counts)
+    return out
 
 
 def line_keys(prefix: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, edits: int, least: int, mark: np.ndarray | None = None) -> bk.Columns:
     """Rows (key, id, size, look, mark) of the lines' own segments and of the substrings they look for."""
-    mark = np.zeros(len(ids), np.uint32) if mark is None else mark
+    mark = np.zeros(len(ids), np.uint64) if mark is None else mark
     count = edits + 1
     out: dict[str, list[np.ndarray]] = {k: [] for k, _ in KINDS}
 
@@ -257,14 +263,10 @@ def alike(edits: int):
 
 
 def near_size(edits: int) -> bk.Filter:
-    """Whether lengths and counts by class leave room: an edit changes the length by one at most and the counts by two."""
+    """Whether lengths and classes of neighbours leave room: an edit changes the length by one at most, and four pairs of neighbours: two go and two come."""
 
     def test(left, right) -> Column:
-        apart = F.lit(0)
-        for k in range(0, 32, 4):
-            x = F.pmod(F.shiftright(left("mark"), k) - F.shiftright(right("mark"), k), F.lit(16))
-            apart = apart + F.least(x, 16 - x)
-        return (F.abs(left("size") - right("size")) <= edits) & (apart <= 2 * edits)
+        return (F.abs(left("size") - right("size")) <= edits) & (F.bit_count(left("mark").bitwiseXOR(right("mark"))) <= 4 * edits)
 
     return test
 

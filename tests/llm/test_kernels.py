@@ -72,6 +72,9 @@ def test_banded_distance_and_segment_filter(limit):
     m, n = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
     got = line_dedup.within(codes, a, m, b, n, limit)
     assert got.tolist() == [edits(x, y) <= limit for x, y in pairs]
+    mark = line_dedup.marks(codes, at[:-1], np.diff(at))
+    for k, near in enumerate(got):
+        assert not near or int(mark[2 * k] ^ mark[2 * k + 1]).bit_count() <= 4 * limit
     for (x, y), near in zip(pairs, got):
         if near and x != y:
             both = np.frombuffer((x + y).encode("utf-32-le"), "<u4")
