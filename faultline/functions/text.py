@@ -10,6 +10,12 @@ from pyspark.sql import Column, functions as F
 LEVELS = {"T": "TRACE", "TRACE": "TRACE", "D": "DEBUG", "DEBUG": "DEBUG", "I": "INFO", "INFO": "INFO", "W": "WARN", "WARN": "WARN", "WARNING": "WARN", "E": "ERROR", "ERR": "ERROR", "ERROR": "ERROR", "F": "FATAL", "FATAL": "FATAL", "P": "PANIC", "PANIC": "PANIC"}
 #: Words that a level-less line is searched for, in this order.
 LEVEL_WORDS = (("ERROR", " ERROR "), ("WARN", " WARN "), ("WARN", " WARNING "), ("DEBUG", " DEBUG "), ("INFO", " INFO "), ("FATAL", " FATAL "), ("PANIC", " PANIC "))
+#: Patterns of a level's key and of an id's key (of a given name) in a line.
+LEVEL_KEY = r'(?i)(?:^|[\s,])(?:level|lvl|severity)[:=]"?(trace|debug|info|warn|warning|error|fatal|panic|[tdiwefp])"?'
+ID_KEY = r'(?i)\b{what}[_-]?id\b\s*[:=]\s*"?([a-f0-9]+)"?\b'
+#: Patterns of pod names: of a stateful set, of a deployment, and of a deployment in the digits-first variant; of a host with a cluster suffix; of a duration.
+STATEFUL_POD, DEPLOYED_POD, DEPLOYED_POD_DIGITS = r"^(.+)-[0-9]+$", r"^(.+)-[a-z0-9]{5,}-[a-z0-9]{5}$", r"^(.+)-[a-f0-9]{8,}-[a-z0-9]{4,6}$"
+CLUSTER_HOST, DURATION = r"^(.*?)(?:\.svc\..*)?$", r"^([0-9.]+)(ms|s|m|h)$"
 #: Kinds of container and of message, first match wins.
 SOURCES = (("database", ("mongo", "db", "session")), ("middleware", ("rabbit",)), ("infrastructure", ("istio", "envoy")))
 MESSAGE_KINDS = (
@@ -46,8 +52,8 @@ def none_if_empty(c: Column) -> Column:
 
 def service_of_pod(pod: Column, digits_first: bool = False) -> Column:
     """Service of a pod name.  Default: a deployment's name with two generated parts, else a set's number; digits_first asks in the other order, with a stricter form of the parts."""
-    numbered = F.regexp_extract(pod, r"^(.+)-[0-9]+$", 1)
-    deployed = F.regexp_extract(pod, r"^(.+)-[a-f0-9]{8,}-[a-z0-9]{4,6}$" if digits_first else r"^(.+)-[a-z0-9]{5,}-[a-z0-9]{5}$", 1)
+    numbered = F.regexp_extract(pod, STATEFUL_POD, 1)
+    deployed = F.regexp_extract(pod, DEPLOYED_POD_DIGITS if digits_first else DEPLOYED_POD, 1)
     order = (numbered, deployed) if digits_first else (deployed, numbered)
     return F.coalesce(*(none_if_empty(c) for c in order), pod)
 
@@ -55,7 +61,7 @@ def service_of_pod(pod: Column, digits_first: bool = False) -> Column:
 def service_name(raw: Column) -> Column:
     """Plain service of an address: no scheme, path, port or cluster suffix; null if empty."""
     after_scheme = F.regexp_replace(F.trim(raw), r"^.*?://", "")
-    return none_if_empty(F.regexp_extract(F.split_part(F.split_part(after_scheme, F.lit("/"), F.lit(1)), F.lit(":"), F.lit(1)), r"^(.*?)(?:\.svc\..*)?$", 1))
+    return none_if_empty(F.regexp_extract(F.split_part(F.split_part(after_scheme, F.lit("/"), F.lit(1)), F.lit(":"), F.lit(1)), CLUSTER_HOST, 1))
 
 
 def first_service(*candidates: Column) -> Column:
@@ -70,7 +76,7 @@ def log_level(level: Column) -> Column:
 
 def level_of_line(line: Column) -> Column:
     """Level named by a key, else by the first of the level words."""
-    named = none_if_empty(F.regexp_extract(line, r'(?i)(?:^|[\s,])(?:level|lvl|severity)[:=]"?(trace|debug|info|warn|warning|error|fatal|panic|[tdiwefp])"?', 1))
+    named = none_if_empty(F.regexp_extract(line, LEVEL_KEY, 1))
     upper, words = F.upper(line), F.lit(None).cast("string")
     for level, word in reversed(LEVEL_WORDS):
         words = F.when(F.contains(upper, F.lit(word)), level).otherwise(words)
@@ -101,7 +107,7 @@ def clean_message(line: Column) -> Column:
 def id_in_line(line: Column, what: str) -> Column:
     """Hexadecimal trace or span id: a JSON field in one of three spellings, else a key in the text."""
     fields = [F.get_json_object(line, f"$.{k}") for k in (f"{what}_id", f"{what}Id", f"{what}id")]
-    return F.coalesce(*(none_if_empty(f) for f in fields), none_if_empty(F.regexp_extract(line, rf'(?i)\b{what}[_-]?id\b\s*[:=]\s*"?([a-f0-9]+)"?\b', 1)))
+    return F.coalesce(*(none_if_empty(f) for f in fields), none_if_empty(F.regexp_extract(line, ID_KEY.replace("{what}", what), 1)))
 
 
 def masked(text: Column, masks: Sequence[tuple[str, str]]) -> Column:
@@ -187,8 +193,8 @@ def parent_span(references: Column) -> Column:
 
 def seconds(duration: Column) -> Column:
     """'250ms', '30s', '12m' or '2h' in whole seconds, one at least; null for other text."""
-    number = F.regexp_extract(F.lower(F.trim(duration)), r"^([0-9.]+)(ms|s|m|h)$", 1).try_cast("double")
-    unit = F.regexp_extract(F.lower(F.trim(duration)), r"^([0-9.]+)(ms|s|m|h)$", 2)
+    number = F.regexp_extract(F.lower(F.trim(duration)), DURATION, 1).try_cast("double")
+    unit = F.regexp_extract(F.lower(F.trim(duration)), DURATION, 2)
     factor = F.when(unit == "ms", 0.001).when(unit == "s", 1.0).when(unit == "m", 60.0).when(unit == "h", 3600.0)
     return F.greatest(F.lit(1).cast("long"), F.floor(number * factor)) + F.lit(0) * factor.cast("long")
 
