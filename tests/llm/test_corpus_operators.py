@@ -97,11 +97,11 @@ def test_language_on_held_out_documents(spark):
     rng = random.Random(5)
     alphabet = {"aa": "abcde ", "bb": "vwxyz ", "cc": "éàèùê "}
     texts = [(i, "".join(rng.choice(alphabet[l]) for _ in range(120)), l, "s", 0) for i, l in enumerate(["aa", "bb", "cc"] * 60)]
-    docs = spark.createDataFrame([*texts, (900, None, "aa", "", 0), (901, "12 !?", "bb", "", 0), (902, "vwxyz zyx", None, "", 0), (903, "", None, "", 0)], SCHEMA)
+    docs = spark.createDataFrame([*texts, (900, None, "aa", "", 0), (901, "12 !?", "bb", "", 0), (902, "vwxyz zyx", None, "", 0), (903, "", None, "", 0), (904, "vwxyz zyx " * 100_000, None, "", 0), (904, "vwxyz zyx " * 100_000, None, "", 0)], SCHEMA)
     net = langid.fit(docs, sample_docs=60)
     got = {r.doc_id: r for r in langid.predict(docs, net).collect()}
     assert sum(got[i].lang_pred == l for i, _, l, *_ in texts) >= 170
-    assert [got[i].lang_pred for i in (900, 901, 903)] == ["und"] * 3 and got[902].lang_pred == "bb"
+    assert [got[i].lang_pred for i in (900, 901, 903)] == ["und"] * 3 and got[902].lang_pred == got[904].lang_pred == "bb"
     assert all(0 <= r.score <= 1 for r in got.values())
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     assert langid.fit(bare) is None and {r.lang_pred for r in langid.predict(bare, None).collect()} == {"und"}
