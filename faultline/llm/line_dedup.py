@@ -40,6 +40,8 @@ from .workspace import Workspace
 
 #: Edits that separate linked lines, code points of the shortest line that edits may link, and of the shortest one whose exact copies the queries remove.
 EDITS, LEAST, SHORT = 2, 24, 1
+#: Code points of strings whose equal ends are cut off before they are compared, and columns between looks at pairs that can be dropped.
+LONG, CHECKED = 256, 16
 #: Columns that dedup() adds.
 ADDED = ("n_lines", "n_removed")
 #: Bytes of segment keys for each byte of text, about.
@@ -214,9 +216,14 @@ def within(codes: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np
 
     Bit-parallel dynamic programming on a band (after Hyyro, 2003): the top bit of a word
     is the row ``edits`` below the diagonal, and the band moves down one row a column.
+    Equal ends of long strings, which don't change the distance, are cut off first, and
+    pairs whose whole band is beyond the edits are dropped every ``CHECKED`` columns.
     All strings must be longer than ``edits``.
     """
+    a, m, b, n = (x.astype(np.int64) for x in (a, m, b, n))
     near = np.flatnonzero(np.abs(m - n) <= edits)
+    for i in near[np.minimum(m, n)[near] > LONG]:
+        a[i], m[i], b[i], n[i] = without_ends(codes, int(a[i]), int(m[i]), int(b[i]), int(n[i]), edits + 1)
     order = near[np.argsort(-n[near], kind="stable")]
     good = np.zeros(len(a), bool)
     a, m, b, n = a[order], m[order], b[order], n[order]
@@ -230,7 +237,21 @@ def within(codes: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np
     for j in range(int(n.max()) if live else 0):
         while live and n[live - 1] <= j:
             live -= 1
+        if not live:
+            break
         s = slice(0, live)
+        if j % CHECKED == CHECKED - 1:
+            least = value = distance[s]  # bottom of the band in the column before; its steps upwards begin at bit 62
+            for k in range(2 * edits):
+                value = value - (vp[s] >> np.uint64(62 - k) & one).astype(np.int64) + (vn[s] >> np.uint64(62 - k) & one).astype(np.int64)
+                least = np.minimum(least, value)
+            keep = (least <= edits) | (j >= m[s] - edits)
+            if not keep.all():
+                a, m, b, n, vp, vn, distance, row, order = (x[:live][keep] for x in (a, m, b, n, vp, vn, distance, row, order))
+                live = len(a)
+                if not live:
+                    break
+                s = slice(0, live)
         symbol = codes[b[s] + j]
         x = np.zeros(live, np.uint64)
         for k in range(-edits, edits + 1):
@@ -245,10 +266,25 @@ def within(codes: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np
         row[s] = np.where(slanted, row[s], row[s] >> one)
         d >>= one
         vp[s], vn[s] = hn | ~(d | hp), hp & d
-    good[order] = distance <= edits
+        done = n[s] == j + 1  # the last ones, since longer pairs stand first
+        if done.any():
+            good[order[s][done]] = distance[s][done] <= edits
     return good
 
 
+def without_ends(codes: np.ndarray, a: int, m: int, b: int, n: int, left: int) -> tuple[int, int, int, int]:
+    """Two strings without their common ends, but with so many equal code points on each side."""
+    size = min(m, n)
+    apart = codes[a : a + size] != codes[b : b + size]
+    head = int(apart.argmax()) if apart.any() else size
+    head = max(0, min(head, size - left) - left)
+    a, m, b, n, size = a + head, m - head, b + head, n - head, size - head
+    apart = codes[a + m - size : a + m][::-1] != codes[b + n - size : b + n][::-1]
+    tail = int(apart.argmax()) if apart.any() else size
+    tail = max(0, min(tail, size - 2 * left))
+    return a, m - tail, b, n - tail
+
+
 def alike(edits: int):
     """Exact test of pairs on the lines' texts."""
 

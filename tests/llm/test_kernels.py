@@ -59,13 +59,16 @@ def changed(rng: random.Random, s: str, k: int) -> str:
     return "".join(s)
 
 
+@pytest.mark.parametrize("long, checked", [(256, 16), (6, 1), (20, 3)])
 @pytest.mark.parametrize("limit", [1, 2, 3])
-def test_banded_distance_and_segment_filter(limit):
+def test_banded_distance_and_segment_filter(limit, long, checked, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LONG", long)
+    monkeypatch.setattr(line_dedup, "CHECKED", checked)
     rng = random.Random(limit)
     pairs = []
     for _ in range(400):
         a = "".join(rng.choice("abé") for _ in range(rng.randrange(6, 90)))
-        pairs.append((a, changed(rng, a, rng.randrange(0, 6))))
+        pairs.append((a, changed(rng, a, rng.randrange(0, 6)) if rng.random() < 0.9 else "".join(rng.choice("abé") for _ in range(rng.randrange(6, 90)))))
     codes = np.frombuffer("".join(a + b for a, b in pairs).encode("utf-32-le"), "<u4")
     at = np.cumsum([0] + [len(x) for p in pairs for x in p])
     a, b = at[0:-1:2], at[1::2]
