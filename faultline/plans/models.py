@@ -208,7 +208,7 @@ def mlg_05(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("mlg_06_pagerank")
 def mlg_06(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.pagerank(weighted_edges(spark, sf), personal(spark, sf), "day")
+    return graph.pagerank(weighted_edges(spark, sf), personal(spark, sf), "day").withColumn("score", F.round("score", 9))
 
 
 @query("mlg_07_threshold_edges", DAILY + ", b as (select source, destination, avg(w) filter (cast(right(day,2) as int)%2=0) n, avg(w) filter (cast(right(day,2) as int)%2=1) f from g group by all), r as (select *, case when n<>0 then f/n when f=0 then 1.0 else cast('inf' as double) end ratio from b where n is not null and f is not null), k as (select *, row_number() over (order by round(ratio,9) desc, source, destination) i, count(*) filter (ratio>1.05) over () c from r) select source as src, destination as dst, round(ratio,6) ratio from k where ratio>1.05 or (c=0 and i<=5)", "s")
