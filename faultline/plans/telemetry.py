@@ -182,11 +182,10 @@ def joi_10(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(joins.small(lookup), "metric", "left").groupBy("service").agg(F.round(F.sum(F.coalesce("a", F.lit(0.0))), 4).alias("total"))
 
 
-@query("joi_11_common_keys", "select service, metric from m where extract(day from d)%7=1 intersect select service, metric from m where extract(day from d)%7=2", "m")
+@query("joi_11_common_keys", "select user_id, metric from m where extract(day from d)%2=0 intersect select user_id, metric from m where extract(day from d)%2=1", "m")
 def joi_11(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.metrics(spark, sf)
-    on = lambda k: rows.where(F.dayofmonth("d") % 7 == k).select("service", "metric")
-    return on(1).intersect(on(2))
+    return rows.where(~fails()).select("user_id", "metric").intersect(rows.where(fails()).select("user_id", "metric"))
 
 
 @query("joi_12_bucket_correlation", ", h as (select service, metric, (epoch_us(ts)//1000000)//86400 b, avg(value) v from m group by all), x as (select a.service, a.v x, b.v y from h a join h b on a.service=b.service and a.b=b.b and a.metric='click' and b.metric='view') select service, round(coalesce(covar_pop(x,y)/nullif(stddev_pop(x)*stddev_pop(y),0),0),6) corr from x group by service", "m")
@@ -197,11 +196,12 @@ def joi_12(spark: SparkSession, sf: str) -> DataFrame:
     return joins.correlation(pairs, ["service"], "x", "y").select("service", r6("corr"))
 
 
-@query("joi_13_full_outer_scores", ", n as (select metric, service, sum(value) s from m where extract(day from d)%10=0 group by all), f as (select metric, service, sum(value) t from m where extract(day from d)%10=1 group by all) select coalesce(n.metric,f.metric) metric, coalesce(n.service,f.service) service, round(coalesce(s,0.0),4) s, round(coalesce(t,0.0),4) t from n full join f on n.metric=f.metric and n.service=f.service", "m")
+@query("joi_13_full_outer_scores", ", n as (select metric, user_id, sum(value) s from m where extract(day from d)%2=0 group by all), f as (select metric, user_id, sum(value) t from m where extract(day from d)%2=1 group by all) select coalesce(n.metric,f.metric) metric, coalesce(n.user_id,f.user_id) user_id, round(coalesce(s,0.0),4) s, round(coalesce(t,0.0),4) t from n full join f on n.metric=f.metric and n.user_id=f.user_id", "m")
 def joi_13(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.metrics(spark, sf)
-    side = lambda k, c: rows.where(F.dayofmonth("d") % 10 == k).groupBy("metric", "service").agg(F.sum("value").alias(c))
-    return joins.full_scores(side(0, "s"), side(1, "t"), ["metric", "service"], "s", "t").select("metric", "service", F.round("s", 4).alias("s"), F.round("t", 4).alias("t"))
+    side = lambda condition, c: rows.where(condition).groupBy("metric", "user_id").agg(F.sum("value").alias(c))
+    out = joins.full_scores(side(~fails(), "s"), side(fails(), "t"), ["metric", "user_id"], "s", "t")
+    return out.select("metric", "user_id", F.round("s", 4).alias("s"), F.round("t", 4).alias("t"))
 
 
 @query("joi_16_null_safe_join", ", a as (select case when o_orderstatus='F' then null else o_orderstatus end k, count(*) n from orders group by 1), b as (select case when o_orderstatus='F' then null else o_orderstatus end k, max(o_totalprice) p from orders group by 1) select a.k, cast(n as bigint) n, round(p,2) p from a join b on a.k is not distinct from b.k", "m")
