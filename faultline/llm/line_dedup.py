@@ -40,6 +40,8 @@ from .workspace import Workspace
 
 #: Edits that separate linked lines, code points of the shortest line that edits may link, and of the shortest one whose exact copies the queries remove.
 EDITS, LEAST, SHORT = 2, 24, 1
+#: Keys that a task packs at once.
+PACKED = 1 << 18
 #: Code points of strings whose equal ends are cut off before they are compared, and columns between looks at pairs that can be dropped.
 LONG, CHECKED = 256, 16
 #: Columns that dedup() adds.
@@ -143,22 +145,28 @@ def new_lines(ids: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at[new], np.concatenate([seen, ids[new]])
 
 
+def stacked(pieces: list[bk.Columns]) -> bk.Columns:
+    return {k: np.concatenate([p[k] for p in pieces]) for k, _ in KINDS}
+
+
 def keys_of(docs: DataFrame, edits: int, least: int, parts: int) -> DataFrame:
     """Packed rows of all lines; a line that repeats inside a batch is sent once."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = np.zeros(0, np.int64)
-            got: dict[str, list[np.ndarray]] = {k: [] for k, _ in KINDS}
+            got: list[bk.Columns] = []
             for _, data, offsets in ts.blocks(batch.column(0)):
                 starts, _, lengths, ids, _, _, before = line_spans(data, offsets, least)
                 at, seen = new_lines(ids, seen)
                 codes, _ = code_points(data, offsets)
                 prefix, first, lengths = ts.prefix_hashes(code_values(codes)), before[starts[at]], lengths[at]
-                for k, v in line_keys(prefix, first, lengths, ids[at], edits, least, marks(codes, first, lengths)).items():
-                    got[k].append(v)
-            if got["key"]:
-                yield bk.packed_batch({k: np.concatenate(v) for k, v in got.items()}, parts)
+                got.append(line_keys(prefix, first, lengths, ids[at], edits, least, marks(codes, first, lengths)))
+                if sum(len(x["key"]) for x in got) >= PACKED:
+                    yield bk.packed_batch(stacked(got), parts)
+                    got = []
+            if got:
+                yield bk.packed_batch(stacked(got), parts)
 
     return docs.mapInArrow(spread, "part int, rows binary")
 
