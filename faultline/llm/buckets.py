@@ -4,8 +4,8 @@ Raw rows (key, id, size, a few small numbers) travel to their part of the key sp
 packed columns, and rows whose key nobody shares end there.  The others, the index, are
 plain rows, and so are all pairs: joins and counts of them are Spark's own.
 
-First the star pass pairs each bucket's hub (the member of least rank) with the other
-members: as many pairs as rows.  When these are verified and their components are known,
+First the star pass pairs each bucket's hub (the member of least rank; a large bucket has
+a few more) with the other members: as many pairs as rows, or a few times as many.  When these are verified and their components are known,
 the cross pass pairs members of different components only.  Members that a verified
 chain connects need no more comparisons, since only components are asked for; every
 other pair that passes the caller's filters is made, so no link is lost.  In a bucket
@@ -25,6 +25,8 @@ from .workspace import Workspace, partitions
 
 #: Parts of the key space in a task, and raw bytes of a part.
 PARTS_EACH, PART_BYTES = 4, 32 << 20
+#: Rows of a bucket with one hub, and hubs of a larger one.
+SMALL, HUBS = 16, 8
 #: Rows of a bucket in a block, pairs of one id in a verification cell, pairs of a part of the cells.
 BLOCK, CELL, PART_PAIRS = 4096, 64, 4096
 #: Bits of the table that keeps most texts without a pair from being sent: so many for each pair, between these bounds.
@@ -117,9 +119,9 @@ class Buckets:
     def __init__(self, place: Workspace, name: str, packed: DataFrame, kinds: Sequence[tuple[str, type]], rank: Sequence[str], test: Filter, parts: int, sided: bool = False, enough: Enough | None = None):
         """kinds: columns of the rows, key first, then id and size; rank: columns that order a bucket's members, the hub first; test: pair filter; parts: of the key space in packed.
 
-        enough: condition on the number of buckets that a pair shares.  The star pass counts
-        only buckets whose hub is one of the pair, and may therefore pass over a link; the
-        cross pass counts all buckets of each pair that is still apart, so none is lost.
+        enough: condition on the number of buckets that a pair shares.  The star pass sees
+        some of them only and does not ask; the cross pass counts all buckets of each pair
+        that is still apart.
 
         sided: column ``look`` is 1 for rows that only look for others; two of them are no pair.
         """
@@ -151,13 +153,20 @@ class Buckets:
         return apart & self.test(left, right)
 
     def star(self) -> DataFrame:
-        """(a, b): each bucket's hub and its other members, where the filters let them."""
+        """(a, b): each bucket's hubs and its other members, where the filter lets them.  A large bucket has several hubs, drawn by hashes of the ids, so that members of other buckets meet the same ones."""
         others = [k for k, _ in self.kinds if k not in ("key", "id", *self.rank)]
+        least = F.min(F.struct(*self.rank, "id", *others)).alias("hub")
+        large = self.rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("key")
+        drawn = self.rows.join(large, "key").withColumn("draw", F.explode(F.array(*map(F.lit, range(1, HUBS)))))
+        first = ["look"] if self.sided else []
+        more = drawn.groupBy("key", "draw").agg(F.min(F.struct(*first, F.xxhash64("id", "draw").alias("order"), "id", *(k for k, _ in self.kinds if k not in ("key", "id", *first)))).alias("hub"))
+        fields = [k for k, _ in self.kinds if k != "key"]
+        plain = lambda hubs: hubs.select("key", *(F.col(f"hub.{k}").alias(k) for k in fields))
         # a table of its own, so that adaptive execution can split the join at a hot key
-        hubs = self.place.table(f"{self.name}-hubs", self.rows.groupBy("key").agg(F.min(F.struct(*self.rank, "id", *others)).alias("hub")))
-        hub, row = side("h.hub"), side("r")
+        hubs = self.place.table(f"{self.name}-hubs", plain(self.rows.groupBy("key").agg(least)).unionByName(plain(more)).distinct())
+        hub, row = side("h"), side("r")
         pairs = self.rows.alias("r").join(hubs.alias("h"), (F.col("r.key") == F.col("h.key")) & self._may(hub, row))
-        return self._counted(pairs, hub, row)
+        return pairs.select(F.least(hub("id"), row("id")).alias("a"), F.greatest(hub("id"), row("id")).alias("b")).distinct()
 
     def cross(self, members: DataFrame) -> DataFrame:
         """(a, b) of different components that share a bucket, where the filters let them; members: (node, component) of the star pass's links."""

@@ -144,8 +144,9 @@ def own_rows(several: DataFrame, parts: int) -> DataFrame:
 
 
 PLACED = (("key", np.uint64), ("id", np.int64), ("size", np.int32), ("place", np.int32))
-#: lost: shingles of the group's prefix before this one that no other group holds; held: those of the whole prefix that others hold; odd0, odd1: which of 128 classes hold an odd number of them.
-KINDS = (*PLACED, ("lost", np.int32), ("held", np.int32), ("odd0", np.int64), ("odd1", np.int64))
+#: lost: shingles of the group's prefix before this one that no other group holds; held: those of the whole prefix that others hold; odd0 to odd3: which of 256 classes hold an odd number of them.
+ODD = tuple(f"odd{k}" for k in range(4))
+KINDS = (*PLACED, ("lost", np.int32), ("held", np.int32), *((c, np.int64) for c in ODD))
 
 
 def shared_rows(packed: DataFrame, parts: int, tasks: int) -> DataFrame:
@@ -162,19 +163,19 @@ def shared_rows(packed: DataFrame, parts: int, tasks: int) -> DataFrame:
             held = np.diff(first)
             rank = np.arange(len(table["id"])) - np.repeat(first[:-1], held)
             odd = odd_classes(table["shingle"], first)
-            yield bk.packed_batch({"key": table["shingle"], "id": table["id"], "size": table["size"], "place": table["place"], "lost": (table["place"] - rank).astype(np.int32), "held": np.repeat(held, held).astype(np.int32)} | {f"odd{k}": np.repeat(odd[k], held) for k in (0, 1)}, parts)
+            yield bk.packed_batch({"key": table["shingle"], "id": table["id"], "size": table["size"], "place": table["place"], "lost": (table["place"] - rank).astype(np.int32), "held": np.repeat(held, held).astype(np.int32)} | {c: np.repeat(x, held) for c, x in zip(ODD, odd)}, parts)
 
     kind = "part int, rows binary"
     return packed.repartition(tasks, "part").mapInArrow(without_lone, kind).repartition(tasks, "part").mapInArrow(ranked, kind)
 
 
 def odd_classes(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each run of keys, 128 bits as two numbers: which of 128 classes hold an odd number of its keys."""
-    kind = (keys >> np.uint64(25)) & np.uint64(127)
-    out = np.zeros((2, len(first) - 1), np.int64)
+    """For each run of keys, 256 bits as four numbers: which of 256 classes hold an odd number of its keys."""
+    kind = (keys >> np.uint64(24)) & np.uint64(255)
+    out = np.zeros((len(ODD), len(first) - 1), np.int64)
     if len(keys):
         bit = np.uint64(1) << (kind & np.uint64(63))
-        for k in (0, 1):
+        for k in range(len(ODD)):
             out[k] = np.bitwise_xor.reduceat(np.where(kind >> np.uint64(6) == k, bit, np.uint64(0)), first[:-1]).view(np.int64)
     return out
 
@@ -192,7 +193,7 @@ def size_and_place(percent: int) -> bk.Filter:
         before = F.least(left("place") - left("lost"), right("place") - right("lost"))
         shared = before + F.least(left("size") - left("place"), right("size") - right("place"))
         room = 100 * shared.cast("long") >= percent * (left("size") + right("size") - shared).cast("long")
-        apart = F.bit_count(left("odd0").bitwiseXOR(right("odd0"))) + F.bit_count(left("odd1").bitwiseXOR(right("odd1")))
+        apart = sum((F.bit_count(left(c).bitwiseXOR(right(c))) for c in ODD), F.lit(0))
         return room & enough(F.floor((left("held") + right("held") - apart) / 2), left("size"), right("size"))
 
     return test
