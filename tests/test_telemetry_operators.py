@@ -10,6 +10,7 @@ import urllib.parse
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,23 @@ def test_trace_model_gradients_and_likelihood():
         assert got == pytest.approx(want, abs=0.1)
 
 
+def test_many_likelihoods_at_once_equal_single_ones():
+    rng = np.random.default_rng(12)
+    model = learned.Model.random(40, rng)
+    rows = [sorted(rng.choice(40, k, replace=False).tolist()) for k in (3, 0, 1, 7, 0, 40, 2)]
+    dims, values = pa.array(rows, pa.list_(pa.int64())), pa.array([rng.normal(size=len(r)).tolist() for r in rows], pa.list_(pa.float64()))
+    x, mask = learned.matrices(dims, values, 40)
+    want = [model.log_likelihood(x[i : i + 1], mask[i : i + 1], np.random.default_rng(i))[0] for i in range(len(rows))]
+    eps = np.stack([np.random.default_rng(i).normal(size=(learned.SAMPLES, learned.LATENT)) for i in range(len(rows))])
+    counts, at, z = learned.present(dims, values)
+    got = model.log_likelihoods(counts, at, z, eps)
+    assert got == pytest.approx(want, rel=1e-9)
+    # a row's result is the same bit by bit beside other rows
+    for i in range(len(rows)):
+        alone = learned.present(dims.slice(i, 1), values.slice(i, 1))
+        assert model.log_likelihoods(*alone, eps[i : i + 1])[0] == got[i]
+
+
 def test_trace_model_tells_odd_vectors(spark):
     rng = np.random.default_rng(10)
     usual = [(f"n{i}", d, float(v)) for i in range(300) for d, v in enumerate(rng.normal() * np.array([1, -1, 0.5]) + rng.normal(0, 0.1, 3))]
