@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import textscan as ts
-from .workspace import Workspace
+from .workspace import Workspace, small_batches
 
 #: Words of a test window, bytes of test text in one broadcast, and words around a phrase's rarest term that a proximity match may use.
 WINDOW, BLOCK_LIMIT, SLOP = 10, 4 << 20, 15
 #: Candidate positions that a search holds at once.
-CANDIDATES = 1 << 20
+CANDIDATES = 1 << 18
 
 SEGMENT = "segment long, doc_ids array<long>, word_counts array<int>, terms array<long>, counts array<int>, postings array<int>"
 MATCHES = "segment long, doc int, doc_id long, n_words long, starts array<int>, lengths array<int>, items array<string>, near_items array<string>"
@@ -286,18 +286,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """Per document: doc_id, n_words, word ranges (starts, lengths) of test windows, items whose windows occur, items with a proximity match, n_hit words inside the ranges."""
     tests = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     place = Workspace(docs.sparkSession, "decontaminate")
-    index = place.table("index", build_index(docs, doc_id, text))
-    tests = place.table("tests", pieces_of(tests, window, block_limit))
-    total = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_limit))
-    hits = None
-    for k in range(n):
-        rows = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
-        block = search(index, Phrases.of_items([r.item for r in rows], [r.text for r in rows], window), slop)
-        hits = block if hits is None else hits.unionByName(block)
-    if n > 1:
-        items = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")]
-        hits = hits.groupBy("segment", "doc").agg(*(F.first(c).alias(c) for c in ("doc_id", "n_words")), *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lengths")), *items)
+    with small_batches(docs.sparkSession):  # the hits are stored, so that all of it runs here
+        index = place.table("index", build_index(docs, doc_id, text), large_rows=True)
+        tests = place.table("tests", pieces_of(tests, window, block_limit))
+        total = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        n = max(1, -(-total // block_limit))
+        hits = None
+        for k in range(n):
+            rows = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
+            block = search(index, Phrases.of_items([r.item for r in rows], [r.text for r in rows], window), slop)
+            hits = block if hits is None else hits.unionByName(block)
+        if n > 1:
+            items = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")]
+            hits = hits.groupBy("segment", "doc").agg(*(F.first(c).alias(c) for c in ("doc_id", "n_words")), *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lengths")), *items)
+        hits = place.table("hits", hits)
+        place.drop("index")
     return hits.withColumn("n_hit", covered("starts", "lengths")).drop("segment", "doc")
 
 

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OPEN: list["Workspace"] = []
 
+#: Bytes of a row group of large rows, and of a batch that goes to a Python worker.
+ROW_GROUP, BATCH_BYTES = 8 << 20, 4 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only where it is unset (local tests) a temporary folder."""
@@ -33,9 +36,10 @@ class Workspace:
         self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         _OPEN.append(self)
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        """Write and reread, so that later stages don't recompute."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+    def table(self, name: str, df: DataFrame, large_rows: bool = False) -> DataFrame:
+        """Write and reread, so that later stages don't recompute.  large_rows: of up to a megabyte or more, for which writers and readers hold ROW_GROUP bytes and not a hundred rows at least."""
+        options = {"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1} if large_rows else {}
+        df.write.mode("overwrite").options(**options).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def release(self) -> None:
@@ -49,6 +53,18 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> Iterator[None]:
+    """What runs inside sends rows to Python workers in batches of about so many bytes, whatever the rows' size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def scope() -> Iterator[None]:
     """Removes the tables of the workspaces that were opened inside, once their results are written."""

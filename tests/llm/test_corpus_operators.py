@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import glob
 import hashlib
 import itertools
 import math
@@ -10,6 +11,8 @@ import random
 import re
 import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +58,30 @@ def test_decontamination_by_brute_force(spark, block):
     assert any(set(r[4]) - set(r[3]) for r in rows)
 
 
+def test_index_rows_are_held_and_sent_by_bytes(spark, monkeypatch):
+    """Row groups of the index and batches to Python workers stay small, however many segments a file has."""
+    groups, batches, table = [], [], Workspace.table
+
+    def spy(self, name, df, **more):
+        out = table(self, name, df, **more)
+        if name == "index":
+            for path in glob.glob(f"{self.path.removeprefix('file://')}/index/*.parquet"):
+                meta = pq.ParquetFile(path).metadata
+                groups.extend(meta.row_group(k).total_byte_size for k in range(meta.num_row_groups))
+            sizes = lambda got: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in got)
+            batches.extend(r.n for r in out.mapInArrow(sizes, "n long").collect())
+        return out
+
+    monkeypatch.setattr(Workspace, "table", spy)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 300, 1, 1).selectExpr("id as doc_id", "array_join(transform(sequence(1, 15000), x -> conv(cast(x * 7919 + id * 104729 as string), 10, 36)), ' ') as text")
+    tests = spark.createDataFrame([("a", docs.where("doc_id = 7").selectExpr("substring_index(text, ' ', 12)").first()[0])], "item_id string, text string")
+    got = {r.doc_id: r.n_hit for r in decontaminate.decontaminate(docs, tests).collect()}
+    assert len(got) == 300 and got[7] == 12
+    assert sum(groups) > 30 << 20 and max(groups) < 16 << 20 and max(batches) < 16 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_one_index_serves_any_benchmark(spark):
     docs = table(spark, [(1, "a q q b"), (2, "b a"), (3, "a q q q q b"), (4, None), (5, "a b")])
     index = decontaminate.build_index(docs).cache()
